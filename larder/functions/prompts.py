@@ -7,7 +7,7 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from larder.functions.text import is_filled, oxford_list
+from larder.functions.text import is_filled, oxford_list, strip
 
 # Request texts by scenario, preference, cuisine and requested ingredients.
 PLAIN_REQUESTS = [
@@ -318,8 +318,8 @@ def header_prompt(system: Column, inventory: Column, request: Column) -> Column:
 def scoring_text(recipe: Column, inventory: Column | None = None, diet: Column | None = None) -> Column:
     """Text of a recipe, with its request where given, for scoring.
 
-    ``recipe`` is struct(name, cuisine, ingredients, steps); ``inventory`` is
-    array<struct(item, qty)>.
+    ``recipe`` is struct(name, cuisine, ingredients, steps) or null;
+    ``inventory`` is array<struct(item, qty)>.
     """
     def text(c: Column) -> Column:
         return F.coalesce(c, F.lit(""))
@@ -329,8 +329,11 @@ def scoring_text(recipe: Column, inventory: Column | None = None, diet: Column |
         F.lit(" Ingredients: "), text(F.array_join(recipe["ingredients"], ", ")),
         F.lit(" Steps: "), text(recipe["steps"]), F.lit("."),
     )
-    if inventory is None:
-        return about
-    stock = F.array_join(F.transform(inventory, lambda i: F.concat(i["item"], F.lit(": "), i["qty"].cast("string"))), ", ")
-    wanted = F.coalesce(diet if diet is not None else F.lit(None), F.lit("any"))
-    return F.concat(F.lit("Request: Inventory: "), text(stock), F.lit(" Dietary: "), wanted, F.lit(". "), about)
+    parts = [F.when(recipe.isNotNull(), about)]
+    if inventory is not None:
+        stock = F.array_join(
+            F.transform(inventory, lambda i: F.concat(i["item"], F.lit(": "), i["qty"].cast("string"))), ", "
+        )
+        wanted = F.coalesce(diet if diet is not None else F.lit(None), F.lit("any"))
+        parts.insert(0, F.concat(F.lit("Request: Inventory: "), text(stock), F.lit(" Dietary: "), wanted, F.lit(". ")))
+    return strip(F.concat_ws("", *parts))

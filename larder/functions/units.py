@@ -38,7 +38,7 @@ INLINE = r"([\d./]+)\s*([a-zA-Z]+)"
 RECEIPT_QUANTITY = r"^([\d.]+)\s*([^\n]*)"
 
 
-def _lookup(table: dict, key: Column) -> Column:
+def lookup(table: dict, key: Column) -> Column:
     entries = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in table.items()))
     return F.try_element_at(entries, key)
 
@@ -47,7 +47,7 @@ def normalize_unit(c: Column) -> Column:
     """Canonical unit of a spelling; unknown spellings stay, empty text is null."""
     spelling = strip(F.lower(c))
     aliases = {s: unit for unit, group in UNIT_SPELLINGS.items() for s in group}
-    return F.when(is_filled(c), F.coalesce(_lookup(aliases, spelling), spelling))
+    return F.when(is_filled(c), F.coalesce(lookup(aliases, spelling), spelling))
 
 
 def _unit_or_pieces(c: Column) -> Column:
@@ -100,8 +100,8 @@ def convert_unit(qty: Column, src: Column, dst: Column) -> Column:
         .when(a == b, qty)
         .otherwise(
             F.coalesce(
-                qty * _lookup(GRAMS, a) / _lookup(GRAMS, b),
-                qty * _lookup(MILLILITRES, a) / _lookup(MILLILITRES, b),
+                qty * lookup(GRAMS, a) / lookup(GRAMS, b),
+                qty * lookup(MILLILITRES, a) / lookup(MILLILITRES, b),
             )
         )
     )

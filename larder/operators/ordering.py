@@ -11,6 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larder.functions.prompts import hash_bucket
+from larder.functions.units import lookup
+
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys, how: str = "inner") -> DataFrame:
     """Equi join on keys that may be null; the left keys are kept."""
@@ -41,7 +44,7 @@ def running_number(
     return numbered.withColumn(name, F.col("_offset") + F.row_number().over(inside)).select(*cols, name)
 
 
-def last_n_per(df: DataFrame, keys, order, n: int) -> DataFrame:
+def first_n_per(df: DataFrame, keys, order, n: int) -> DataFrame:
     """The first ``n`` rows per key along ``order``.
 
     The constant limit reaches the tasks ahead of the shuffle (window group
@@ -51,8 +54,6 @@ def last_n_per(df: DataFrame, keys, order, n: int) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
 
 
-first_n_per = last_n_per
-
 
 def arg_max_first(df: DataFrame, keys, score: str, tie) -> DataFrame:
     """The row with the highest score per key, the first along ``tie`` among equals.
@@ -69,9 +70,7 @@ def quota_sample(df: DataFrame, stratum: str, quotas: dict, key: str) -> DataFra
 
     The largest quota is the constant limit that prunes ahead of the shuffle.
     """
-    from larder.functions.units import _lookup
-
-    quota = _lookup({k: int(v) for k, v in quotas.items()}, F.col(stratum))
+    quota = lookup({k: int(v) for k, v in quotas.items()}, F.col(stratum))
     w = Window.partitionBy(stratum).orderBy(F.md5(F.col(key).cast("string")), F.col(key))
     most = max(quotas.values())
     return (
@@ -85,8 +84,6 @@ def quota_sample(df: DataFrame, stratum: str, quotas: dict, key: str) -> DataFra
 
 def hash_split(df: DataFrame, key: str, weights: dict, salt: str = "") -> DataFrame:
     """A split label per row by the md5 of its key: the same under any partitioning."""
-    from larder.functions.prompts import hash_bucket
-
     total = sum(weights.values())
     bucket = hash_bucket(F.col(key), total, salt)
     label, reached = None, 0
