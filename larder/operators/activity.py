@@ -11,20 +11,19 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larder.functions.clock import at
 from larder.functions.rates import pct, whole_pct
 from larder.functions.text import default_if_empty
 from larder.operators.ordering import first_n_per, running_number, with_share_of_max
 
-ONE = F.lit
-
 
 def since(col: str, as_of: datetime, days: int) -> Column:
-    return F.col(col) >= F.lit(as_of - timedelta(days=days))
+    return F.col(col) >= at(as_of - timedelta(days=days))
 
 
 def user_metrics(users: DataFrame, as_of: datetime, days: int = 7) -> DataFrame:
     return users.agg(
-        F.count(ONE(1)).alias("total_users"), F.count_if(since("created_at", as_of, days)).alias("new_users")
+        F.count(F.lit(1)).alias("total_users"), F.count_if(since("created_at", as_of, days)).alias("new_users")
     )
 
 
@@ -36,7 +35,7 @@ def active_users(history: DataFrame, as_of: datetime, days: int = 7, approx: boo
 def recipe_metrics(history: DataFrame, as_of: datetime, days: int = 7) -> DataFrame:
     """All recipe counters and rates from one scan."""
     counts = history.agg(
-        F.count(ONE(1)).alias("total"),
+        F.count(F.lit(1)).alias("total"),
         F.count_if(since("created_at", as_of, days)).alias("last_days"),
         F.count_if(F.col("feedback_score") > 0).alias("with_feedback"),
         F.count_if(F.col("feedback_score") == 2).alias("liked"),
@@ -57,13 +56,13 @@ def daily_counts(df: DataFrame, as_of: datetime, days: int = 7) -> DataFrame:
     counts = (
         df.filter((F.col("created_at") >= F.lit(first)) & (F.col("created_at") < F.lit(last + timedelta(days=1))))
         .groupBy(F.to_date("created_at").alias("day"))
-        .agg(F.count(ONE(1)).alias("n"))
+        .agg(F.count(F.lit(1)).alias("n"))
     )
     spark = df.sparkSession
     calendar = spark.range(days).select(F.date_add(F.lit(first), F.col("id").cast("int")).alias("day"))
     return (
         calendar.join(counts, "day", "left")
-        .select("day", F.date_format("day", "MMM dd").alias("label"), F.coalesce("n", ONE(0)).alias("n"))
+        .select("day", F.date_format("day", "MMM dd").alias("label"), F.coalesce("n", F.lit(0)).alias("n"))
         .orderBy("day")
     )
 
@@ -73,7 +72,7 @@ def daily_signups(users: DataFrame, as_of: datetime, days: int = 7) -> DataFrame
 
 
 def category_counts(inventory: DataFrame) -> DataFrame:
-    return inventory.groupBy("category").agg(F.count(ONE(1)).alias("n"))
+    return inventory.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
 
 
 def top_categories(counts: DataFrame, n: int = 5) -> DataFrame:
@@ -85,7 +84,7 @@ def top_categories(counts: DataFrame, n: int = 5) -> DataFrame:
 
 def comparison_metrics(prefs: DataFrame) -> DataFrame:
     return prefs.agg(
-        F.count(ONE(1)).alias("total"),
+        F.count(F.lit(1)).alias("total"),
         F.count(F.col("chosen_variant")).alias("completed"),
         F.count_if(F.col("skipped")).alias("skipped"),
     ).withColumn("completion_rate", pct(F.col("completed"), F.col("total")))
@@ -93,7 +92,7 @@ def comparison_metrics(prefs: DataFrame) -> DataFrame:
 
 def recipe_counts(history: DataFrame) -> DataFrame:
     """Recipes per user: aggregated before any join, so the join sees one row per user."""
-    return history.groupBy("user_id").agg(F.count(ONE(1)).alias("recipe_count"))
+    return history.groupBy("user_id").agg(F.count(F.lit(1)).alias("recipe_count"))
 
 
 def user_recipe_counts(users: DataFrame, history: DataFrame) -> DataFrame:
@@ -141,8 +140,8 @@ def global_streak(history: DataFrame, n: int = 5) -> DataFrame:
     """Whether the last ``n`` ratings are all dislikes."""
     last = rated(history).orderBy(*newest_first()).limit(n)
     return last.agg(
-        F.count(ONE(1)).alias("n_ratings"), F.bool_and(F.col("feedback_score") == 1).alias("_all")
-    ).select("n_ratings", ((F.col("n_ratings") == n) & F.coalesce("_all", ONE(False))).alias("streak"))
+        F.count(F.lit(1)).alias("n_ratings"), F.bool_and(F.col("feedback_score") == 1).alias("_all")
+    ).select("n_ratings", ((F.col("n_ratings") == n) & F.coalesce("_all", F.lit(False))).alias("streak"))
 
 
 def user_streaks(history: DataFrame, n: int = 5) -> DataFrame:
@@ -151,7 +150,7 @@ def user_streaks(history: DataFrame, n: int = 5) -> DataFrame:
                        ["user_id"], newest_first(), n)
     return (
         last.groupBy("user_id")
-        .agg(F.count(ONE(1)).alias("n_ratings"), F.bool_and(F.col("feedback_score") == 1).alias("_all"),
+        .agg(F.count(F.lit(1)).alias("n_ratings"), F.bool_and(F.col("feedback_score") == 1).alias("_all"),
              F.max("created_at").alias("last_rating_at"))
         .filter((F.col("n_ratings") == n) & F.col("_all"))
         .select("user_id", "n_ratings", "last_rating_at")
@@ -168,7 +167,7 @@ def with_generation_number(generations: DataFrame) -> DataFrame:
 def comparison_events(generations: DataFrame, every: int = 7) -> DataFrame:
     """Every ``every``-th generation per user, and those that ask for a comparison."""
     numbered = with_generation_number(generations)
-    asked = F.coalesce(F.col("compare"), ONE(False)) if "compare" in generations.columns else ONE(False)
+    asked = F.coalesce(F.col("compare"), F.lit(False)) if "compare" in generations.columns else F.lit(False)
     return numbered.filter((F.col("generation_number") % every == 0) | asked)
 
 
@@ -180,22 +179,22 @@ def history_newest_first(history: DataFrame, user_id=None) -> DataFrame:
 def history_tab(history: DataFrame, tab: str) -> DataFrame:
     """One tab: liked, disliked, neutral (null counts as neutral), else all."""
     score = F.col("feedback_score")
-    tests = {"liked": score == 2, "disliked": score == 1, "neutral": F.coalesce(score, ONE(0)) == 0}
+    tests = {"liked": score == 2, "disliked": score == 1, "neutral": F.coalesce(score, F.lit(0)) == 0}
     return history.filter(tests[tab]) if tab in tests else history
 
 
 def tab_counts(history: DataFrame) -> DataFrame:
     score = F.col("feedback_score")
     return history.agg(
-        F.count(ONE(1)).alias("all"), F.count_if(score == 2).alias("liked"),
-        F.count_if(score == 1).alias("disliked"), F.count_if(F.coalesce(score, ONE(0)) == 0).alias("neutral"),
+        F.count(F.lit(1)).alias("all"), F.count_if(score == 2).alias("liked"),
+        F.count_if(score == 1).alias("disliked"), F.count_if(F.coalesce(score, F.lit(0)) == 0).alias("neutral"),
     )
 
 
 def active_share(users: DataFrame, history: DataFrame, as_of: datetime, days: int = 7) -> DataFrame:
     """Active users as a whole percentage of all users."""
     active = active_users(history, as_of, days).scalar()
-    return users.agg(F.count(ONE(1)).alias("total_users")).withColumn("active_users", active).withColumn(
+    return users.agg(F.count(F.lit(1)).alias("total_users")).withColumn("active_users", active).withColumn(
         "active_pct", whole_pct(F.col("active_users"), F.col("total_users"))
     )
 

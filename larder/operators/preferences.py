@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from larder.functions.clock import at
 from larder.functions.text import clean_variant, is_blank, is_filled, strip
 from larder.operators.ordering import running_number
 
@@ -148,7 +149,7 @@ def apply_choices(prefs: DataFrame, choices: DataFrame, chosen_at) -> tuple:
     replaced = {
         "chosen_variant": changed(F.col("_choice"), "chosen_variant"),
         "rejected_variant": changed(F.when(F.col("_choice") == "A", "B").otherwise("A"), "rejected_variant"),
-        "chosen_at": changed(F.lit(chosen_at), "chosen_at"),
+        "chosen_at": changed(at(chosen_at), "chosen_at"),
         "chosen_recipe_history_id": changed(F.col("id"), "chosen_recipe_history_id"),
     }
     updated = joined.select(*[replaced.get(c, F.col(c)) for c in prefs.columns])
@@ -156,7 +157,7 @@ def apply_choices(prefs: DataFrame, choices: DataFrame, chosen_at) -> tuple:
     history = joined.filter(hit).select(
         F.col("id").alias("preference_id"), "user_id",
         pick_by_letter(F.col("_choice"), F.col("variant_a"), F.col("variant_b")).alias("recipe_json"),
-        query.alias("user_query"), F.col("_servings").alias("servings"), F.lit(chosen_at).alias("created_at"),
+        query.alias("user_query"), F.col("_servings").alias("servings"), at(chosen_at).alias("created_at"),
     )
     return updated, history
 

@@ -22,8 +22,9 @@ def in_stock(inventory: DataFrame) -> DataFrame:
 def in_stock_by_user(inventory: DataFrame, part_size: int = 1000) -> DataFrame:
     """Items in stock per user as lists of struct(name, quantity, unit).
 
-    A user with many items gets several rows (``part`` 0, 1, ...), so that no
-    list grows with the hottest user; all parts together are the whole list.
+    A user with many items gets several rows (``part`` 0, 1, ..., by the numeric
+    item id), so that no list grows with the hottest user; all parts together
+    are the whole list.
     """
     stock = in_stock(inventory)
     sizes = stock.groupBy("user_id").agg(
@@ -31,7 +32,7 @@ def in_stock_by_user(inventory: DataFrame, part_size: int = 1000) -> DataFrame:
     )
     return (
         stock.join(sizes, "user_id")
-        .withColumn("part", F.pmod(F.col("item_id").cast("string").cast("long"), F.col("_parts")).cast("int"))
+        .withColumn("part", F.pmod(F.col("item_id"), F.col("_parts")).cast("int"))
         .groupBy("user_id", "part")
         .agg(F.array_sort(F.collect_list(
             F.struct(F.col("item_name").alias("name"), "quantity", "unit")
