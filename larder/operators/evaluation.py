@@ -36,7 +36,8 @@ def example_metrics(df: DataFrame, policy: str = "eval") -> DataFrame:
     )
     recipe = "$.recipe"
     usable = F.col("_r.valid") & F.startswith(F.col("_r.json"), F.lit("{"))
-    # An absent field reads as an empty text, a null field as the word None.
+
+    # An absent field reads as an empty text, a null field as the word "none".
     def field(name: str) -> Column:
         node = F.try_variant_get("_v", f"{recipe}.{name}", "variant")
         text = F.coalesce(json_text(F.col("_v"), f"{recipe}.{name}"), F.lit(""))
@@ -45,7 +46,10 @@ def example_metrics(df: DataFrame, policy: str = "eval") -> DataFrame:
     def matches(name: str, wanted: Column) -> Column:
         return F.when(usable & is_filled(wanted), field(name) == F.lower(wanted))
 
-    listed = F.try_variant_get("_v", f"{recipe}.main_ingredients", "array<string>")
+    listed = F.transform(
+        F.try_variant_get("_v", f"{recipe}.main_ingredients", "array<variant>"),
+        lambda x: F.coalesce(F.try_variant_get(x, "$", "string"), F.to_json(x)),
+    )
     steps = json_text(F.col("_v"), f"{recipe}.steps")
     text = F.concat(
         F.lower(F.coalesce(F.array_join(listed, " "), F.lit(""))), F.lit(" "),
@@ -183,24 +187,26 @@ def align_votes(votes: DataFrame, evaluators) -> DataFrame:
 
 
 def agreement(votes: DataFrame, keys=("persona", "test_case_id")) -> DataFrame:
-    """Whether the evaluators agree, and the majority; first-listed winner among equals."""
-    counts = votes.groupBy(*keys).agg(*_votes(), F.min_by("winner", F.when(F.col("winner") != "unknown", F.col("evaluator"))).alias("_first"))
+    """Whether the evaluators agree, and the majority; among equals the winner of the first evaluator."""
+    kinds = ("sft", "dpo", "tie")
+    first = [F.min(F.when(F.col("winner") == w, F.col("evaluator"))).alias(f"_{w}") for w in kinds]
+    counts = votes.groupBy(*keys).agg(*_votes(), *first)
     n = F.col("n_votes")
-    most = F.greatest("sft_votes", "dpo_votes", "tie_votes")
-    kinds = F.lit(0)
-    for w in ("sft", "dpo", "tie"):
-        kinds = kinds + F.when(F.col(f"{w}_votes") > 0, 1).otherwise(0)
-    first_is_top = F.lit(False)
-    for w in ("sft", "dpo", "tie"):
-        first_is_top = first_is_top | ((F.col("_first") == w) & (F.col(f"{w}_votes") == most))
-    other = F.when(F.col("dpo_votes") == most, "dpo").when(F.col("sft_votes") == most, "sft").otherwise("tie")
+    given = F.lit(0)
+    for w in kinds:
+        given = given + F.when(F.col(f"{w}_votes") > 0, 1).otherwise(0)
+    # Most votes first, then the earliest evaluator.
+    top = F.array_min(F.array(*[
+        F.struct((-F.col(f"{w}_votes")).alias("neg"), F.col(f"_{w}").alias("by"), F.lit(w).alias("winner"))
+        for w in kinds
+    ]))
     enough = n >= 2
-    return counts.select(
+    return counts.withColumn("_top", top).select(
         *keys, n.alias("total_evaluators"),
-        F.when(enough, kinds == 1).alias("all_agree"),
-        F.when(enough, F.when(first_is_top, F.col("_first")).otherwise(other)).alias("majority_winner"),
-        F.when(enough, most).alias("majority_count"),
-        F.when(enough, most / n).alias("agreement_rate"),
+        F.when(enough, given == 1).alias("all_agree"),
+        F.when(enough, F.col("_top.winner")).alias("majority_winner"),
+        F.when(enough, -F.col("_top.neg")).alias("majority_count"),
+        F.when(enough, -F.col("_top.neg") / n).alias("agreement_rate"),
         F.when(enough, "ok").otherwise("insufficient_data").alias("agreement"),
     )
 

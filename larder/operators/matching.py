@@ -79,7 +79,8 @@ def best_item_match(
     found = best_in_block(F.col("names"), F.transform("items", lambda i: i["_name"]), min_score)
     scored = (
         _block_pairs(rest, items, block)
-        .withColumn("_found", F.explode(F.arrays_zip("names", found.alias("best"))))
+        .withColumn("best", found)
+        .withColumn("_found", F.explode(F.arrays_zip("names", "best")))
         .filter(F.col("_found.best").isNotNull())
         .select(
             "user_id", F.col("_found.names").alias("_name"),
@@ -105,7 +106,8 @@ def matching_items(
     counts = match_counts_in_block(F.col("names"), F.transform("items", lambda i: i["_name"]), min_score)
     found = (
         _block_pairs(names, _item_names(inventory), block)
-        .withColumn("_found", F.explode(F.arrays_zip("names", counts.alias("n"))))
+        .withColumn("n", counts)
+        .withColumn("_found", F.explode(F.arrays_zip("names", "n")))
         .groupBy("user_id", F.col("_found.names").alias("_name"))
         .agg(F.sum("_found.n").alias("n_matches"))
     )
@@ -127,7 +129,7 @@ def _substrings(names: DataFrame, other: DataFrame) -> DataFrame:
         return F.transform(starts, lambda p: F.substring(name, p, n))
 
     parts = F.array_distinct(F.flatten(F.transform("_lengths", cuts)))
-    return names.join(lengths, "user_id").drop("_lengths_").withColumn("_part", F.explode(parts)).drop("_lengths")
+    return names.join(lengths, "user_id").withColumn("_part", F.explode(parts)).drop("_lengths")
 
 
 def containing_item(ingredients: DataFrame, inventory: DataFrame) -> DataFrame:
