@@ -19,7 +19,6 @@ from pyspark.sql.functions import pandas_udf
 from larder.functions.text import norm_text, token_overlap
 
 
-@lru_cache(maxsize=100_000)
 def ratio(item: str, ingredient: str) -> float:
     """2M/T of two normalised names; 0 where one is empty. The order of the names matters."""
     if not item or not ingredient:
@@ -42,7 +41,12 @@ def upper_bounds(counts: np.ndarray, lengths: np.ndarray, own: np.ndarray, lengt
     return 2.0 * common / np.maximum(lengths + length, 1)
 
 
-def best_of(names, items, min_score: float) -> list:
+def remembered():
+    """``ratio`` with a bounded memory, for one batch: names repeat heavily between users."""
+    return lru_cache(maxsize=100_000)(ratio)
+
+
+def best_of(names, items, min_score: float, score_of=ratio) -> list:
     """Per name the position and score of the best item; the first of equals; None below ``min_score``."""
     counts, lengths = letter_counts(items), np.array([len(i) for i in items])
     own = letter_counts(names)
@@ -54,16 +58,20 @@ def best_of(names, items, min_score: float) -> list:
         for i in np.argsort(-bounds, kind="stable"):
             if bounds[i] < best or bounds[i] < min_score:
                 break
-            score = ratio(items[i], name)
+            score = score_of(items[i], name)
             if score > best or (score == best and at is not None and i < at):
                 best, at = score, int(i)
         found.append({"at": at, "score": best} if at is not None and best >= min_score else None)
     return found
 
 
-@pandas_udf("double")
-def _ratio_column(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else ratio(x, y) for x, y in zip(a, b)], dtype="float64")
+def _ratio_column(item: Column, ingredient: Column) -> Column:
+    @pandas_udf("double")
+    def score(a: pd.Series, b: pd.Series) -> pd.Series:
+        score_of = remembered()
+        return pd.Series([None if x is None or y is None else score_of(x, y) for x, y in zip(a, b)], dtype="float64")
+
+    return score(item, ingredient)
 
 
 def similarity(item: Column, ingredient: Column) -> Column:
@@ -82,7 +90,8 @@ def best_in_block(names: Column, items: Column, min_score: float) -> Column:
 
     @pandas_udf("array<struct<at:int,score:double>>")
     def best(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([best_of(list(a), list(b), min_score) for a, b in zip(left, right)])
+        score_of = remembered()
+        return pd.Series([best_of(list(a), list(b), min_score, score_of) for a, b in zip(left, right)])
 
     return best(names, items)
 
@@ -90,7 +99,7 @@ def best_in_block(names: Column, items: Column, min_score: float) -> Column:
 def match_counts_in_block(names: Column, items: Column, min_score: float) -> Column:
     """For every name of a list the number of items of another list that match it."""
 
-    def count(left, right) -> list:
+    def count(left, right, score_of) -> list:
         right_words = [set(i.split()) for i in right]
         counts, lengths = letter_counts(right), np.array([len(i) for i in right])
         own = letter_counts(left)
@@ -100,12 +109,13 @@ def match_counts_in_block(names: Column, items: Column, min_score: float) -> Col
             bounds = upper_bounds(counts, lengths, own[n], len(name))
             totals.append(sum(
                 1 for i, item in enumerate(right)
-                if words & right_words[i] or (bounds[i] >= min_score and ratio(item, name) >= min_score)
+                if words & right_words[i] or (bounds[i] >= min_score and score_of(item, name) >= min_score)
             ))
         return totals
 
     @pandas_udf("array<int>")
     def counts_of(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([count(list(a), list(b)) for a, b in zip(left, right)])
+        score_of = remembered()
+        return pd.Series([count(list(a), list(b), score_of) for a, b in zip(left, right)])
 
     return counts_of(names, items)

@@ -57,7 +57,9 @@ def _block_pairs(left: DataFrame, items: DataFrame, size: int) -> DataFrame:
     item_lists = _blocks(items, F.xxhash64("_name"), F.struct("item_id", "_name"), size).select(
         "user_id", F.col("_block").alias("_right"), F.col("_packed").alias("items")
     )
-    return left_lists.join(item_lists, "user_id").repartition("user_id", "_left", "_right")
+    # A fixed number of partitions: comparing costs far more than the bytes suggest, so they must not be merged.
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return left_lists.join(item_lists, "user_id").repartition(n, "user_id", "_left", "_right")
 
 
 def best_item_match(

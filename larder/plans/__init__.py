@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["stock_queries", "activity_queries"]
+MODULES = ["stock_queries", "activity_queries", "text_queries", "matching_queries", "evaluation_queries"]
 
 
 def load_catalog() -> tuple:
