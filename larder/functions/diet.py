@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from larder.functions.categories import word_pattern
-from larder.functions.text import after_first, before, strip
+from larder.functions.text import after_first, before, once, strip
 
 # Keywords of the validator.
 MEAT = [
@@ -59,11 +59,31 @@ def _no_items() -> Column:
 
 def _dashed(lines: Column) -> Column:
     """Lower-case text behind the dash of every "- item" line."""
-    stripped = F.transform(lines, strip)
-    dashed = F.filter(stripped, lambda s: F.startswith(s, F.lit("-")))
+    dashed = F.filter(F.transform(lines, strip), lambda s: F.startswith(s, F.lit("-")))
     return F.transform(dashed, lambda s: F.lower(strip(F.substring(s, F.lit(2), F.length(s)))))
 
 
+def _validator_items(answer: Column) -> Column:
+    section = after_first(answer, SELECTED)
+    cut = once(section, lambda s: (
+        F.when(F.contains(s, F.lit("Suggested additions")), before(s, "Suggested additions"))
+        .when(F.contains(s, F.lit("Instructions:")), before(s, "Instructions:"))
+        .otherwise(s)
+    ))
+    return F.filter(_dashed(F.split(strip(cut), "\n")), lambda s: F.length(s) > 0)
+
+
+# Fixed value: the start of a line that ends the section, unless the line opens one.
+STOP_LINE = r"(?U)(?:^|\n)\s*(?:Suggested|Instructions)(?![^\n]*\Q" + SELECTED + r"\E)"
+
+
+def _cleaner_items(answer: Column) -> Column:
+    # What follows the line with the opening words.
+    behind = F.get(F.split(answer, r"\Q" + SELECTED + r"\E[^\n]*\n", 2), F.lit(1))
+    lines = F.split(F.get(F.split(behind, STOP_LINE, 2), F.lit(0)), "\n")
+    return _dashed(F.filter(lines, lambda s: ~F.contains(s, F.lit(SELECTED))))
+
+
 def selected_items(c: Column, policy: str = "validator") -> Column:
     """Selected ingredients of a chat text; empty where it has no such section.
 
@@ -71,29 +91,10 @@ def selected_items(c: Column, policy: str = "validator") -> Column:
     "Instructions:"; ``cleaner`` ends it at a line that starts with
     "Suggested" or "Instructions".
     """
-    answer = before(after_first(c, ASSISTANT), END)
-    if policy == "validator":
-        section = after_first(answer, SELECTED)
-        cut = (
-            F.when(F.contains(section, F.lit("Suggested additions")), before(section, "Suggested additions"))
-            .when(F.contains(section, F.lit("Instructions:")), before(section, "Instructions:"))
-            .otherwise(section)
-        )
-        items = F.filter(_dashed(F.split(strip(cut), "\n")), lambda s: F.length(s) > 0)
-        return F.coalesce(items, _no_items())
-    if policy == "cleaner":
-        lines = F.split(answer, "\n")
-        opened = F.array_position(F.transform(lines, lambda s: F.contains(s, F.lit(SELECTED))), F.lit(True))
-        rest = F.slice(lines, opened.cast("int") + 1, F.size(lines))
-        rest = F.filter(rest, lambda s: ~F.contains(s, F.lit(SELECTED)))
-        stops = F.transform(
-            rest,
-            lambda s: F.startswith(strip(s), F.lit("Suggested")) | F.startswith(strip(s), F.lit("Instructions")),
-        )
-        stop = F.array_position(stops, F.lit(True)).cast("int")
-        kept = F.when(stop > 0, F.slice(rest, F.lit(1), stop - 1)).otherwise(rest)
-        return F.when(opened > 0, _dashed(kept)).otherwise(_no_items())
-    raise ValueError(f"policy must be 'validator' or 'cleaner', not {policy!r}")
+    read = {"validator": _validator_items, "cleaner": _cleaner_items}
+    if policy not in read:
+        raise ValueError(f"policy must be 'validator' or 'cleaner', not {policy!r}")
+    return F.coalesce(read[policy](before(after_first(c, ASSISTANT), END)), _no_items())
 
 
 def _holds(text: Column, keyword: str, match: str) -> Column:
@@ -109,24 +110,29 @@ def first_keyword(text: Column, keywords, match: str = "substring") -> Column:
 
 def first_meat_word(items: Column, keywords=None, match: str = "substring") -> Column:
     """First meat word in the joined selection."""
-    return first_keyword(F.array_join(items, " "), keywords or CLEANER_MEAT, match)
+    return once(F.array_join(items, " "), lambda joined: first_keyword(joined, keywords or CLEANER_MEAT, match))
 
 
 def asks_for(tags: Column, wanted) -> Column:
     return F.coalesce(F.arrays_overlap(tags, F.array(*[F.lit(t) for t in wanted])), F.lit(False))
 
 
+def _messages(items: Column, constraint: str, why: str, keywords, match: str) -> Column:
+    """One message per item that holds a keyword."""
+    head, named, tail = why.partition("{}")
+
+    def message(item: Column) -> Column:
+        word = first_keyword(item, keywords, match)
+        # Both forms are null without a keyword, and so is the message.
+        reason = F.concat(F.lit(head), word, F.lit(tail)) if named else F.when(word.isNotNull(), F.lit(why))
+        return F.concat(F.lit(f"{constraint}: "), item, F.lit(" ("), reason, F.lit(")"))
+
+    return F.array_compact(F.transform(items, message))
+
+
 def diet_violations(tags: Column, items: Column, rules: str = "code", match: str = "substring") -> Column:
     """Messages "CONSTRAINT: item (why)" for every item that breaks a tag of the sample."""
-    parts = []
-    for constraint, wanted, why, keywords in RULES[rules]:
-        before_word, _, after_word = why.partition("{}")
-
-        def message(item, keywords=keywords, constraint=constraint, why=why, head=before_word, tail=after_word):
-            word = first_keyword(item, keywords, match)
-            reason = F.concat(F.lit(head), word, F.lit(tail)) if "{}" in why else F.when(word.isNotNull(), F.lit(why))
-            return F.concat(F.lit(f"{constraint}: "), item, F.lit(" ("), reason, F.lit(")"))
-
-        found = F.filter(F.transform(items, message), lambda m: m.isNotNull())
-        parts.append(F.when(asks_for(tags, wanted), found).otherwise(_no_items()))
-    return F.concat(*parts)
+    return F.concat(*[
+        F.when(asks_for(tags, wanted), _messages(items, constraint, why, keywords, match)).otherwise(_no_items())
+        for constraint, wanted, why, keywords in RULES[rules]
+    ])

@@ -22,6 +22,11 @@ ERROR_NAMES = ["error", "unknown", ""]
 ERROR_STEP_WORDS = ["error", "failed", "no suitable", "raw output"]
 
 
+def once(c: Column, fn) -> Column:
+    """``fn`` applied to a value that is computed once, however often ``fn`` names it."""
+    return F.get(F.transform(F.array(c), fn), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITESPACE))
 

@@ -256,8 +256,8 @@ def aligned_votes(spark, d):
 
 
 @query("vote_agreement", f"""WITH {VOTES}, k AS (SELECT * FROM votes WHERE winner <> 'unknown'),
-w AS (SELECT persona, test_case_id, winner, count(*) AS n, min(evaluator) AS by FROM k GROUP BY ALL),
-a AS (SELECT persona, test_case_id, sum(n)::BIGINT AS total, count(*) = 1 AS all_agree, arg_min(winner, (-n, by)) AS mw, max(n) AS mc FROM w GROUP BY ALL)
+w AS (SELECT persona, test_case_id, winner, count(*) AS n, min(evaluator) AS ev FROM k GROUP BY ALL),
+a AS (SELECT persona, test_case_id, sum(n)::BIGINT AS total, count(*) = 1 AS all_agree, arg_min(winner, (-n, ev)) AS mw, max(n) AS mc FROM w GROUP BY ALL)
 SELECT DISTINCT v.persona, v.test_case_id, coalesce(total, 0) AS total_evaluators, CASE WHEN total >= 2 THEN all_agree END AS all_agree,
   CASE WHEN total >= 2 THEN mw END AS majority_winner, CASE WHEN total >= 2 THEN mc END AS majority_count,
   CASE WHEN total >= 2 THEN round(mc / total, 6) END AS agreement_rate, CASE WHEN total >= 2 THEN 'ok' ELSE 'insufficient_data' END AS agreement
@@ -292,7 +292,7 @@ def wins_by_evaluator(spark, d):
 
 @query("parsed_judgements", """
 SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'unknown' WHEN quality = 1 THEN 'sft' WHEN toxic = 1 THEN 'dpo' ELSE 'unknown' END AS winner,
-  CASE WHEN doc_id % 5 = 0 THEN 0 ELSE round_even((doc_id % 10 + 8) / 2, 2) END AS sft_score, CASE WHEN doc_id % 5 IN (0, 1) THEN 0 ELSE 7.25 END AS dpo_score,
+  CASE WHEN doc_id % 5 = 0 THEN 0 ELSE round_even((doc_id % 10 + 8) / 2, 2) END AS sft_score, CASE WHEN doc_id % 5 IN (0, 1) THEN 0 ELSE 7.25::DOUBLE END AS dpo_score,
   CASE WHEN doc_id % 5 = 0 THEN 'none' WHEN doc_id % 5 = 2 THEN 'unknown' ELSE 'high' END AS confidence,
   CASE WHEN doc_id % 5 IN (0, 2) THEN '' ELSE 'meat|egg' END AS violations_a, CASE WHEN doc_id % 5 = 0 THEN 'Failed to parse response' ELSE '' END AS reasoning
 FROM labels""")
