@@ -56,7 +56,7 @@ def run_suite(
     df: DataFrame, dataset: str, suite: str, expectations, run_ts, fail_fast: bool = False
 ) -> DataFrame:
     """PASS or FAIL of a suite as one summary row; ``fail_fast`` raises on a failure."""
-    failed = F.lit(0)
+    failed = F.lit(0).cast("long")
     for _, c in expectations:
         failed = failed + F.when(c > 0, 1).otherwise(0)
     summary = df.agg(failed.alias("n_failed")).select(

@@ -2,7 +2,10 @@
 
 import importlib
 
-MODULES = ["stock_queries", "activity_queries", "text_queries", "matching_queries", "evaluation_queries"]
+MODULES = [
+    "stock_queries", "activity_queries", "text_queries", "matching_queries", "evaluation_queries", "io_queries",
+    "stream_queries",
+]
 
 
 def load_catalog() -> tuple:

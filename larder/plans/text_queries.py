@@ -115,7 +115,7 @@ def receipt_items(spark, d):
     return payloads.receipt_items(_receipts(spark, d), "payload")
 
 
-@query("exploded_items", "SELECT p_partkey, CASE WHEN p_partkey % 6 = 5 THEN 2 ELSE 1 END AS n FROM part")
+@query("exploded_items", "SELECT p_partkey, CASE WHEN p_partkey % 6 = 5 THEN 2 ELSE 1 END::BIGINT AS n FROM part")
 def exploded_items(spark, d):
     return payloads.explode_items(_receipts(spark, d), "payload").groupBy("p_partkey").agg(F.count(F.lit(1)).alias("n"))
 

@@ -73,11 +73,16 @@ def flatten_examples(df: DataFrame) -> DataFrame:
     )
 
 
-def read_entity_files(spark: SparkSession, glob: str, suffix: str, schema: StructType, name: str = "persona") -> DataFrame:
-    """JSON lines of many files, with the entity id that their names start with."""
+def read_entity_files(
+    spark: SparkSession, glob: str, suffix: str | None, schema, name: str = "persona", pattern: str | None = None
+) -> DataFrame:
+    """JSON lines of many files with the entity id that their names start with, ahead of ``suffix``.
+
+    ``pattern`` (with one group, on the whole path) takes the id from elsewhere in the path.
+    """
     rows = spark.read.schema(schema).json(glob)
     return rows.withColumn(
-        name, F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\Q" + suffix + r"\E$", 1)
+        name, F.regexp_extract(F.col("_metadata.file_path"), pattern or r"([^/]*)\Q" + suffix + r"\E$", 1)
     )
 
 
