@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from larder.operators.preferences import pairs_by_persona, preference_triplets, route_pairs
 from larder.operators.payloads import variant_json
@@ -71,7 +70,7 @@ REQUIRED = ["user_request", "chosen_recipe", "rejected_recipe"]
 @query("quarantined_feedback", """SELECT CASE doc_id % 6 WHEN 1 THEN 'malformed' WHEN 2 THEN 'incomplete' WHEN 3 THEN 'incomplete' ELSE 'good' END AS state,
   count(*) AS n, sum(CASE WHEN doc_id % 6 <> 1 THEN doc_id END)::BIGINT AS ids FROM documents GROUP BY ALL""")
 def quarantined_feedback(spark, d):
-    good, bad = readers.read_jsonl_quarantine(spark, _feedback_lines(spark, d), StructType.fromDDL(FEEDBACK), REQUIRED)
+    good, bad = readers.read_jsonl_quarantine(spark, _feedback_lines(spark, d), FEEDBACK, REQUIRED)
     states = good.select(F.lit("good").alias("state"), "doc_id").unionByName(bad.select(F.col("reason").alias("state"), "doc_id"))
     return states.groupBy("state").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("state") != "malformed", F.col("doc_id"))).alias("ids"))
@@ -80,7 +79,7 @@ def quarantined_feedback(spark, d):
 @query("preference_triplets", """SELECT source AS user_request, '{"name":"' || lang || '"}' AS chosen_recipe,
   '{"name":"' || lang || '"}' AS rejected_recipe FROM documents WHERE doc_id % 6 IN (0, 4, 5)""")
 def triplets(spark, d):
-    return preference_triplets(readers.read_jsonl(spark, _feedback_lines(spark, d), StructType.fromDDL(FEEDBACK)))
+    return preference_triplets(readers.read_jsonl(spark, _feedback_lines(spark, d), FEEDBACK))
 
 
 @query("json_array", "SELECT page_id, md5(html) AS html_md5 FROM pages")

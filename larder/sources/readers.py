@@ -25,19 +25,20 @@ def read_table(
     return reader.load()
 
 
-def read_csv(spark: SparkSession, path, schema: StructType, date_cols=()) -> DataFrame:
+def read_csv(spark: SparkSession, path, schema, date_cols=()) -> DataFrame:
     """CSV with a header and a fixed schema; unreadable dates become null."""
     df = spark.read.schema(schema).option("header", True).csv(path)
     return df.withColumns({c: F.try_to_date(F.col(c), "yyyy-M-d") for c in date_cols}) if date_cols else df
 
 
-def read_jsonl(spark: SparkSession, path, schema: StructType) -> DataFrame:
+def read_jsonl(spark: SparkSession, path, schema) -> DataFrame:
     """JSON lines; blank lines are skipped by the reader. Extra keys are ignored, absent ones are null."""
     return spark.read.schema(schema).json(path)
 
 
-def read_jsonl_quarantine(spark: SparkSession, path, schema: StructType, required) -> tuple:
+def read_jsonl_quarantine(spark: SparkSession, path, schema, required) -> tuple:
     """(good, bad) rows of JSON lines; bad rows carry a reason and, where malformed, the line itself."""
+    schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     wide = StructType([*schema.fields, StructField(CORRUPT, StringType())])
     rows = spark.read.schema(wide).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
     lacking = F.lit(False)
@@ -57,7 +58,7 @@ def _absent(c: Column, data_type) -> Column:
     return c.isNull()
 
 
-def read_json_array(spark: SparkSession, path, schema: StructType) -> DataFrame:
+def read_json_array(spark: SparkSession, path, schema) -> DataFrame:
     """A file that is one JSON array. Such a file is one task; use JSON lines for large data."""
     return spark.read.option("multiLine", True).schema(schema).json(path)
 

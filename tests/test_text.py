@@ -12,24 +12,25 @@ def apply(spark, values, column, schema="t string"):
     return [r[0] for r in spark.createDataFrame([(v,) for v in values], schema).select(column).collect()]
 
 
-T = F.col("t")
+def t():
+    return F.col("t")
 
 
 def test_small_text_operators(spark):
-    assert apply(spark, [" Fresh, RED-pepper! ", "a  b", None], text.norm_text(T)) == ["fresh  red pepper", "a  b", None]
-    assert apply(spark, ["a  b\t\nc"], text.norm_text(T, collapse=True)) == ["a b c"]
-    assert apply(spark, [" a , b,, c ", "", None], text.comma_list(T)) == [["a", "b", "c"], [], None]
-    assert apply(spark, ["07:30", "11:00", "16:59", "21:00", "22:00", "noon", "7.5:00", ""], text.meal_type(T)) == [
+    assert apply(spark, [" Fresh, RED-pepper! ", "a  b", None], text.norm_text(t())) == ["fresh  red pepper", "a  b", None]
+    assert apply(spark, ["a  b\t\nc"], text.norm_text(t(), collapse=True)) == ["a b c"]
+    assert apply(spark, [" a , b,, c ", "", None], text.comma_list(t())) == [["a", "b", "c"], [], None]
+    assert apply(spark, ["07:30", "11:00", "16:59", "21:00", "22:00", "noon", "7.5:00", ""], text.meal_type(t())) == [
         "breakfast", "lunch", "snack", "dinner", "late night snack", "meal", "meal", "meal"]
-    assert apply(spark, ["", None, "x"], text.default_if_empty(T, "none")) == ["none", "none", "x"]
-    assert apply(spark, ["/users/12/items/3x", "/a"], text.normalize_path(T)) == ["/users/:id/items/:idx", "/a"]
-    assert apply(spark, ["  a b\n c ", ""], text.token_count(T)) == [3, 0]
-    assert apply(spark, [" ", " \t", "x", None], text.is_blank(T)) == [True, True, False, True]
+    assert apply(spark, ["", None, "x"], text.default_if_empty(t(), "none")) == ["none", "none", "x"]
+    assert apply(spark, ["/users/12/items/3x", "/a"], text.normalize_path(t())) == ["/users/:id/items/:idx", "/a"]
+    assert apply(spark, ["  a b\n c ", ""], text.token_count(t())) == [3, 0]
+    assert apply(spark, [" ", " \t", "x", None], text.is_blank(t())) == [True, True, False, True]
 
 
 def test_oxford_list(spark):
     cases = [["a"], ["a", "b"], ["a", "b", "c"], [], None]
-    assert apply(spark, cases, text.oxford_list(T), "t array<string>") == ["a", "a and b", "a, b, and c", "", ""]
+    assert apply(spark, cases, text.oxford_list(t()), "t array<string>") == ["a", "a and b", "a, b, and c", "", ""]
 
 
 def test_steps(spark):
@@ -41,15 +42,15 @@ def test_steps(spark):
         "": [],
         "  \r\n ": [],
     }
-    assert apply(spark, list(cases), text.split_steps(T)) == list(cases.values())
+    assert apply(spark, list(cases), text.split_steps(t())) == list(cases.values())
 
 
 def test_prompt_cuts(spark):
-    assert apply(spark, ['{"a": 1}<|eot_id|>{', "x }", " {} "], text.clean_variant(T)) == ['{"a": 1}', "x }", "{}"]
+    assert apply(spark, ['{"a": 1}<|eot_id|>{', "x }", " {} "], text.clean_variant(t())) == ['{"a": 1}', "x }", "{}"]
     head = "<|start_header_id|>assistant<|end_header_id|>"
     outputs = [f"u{head}\n```json\n{{1}}\n```<|eot_id|>z", f"u{head} say {{1}} end", f"u{head} }} {{", f"u{head} plain ", " none ",
                f"u{head}```json {{2}}"]
-    assert apply(spark, outputs, text.assistant_part(T)) == ["{1}", "{1}", "", "plain", "none", "```json {2}"]
+    assert apply(spark, outputs, text.assistant_part(t())) == ["{1}", "{1}", "", "plain", "none", "```json {2}"]
 
 
 def test_error_recipes(spark):
@@ -90,7 +91,7 @@ TEXTS = {
 
 @pytest.mark.parametrize("i,policy", list(enumerate(["service", "eval", "greedy", "judge"])))
 def test_json_policies(spark, i, policy):
-    got = apply(spark, [*TEXTS, None, ""], recover_json(T, policy)["valid"])
+    got = apply(spark, [*TEXTS, None, ""], recover_json(t(), policy)["valid"])
     assert got == [bool(v[i]) for v in TEXTS.values()] + [False, False]
 
 
@@ -111,9 +112,9 @@ def test_selected_items(spark):
         CHAT.format(f"{PANTRY}\n- Rice\nno dash\nInstructions: x\n- fry"),
         CHAT.format("nothing"), "no assistant", CHAT.format(f"{PANTRY}\n- a\nSuggested: b\n- c\nInstructions:\n- d"),
     ]
-    assert apply(spark, cases, diet.selected_items(T, "validator")) == [
+    assert apply(spark, cases, diet.selected_items(t(), "validator")) == [
         ["rice", "ham"], ["rice"], [], [], ["a", "c"]]
-    assert apply(spark, cases, diet.selected_items(T, "cleaner")) == [
+    assert apply(spark, cases, diet.selected_items(t(), "cleaner")) == [
         ["rice", "ham", ""], ["rice"], [], [], ["a"]]
 
 
