@@ -7,7 +7,7 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from larder.functions.text import is_filled, strip
+from larder.functions.text import is_filled, once, strip
 
 # Canonical unit -> the spellings that mean it.
 UNIT_SPELLINGS = {
@@ -43,68 +43,63 @@ def lookup(table: dict, key: Column) -> Column:
     return F.try_element_at(entries, key)
 
 
+ALIASES = {spelling: unit for unit, group in UNIT_SPELLINGS.items() for spelling in group}
+
+
 def normalize_unit(c: Column) -> Column:
     """Canonical unit of a spelling; unknown spellings stay, empty text is null."""
-    spelling = strip(F.lower(c))
-    aliases = {s: unit for unit, group in UNIT_SPELLINGS.items() for s in group}
-    return F.when(is_filled(c), F.coalesce(lookup(aliases, spelling), spelling))
+    return F.when(is_filled(c), once(strip(F.lower(c)), lambda s: F.coalesce(lookup(ALIASES, s), s)))
 
 
 def _unit_or_pieces(c: Column) -> Column:
-    unit = normalize_unit(c)
-    return F.when(is_filled(unit), unit).otherwise("pcs")
+    return once(normalize_unit(c), lambda unit: F.when(is_filled(unit), unit).otherwise("pcs"))
 
 
 def _number(c: Column) -> Column:
     """"2", "1.5" or "1/2" as a number, 1.0 where it is none (or divides by zero)."""
-    parts = F.split(c, "/")
-    ratio = F.try_divide(F.get(parts, F.lit(0)).try_cast("double"), F.get(parts, F.lit(1)).try_cast("double"))
-    value = F.when(F.contains(c, F.lit("/")), F.when(F.size(parts) == 2, ratio)).otherwise(c.try_cast("double"))
+    def ratio(parts: Column) -> Column:
+        return F.when(F.size(parts) == 2, F.try_divide(
+            F.get(parts, F.lit(0)).try_cast("double"), F.get(parts, F.lit(1)).try_cast("double")
+        ))
+
+    value = F.when(F.contains(c, F.lit("/")), once(F.split(c, "/"), ratio)).otherwise(c.try_cast("double"))
     return F.coalesce(value, F.lit(1.0))
 
 
 def parse_ingredient(c: Column) -> Column:
-    """Ingredient text -> struct(qty, unit, name)."""
-    text = strip(c)
-
-    def group(pattern: str, i: int) -> Column:
-        return F.regexp_extract(text, pattern, i)
-
+    """Ingredient text -> struct(qty, unit, name); the forms are tried in order, each pattern once."""
     def parsed(qty, unit, name) -> Column:
         return F.struct(qty.alias("qty"), unit.alias("unit"), strip(name).alias("name"))
 
-    return (
-        F.when(c.isNull(), F.lit(None))
-        .when(
-            group(LEADING, 1) != "",
-            parsed(_number(group(LEADING, 1)), _unit_or_pieces(group(LEADING, 2)), group(LEADING, 3)),
-        )
-        .when(
-            group(IN_PARENTHESES, 2) != "",
-            parsed(
-                _number(group(IN_PARENTHESES, 2)),
-                _unit_or_pieces(group(IN_PARENTHESES, 3)),
-                group(IN_PARENTHESES, 1),
-            ),
+    def read(text: Column, pattern: str, groups, then, otherwise) -> Column:
+        """``then(groups)`` where the pattern occurs: its first listed group is never empty in a match."""
+        found = F.array(*[F.regexp_extract(text, pattern, g) for g in groups])
+        return once(found, lambda g: F.when(g[0] != "", then(g)).otherwise(otherwise))
+
+    def form(text: Column) -> Column:
+        plain = parsed(F.lit(1.0), F.lit("pcs"), text)
+        inline = read(text, INLINE, [1, 2], lambda g: parsed(_number(g[0]), _unit_or_pieces(g[1]), text), plain)
+        paren = read(
+            text, IN_PARENTHESES, [2, 3, 1], lambda g: parsed(_number(g[0]), _unit_or_pieces(g[1]), g[2]), inline
         )
-        .when(group(INLINE, 1) != "", parsed(_number(group(INLINE, 1)), _unit_or_pieces(group(INLINE, 2)), text))
-        .otherwise(parsed(F.lit(1.0), F.lit("pcs"), text))
-    )
+        return read(text, LEADING, [1, 2, 3], lambda g: parsed(_number(g[0]), _unit_or_pieces(g[1]), g[2]), paren)
+
+    return F.when(c.isNotNull(), once(strip(c), form))
 
 
 def convert_unit(qty: Column, src: Column, dst: Column) -> Column:
     """Quantity in another unit of the same kind; null where the kinds differ."""
-    a, b = normalize_unit(src), normalize_unit(dst)
-    return (
-        F.when(~is_filled(a) | ~is_filled(b), F.lit(None))
-        .when(a == b, qty)
-        .otherwise(
-            F.coalesce(
-                qty * lookup(GRAMS, a) / lookup(GRAMS, b),
-                qty * lookup(MILLILITRES, a) / lookup(MILLILITRES, b),
-            )
+    def converted(a: Column, b: Column) -> Column:
+        return (
+            F.when(~is_filled(a) | ~is_filled(b), F.lit(None))
+            .when(a == b, qty)
+            .otherwise(F.coalesce(
+                qty * lookup(GRAMS, a) / lookup(GRAMS, b), qty * lookup(MILLILITRES, a) / lookup(MILLILITRES, b)
+            ))
         )
-    )
+
+    units = F.struct(normalize_unit(src).alias("a"), normalize_unit(dst).alias("b"))
+    return once(units, lambda u: converted(u["a"], u["b"]))
 
 
 def canonical_qty(qty: Column, unit: Column) -> Column:
