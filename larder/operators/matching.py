@@ -15,6 +15,7 @@ from larder.functions.similarity import best_in_block, match_counts_in_block
 from larder.functions.text import array_missing, norm_text
 from larder.functions.units import parse_ingredient
 from larder.operators.stock import deduct, deduction_amount
+from larder.session import settled
 
 BLOCK = 512
 # The similarity of equal names is 1 below this length; beyond it frequent letters are ignored.
@@ -33,12 +34,15 @@ def _item_names(inventory: DataFrame, collapse: bool = False) -> DataFrame:
     )
 
 
-def _blocks(names: DataFrame, block: Column, packed: Column, size: int) -> DataFrame:
-    """Names packed into lists of about ``size`` per user; a user with few names gets one list."""
-    counts = names.groupBy("user_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).alias("_blocks"))
+def _block_numbers(names: DataFrame, size: int) -> DataFrame:
+    return names.groupBy("user_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).alias("_blocks"))
+
+
+def _blocks(names: DataFrame, packed: Column, size: int) -> DataFrame:
+    """Names packed into sorted lists of about ``size`` per user; a user with few names gets one list."""
     return (
-        names.join(counts, "user_id")
-        .withColumn("_block", F.pmod(block, F.col("_blocks")))
+        names.join(_block_numbers(names, size), "user_id")
+        .withColumn("_block", F.pmod(F.xxhash64("_name"), F.col("_blocks")))
         .groupBy("user_id", "_block")
         .agg(F.array_sort(F.collect_list(packed)).alias("_packed"))
     )
@@ -47,19 +51,22 @@ def _blocks(names: DataFrame, block: Column, packed: Column, size: int) -> DataF
 def _block_pairs(left: DataFrame, items: DataFrame, size: int) -> DataFrame:
     """Lists of ingredient names beside lists of items of the same user.
 
-    Rows are lists, not names, and they are spread by both list numbers, so the
-    lists of one hot user do not stay in one task.
+    Rows are lists, not names. Every ingredient list is addressed to each item
+    list of its user by number, so the join key of a hot user is many keys.
     """
-    left_lists = _blocks(left, F.xxhash64("_name"), F.col("_name"), size).select(
-        "user_id", F.col("_block").alias("_left"), F.col("_packed").alias("names")
+    # Comparing costs far more than the bytes suggest: with a fixed number the partitions are not merged.
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = ("user_id", "_right")
+    names = (
+        _blocks(left, F.col("_name"), size)
+        .join(_block_numbers(items, size), "user_id")
+        .select("user_id", F.col("_packed").alias("names"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_right"))
     )
     # Items sorted by id: the first of equal scores is the lowest id.
-    item_lists = _blocks(items, F.xxhash64("_name"), F.struct("item_id", "_name"), size).select(
+    lists = _blocks(items, F.struct("item_id", "_name"), size).select(
         "user_id", F.col("_block").alias("_right"), F.col("_packed").alias("items")
     )
-    # A fixed number of partitions: comparing costs far more than the bytes suggest, so they must not be merged.
-    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return left_lists.join(item_lists, "user_id").repartition(n, "user_id", "_left", "_right")
+    return names.repartition(n, *spread).join(lists.repartition(n, *spread), list(spread))
 
 
 def best_item_match(
@@ -70,9 +77,9 @@ def best_item_match(
     Ties go to the lowest item id; names without a match of ``min_score`` give
     no row. Equal names are joined directly, the rest is compared in lists.
     """
-    wanted = _names(ingredients.select("user_id", "ingredient").distinct(), "ingredient")
+    wanted = settled(_names(ingredients.select("user_id", "ingredient").distinct(), "ingredient"), "wanted")
     names = wanted.select("user_id", "_name").distinct()
-    items = _item_names(inventory)
+    items = settled(_item_names(inventory), "items")
     short = F.length("_name") < EXACT_LENGTH
     equal = names.filter(short).join(items, ["user_id", "_name"]).select(
         "user_id", "_name", "item_id", F.lit(1.0).alias("score")
@@ -103,11 +110,12 @@ def matching_items(
     ingredients: DataFrame, inventory: DataFrame, min_score: float = 0.45, block: int = BLOCK
 ) -> DataFrame:
     """Per ingredient name how many item names of the user match it (shared word or similarity)."""
-    wanted = _names(ingredients.select("user_id", "ingredient").distinct(), "ingredient")
+    wanted = settled(_names(ingredients.select("user_id", "ingredient").distinct(), "ingredient"), "wanted")
     names = wanted.select("user_id", "_name").distinct()
+    items = settled(_item_names(inventory), "items")
     counts = match_counts_in_block(F.col("names"), F.transform("items", lambda i: i["_name"]), min_score)
     found = (
-        _block_pairs(names, _item_names(inventory), block)
+        _block_pairs(names, items, block)
         .withColumn("n", counts)
         .withColumn("_found", F.explode(F.arrays_zip("names", "n")))
         .groupBy("user_id", F.col("_found.names").alias("_name"))
@@ -120,37 +128,56 @@ def matching_items(
     )
 
 
-def _substrings(names: DataFrame, other: DataFrame) -> DataFrame:
-    """Distinct substrings of every name, of the lengths that the user's other names have."""
-    lengths = other.groupBy("user_id").agg(F.collect_set(F.length("_name")).alias("_lengths"))
-    name = F.col("_name")
-
-    def cuts(n: Column) -> Column:
-        last = F.length(name) - n + 1
+def _cuts(text: Column, lengths: Column) -> Column:
+    """Distinct substrings of the given lengths."""
+    def of_length(n: Column) -> Column:
+        last = F.length(text) - n + 1
         starts = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda p: F.substring(name, p, n))
+        return F.transform(starts, lambda p: F.substring(text, p, n))
+
+    return F.array_distinct(F.flatten(F.transform(lengths, of_length)))
+
 
-    parts = F.array_distinct(F.flatten(F.transform("_lengths", cuts)))
-    return names.join(lengths, "user_id").withColumn("_part", F.explode(parts)).drop("_lengths")
+def _contained(containers: DataFrame, parts: DataFrame) -> DataFrame:
+    """Which names of one table each distinct name of another contains, as (_name, _part).
+
+    Works on the two vocabularies, without users: a name is cut into substrings
+    of the lengths that occur among the parts, and these are joined on equality.
+    A name has few parts, so joining the result to users multiplies little.
+    """
+    inside = parts.select(F.col("_name").alias("_part")).distinct()
+    lengths = inside.agg(F.collect_set(F.length("_part"))).scalar()
+    return (
+        containers.select("_name").distinct().withColumn("_lengths", lengths)
+        .select("_name", F.explode(_cuts(F.col("_name"), F.col("_lengths"))).alias("_part"))
+        .join(inside, "_part")
+        .select("_name", "_part")
+    )
 
 
 def containing_item(ingredients: DataFrame, inventory: DataFrame) -> DataFrame:
     """The first item (lowest id) whose name contains the ingredient name or is contained in it.
 
-    Both directions are equi joins: names on one side, substrings on the other,
-    already reduced to the lowest item id per (user, substring).
+    All joins are equi joins, and each direction is reduced to the lowest item
+    id per (user, name) ahead of the last one.
     """
-    wanted = _names(ingredients.select("user_id", "ingredient").distinct(), "ingredient", collapse=True)
+    wanted = settled(_names(ingredients.select("user_id", "ingredient").distinct(), "ingredient", collapse=True), "wanted")
     names = wanted.select("user_id", "_name").distinct()
-    items = _item_names(inventory, collapse=True)
-    item_parts = (
-        _substrings(items, names).groupBy("user_id", F.col("_part").alias("_name"))
-        .agg(F.min("item_id").alias("item_id"))
+    items = settled(_item_names(inventory, collapse=True), "items")
+    inside_item = (
+        items.join(_contained(items, names), "_name")
+        .groupBy("user_id", F.col("_part").alias("_name")).agg(F.min("item_id").alias("item_id"))
+        .join(names, ["user_id", "_name"])
+    )
+    holds_item = (
+        names.join(_contained(names, items), "_name")
+        .join(items.withColumnRenamed("_name", "_part"), ["user_id", "_part"])
+        .groupBy("user_id", "_name").agg(F.min("item_id").alias("item_id"))
+    )
+    first = (
+        inside_item.select("user_id", "_name", "item_id").unionByName(holds_item)
+        .groupBy("user_id", "_name").agg(F.min("item_id").alias("item_id"))
     )
-    inside_item = names.join(item_parts, ["user_id", "_name"]).select("user_id", "_name", "item_id")
-    whole_items = items.select("user_id", F.col("_name").alias("_part"), "item_id")
-    holds_item = _substrings(names, items).join(whole_items, ["user_id", "_part"]).select("user_id", "_name", "item_id")
-    first = inside_item.unionByName(holds_item).groupBy("user_id", "_name").agg(F.min("item_id").alias("item_id"))
     return wanted.join(first, ["user_id", "_name"]).select("user_id", "ingredient", "item_id")
 
 
@@ -198,14 +225,8 @@ def rule_hits(ingredients: DataFrame, rules: DataFrame, max_keyword: int = 100)
     keyed = rules.filter(F.length("keyword") > 0).withColumn("_head", head)
     lengths = keyed.agg(F.collect_set(F.length("_head"))).scalar()
 
-    def cuts(n: Column) -> Column:
-        last = F.length(text) - n + 1
-        starts = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda p: F.substring(text, p, n))
-
-    parts = F.array_distinct(F.flatten(F.transform("_lengths", cuts)))
     first = (
-        names.withColumn("_lengths", lengths).withColumn("_head", F.explode(parts))
+        names.withColumn("_lengths", lengths).withColumn("_head", F.explode(_cuts(text, F.col("_lengths"))))
         .join(keyed, "_head")
         .filter(F.contains(text, F.col("keyword")))
         .groupBy("ingredient", "class")

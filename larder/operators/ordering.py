@@ -15,33 +15,28 @@ from larder.functions.prompts import hash_bucket
 from larder.functions.units import lookup
 
 
-def join_null_safe(left: DataFrame, right: DataFrame, keys, how: str = "inner") -> DataFrame:
-    """Equi join on keys that may be null; the left keys are kept."""
-    r = right.select(*[F.col(k).alias(f"_r_{k}") if k in keys else F.col(k) for k in right.columns])
-    on = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
-    condition = on[0]
-    for c in on[1:]:
-        condition = condition & c
-    return left.join(r, condition, how).drop(*[f"_r_{k}" for k in keys])
-
-
-def running_number(
-    df: DataFrame, keys, order, bucket: Column, name: str = "row_number", descending: bool = False
-) -> DataFrame:
-    """Row number per key along ``order``; ``bucket`` must follow the same order."""
-    keys = list(keys)
-    cols = df.columns
-    parts = df.withColumn("_bucket", bucket)
-    counts = parts.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    by_bucket = F.col("_bucket").desc_nulls_last() if descending else F.col("_bucket").asc_nulls_first()
+def packed(*cols) -> Column:
+    """Columns as one struct: equal where all fields are equal or both null, so null keys join like any other.
+
+    Grouping, joining and windows on the same packed column share one shuffle.
+    """
+    return F.struct(*cols)
+
+
+def running_number(df: DataFrame, keys, order, bucket: Column, name: str = "row_number") -> DataFrame:
+    """Row number per key along ``order``; ``bucket`` must never decrease along the order."""
+    parts = df.withColumns({"_key": packed(*keys), "_bucket": packed(bucket.alias("at"))})
+    return _shifted(parts, F.col("_bucket").asc(), F.row_number(), order, name).select(*df.columns, name)
+
+
+def _shifted(parts: DataFrame, bucket_order: Column, number: Column, order, name: str) -> DataFrame:
+    """``number`` along ``order`` inside each (_key, _bucket), shifted by the rows of the buckets ahead."""
+    counts = parts.groupBy("_key", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     # One row per (key, bucket) from here on, so this window is small even for a hot key.
-    before = (
-        Window.partitionBy(*keys).orderBy(by_bucket).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = counts.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    numbered = join_null_safe(parts, offsets, [*keys, "_bucket"])
-    return numbered.withColumn(name, F.col("_offset") + F.row_number().over(inside)).select(*cols, name)
+    ahead = Window.partitionBy("_key").orderBy(bucket_order).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_key", "_bucket", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy("_key", "_bucket").orderBy(*order)
+    return parts.join(offsets, ["_key", "_bucket"]).withColumn(name, F.col("_offset") + number.over(inside))
 
 
 def first_n_per(df: DataFrame, keys, order, n: int) -> DataFrame:
@@ -102,17 +97,9 @@ def rank_within(df: DataFrame, keys, score: str, splits) -> DataFrame:
     bucket = F.lit(0)
     for s in splits:
         bucket = bucket + F.when(F.col(score) >= s, 1).otherwise(0)
-    cols = df.columns
-    parts = df.withColumn("_bucket", bucket)
-    counts = parts.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    above = Window.partitionBy(*keys).orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_offset", F.coalesce(F.sum("_n").over(above), F.lit(0))).drop("_n")
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(F.desc(score))
-    return (
-        join_null_safe(parts, offsets, [*keys, "_bucket"])
-        .withColumn("rank", F.col("_offset") + F.rank().over(inside))
-        .select(*cols, "rank")
-    )
+    parts = df.withColumns({"_key": packed(*keys), "_bucket": bucket})
+    by_score = [F.desc(score)]
+    return _shifted(parts, F.desc("_bucket"), F.rank(), by_score, "rank").select(*df.columns, "rank")
 
 
 def with_share_of_max(df: DataFrame, col: str, floor: float = 1.0) -> DataFrame:

@@ -11,49 +11,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.operators.ordering import join_null_safe
+from larder.operators.ordering import packed
 
 SLICES = 64
 
 
 def exact_quantiles(df: DataFrame, keys, value: str, probs: dict) -> DataFrame:
     """Linear-interpolated quantiles per key, nulls left out; ``probs`` names them."""
-    keys = list(keys)
     counts = (
         df.filter(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("double").alias("_v"))
+        .groupBy(packed(*keys).alias("_key"), F.col(value).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_c"))
     )
     cuts = [i / SLICES for i in range(1, SLICES)]
-    splits = counts.groupBy(*keys).agg(F.approx_percentile("_v", cuts, 1000).alias("_splits"))
-    sliced = join_null_safe(counts, splits, keys).withColumn(
-        "_slice", F.size(F.filter("_splits", lambda s: s < F.col("_v")))
-    ).drop("_splits")
+    splits = counts.groupBy("_key").agg(F.approx_percentile("_v", cuts, 1000).alias("_splits"))
+    sliced = counts.join(splits, "_key").select(
+        "_key", "_v", "_c", F.size(F.filter("_splits", lambda s: s < F.col("_v"))).alias("_slice")
+    )
 
     # Positions wanted per key, and the slices they fall in: at most 64 rows per key.
-    totals = sliced.groupBy(*keys, "_slice").agg(F.sum("_c").alias("_m"))
-    ahead = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
+    totals = sliced.groupBy("_key", "_slice").agg(F.sum("_c").alias("_m"))
+    ahead = Window.partitionBy("_key").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     wanted = []
     for name, p in probs.items():
         at = F.lit(p) * (F.col("_total") - 1)
-        wanted.append(F.struct(F.lit(name).alias("q"), F.floor(at).alias("pos"), (at - F.floor(at)).alias("frac"),
-                               F.lit(False).alias("upper")))
-        wanted.append(F.struct(F.lit(name).alias("q"), F.ceil(at).alias("pos"), (at - F.floor(at)).alias("frac"),
-                               F.lit(True).alias("upper")))
+        for upper, pos in ((False, F.floor(at)), (True, F.ceil(at))):
+            wanted.append(F.struct(
+                F.lit(name).alias("q"), pos.alias("pos"), (at - F.floor(at)).alias("frac"), F.lit(upper).alias("upper")
+            ))
     positions = (
         totals.withColumn("_ahead", F.coalesce(F.sum("_m").over(ahead), F.lit(0)))
-        .withColumn("_total", F.sum("_m").over(whole))
+        .withColumn("_total", F.sum("_m").over(Window.partitionBy("_key")))
         .withColumn("_wanted", F.filter(
             F.array(*wanted),
             lambda w: (w["pos"] >= F.col("_ahead")) & (w["pos"] < F.col("_ahead") + F.col("_m")),
         ))
         .filter(F.size("_wanted") > 0)
-        .select(*keys, "_slice", "_ahead", "_wanted")
+        .select("_key", "_slice", "_ahead", "_wanted")
     )
-    upto = Window.partitionBy(*keys, "_slice").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    upto = Window.partitionBy("_key", "_slice").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     hits = (
-        join_null_safe(sliced, positions, [*keys, "_slice"])
+        sliced.join(positions, ["_key", "_slice"])
         .withColumn("_to", F.col("_ahead") + F.sum("_c").over(upto))
         .withColumn("_from", F.col("_to") - F.col("_c"))
         .withColumn("_w", F.explode("_wanted"))
@@ -66,4 +64,4 @@ def exact_quantiles(df: DataFrame, keys, value: str, probs: dict) -> DataFrame:
         high = F.max(F.when(is_q & F.col("_w.upper"), F.col("_v")))
         frac = F.max(F.when(is_q, F.col("_w.frac")))
         result.append((low + (high - low) * frac).alias(name))
-    return hits.groupBy(*keys).agg(*result)
+    return hits.groupBy("_key").agg(*result).select("_key.*", *probs)
