@@ -160,7 +160,7 @@ def user_streaks(history: DataFrame, n: int = 5) -> DataFrame:
 def with_generation_number(generations: DataFrame) -> DataFrame:
     """Running number of a generation per user, by time and id."""
     return running_number(
-        generations, ["user_id"], ["created_at", "id"], F.date_trunc("hour", "created_at"), "generation_number"
+        generations, ["user_id"], ["created_at", "id"], F.date_trunc("minute", "created_at"), "generation_number"
     )
 
 

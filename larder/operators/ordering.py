@@ -29,12 +29,17 @@ def running_number(df: DataFrame, keys, order, bucket: Column, name: str = "row_
     return _shifted(parts, F.col("_bucket").asc(), F.row_number(), order, name).select(*df.columns, name)
 
 
-def _shifted(parts: DataFrame, bucket_order: Column, number: Column, order, name: str) -> DataFrame:
-    """``number`` along ``order`` inside each (_key, _bucket), shifted by the rows of the buckets ahead."""
+def _shifted(parts: DataFrame, bucket_order: Column, number: Column, order, name: str, most=None) -> DataFrame:
+    """``number`` along ``order`` inside each (_key, _bucket), shifted by the rows of the buckets ahead.
+
+    With ``most`` (a column of the key) only buckets that begin below it are kept and sorted.
+    """
     counts = parts.groupBy("_key", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     # One row per (key, bucket) from here on, so this window is small even for a hot key.
     ahead = Window.partitionBy("_key").orderBy(bucket_order).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_key", "_bucket", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_offset"))
+    if most is not None:
+        offsets = offsets.filter(F.col("_offset") < most)
     inside = Window.partitionBy("_key", "_bucket").orderBy(*order)
     return parts.join(offsets, ["_key", "_bucket"]).withColumn(name, F.col("_offset") + number.over(inside))
 
@@ -43,7 +48,8 @@ def first_n_per(df: DataFrame, keys, order, n: int) -> DataFrame:
     """The first ``n`` rows per key along ``order``.
 
     The constant limit reaches the tasks ahead of the shuffle (window group
-    limit), so at most ``n`` rows per key and task are moved.
+    limit, up to n = 1000 by default), so at most ``n`` rows per key and task are
+    moved. For a larger ``n`` filter ``running_number``.
     """
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
@@ -63,18 +69,17 @@ def arg_max_first(df: DataFrame, keys, score: str, tie) -> DataFrame:
 def quota_sample(df: DataFrame, stratum: str, quotas: dict, key: str) -> DataFrame:
     """At most ``quotas[stratum]`` rows per stratum, picked by the md5 of the key.
 
-    The largest quota is the constant limit that prunes ahead of the shuffle.
+    Rows are bucketed by the first three hex digits; only the buckets that a
+    quota reaches into are sorted, so a hot stratum costs a count and not a sort.
     """
-    quota = lookup({k: int(v) for k, v in quotas.items()}, F.col(stratum))
-    w = Window.partitionBy(stratum).orderBy(F.md5(F.col(key).cast("string")), F.col(key))
-    most = max(quotas.values())
-    return (
-        df.filter(F.col(stratum).isin(list(quotas)))
-        .withColumn("_rn", F.row_number().over(w))
-        .filter(F.col("_rn") <= most)
-        .filter(F.col("_rn") <= quota)
-        .drop("_rn")
-    )
+    wanted = {k: int(v) for k, v in quotas.items()}
+    digest = F.md5(F.col(key).cast("string"))
+    parts = df.filter(F.col(stratum).isin(list(quotas))).withColumns({
+        "_key": packed(stratum), "_digest": digest, "_bucket": F.substring(digest, 1, 3),
+    })
+    quota = lookup(wanted, F.col(f"_key.{stratum}"))
+    picked = _shifted(parts, F.asc("_bucket"), F.row_number(), ["_digest", key], "_rn", quota)
+    return picked.filter(F.col("_rn") <= quota).select(*df.columns)
 
 
 def hash_split(df: DataFrame, key: str, weights: dict, salt: str = "") -> DataFrame:

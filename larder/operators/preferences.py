@@ -42,7 +42,7 @@ def threshold_events(prefs: DataFrame, n: int = 50, null_skipped: str = "keep")
     """The preference with which a user reaches ``n``: the batch form of the notice."""
     numbered = running_number(
         usable_prefs(prefs, null_skipped), ["user_id"], ["created_at", "id"],
-        F.date_trunc("hour", "created_at"), "preference_count",
+        F.date_trunc("minute", "created_at"), "preference_count",
     )
     return numbered.filter(F.col("preference_count") == n)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions.text import is_blank
-from larder.operators.quantiles import exact_quantiles
+from larder.operators.quantiles import described
 
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 
@@ -113,22 +113,16 @@ def under_represented(df: DataFrame, slice_cols, floor: float = 5, share: float
 def describe_by(df: DataFrame, slice_col: str, value_col: str, approx: bool = False) -> DataFrame:
     """Count, mean, deviation, range and quartiles of a value per slice; null slices are left out."""
     rows = df.filter(F.col(slice_col).isNotNull()).select(slice_col, value_col)
+    if not approx:
+        return described(rows, [slice_col], value_col, QUARTILES)
     v = F.col(value_col)
-    moments = [
+    sketch = F.approx_percentile(v, list(QUARTILES.values()), 10000)
+    return rows.groupBy(slice_col).agg(
         F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"),
-        F.max(v).alias("max"),
-    ]
-    if approx:
-        sketch = F.approx_percentile(v, list(QUARTILES.values()), 10000)
-        out = rows.groupBy(slice_col).agg(*moments, sketch.alias("_q"))
-        return out.select(
-            slice_col, "n", "mean", "std", "min",
-            *[F.get("_q", F.lit(i)).alias(q) for i, q in enumerate(QUARTILES)], "max",
-        )
-    stats = rows.groupBy(slice_col).agg(*moments)
-    quantiles = exact_quantiles(rows, [slice_col], value_col, QUARTILES)
-    return stats.join(quantiles, slice_col, "left").select(
-        slice_col, "n", "mean", "std", "min", *QUARTILES, "max"
+        F.max(v).alias("max"), sketch.alias("_q"),
+    ).select(
+        slice_col, "n", "mean", "std", "min",
+        *[F.get("_q", F.lit(i)).alias(q) for i, q in enumerate(QUARTILES)], "max",
     )
 
 
@@ -156,15 +150,8 @@ def profile(df: DataFrame, approx: bool = False) -> DataFrame:
         F.sum("_n").alias("n"), F.count(F.lit(1)).alias("unique"),
         F.min(F.struct((-F.col("_n")).alias("neg"), "text")).alias("_top"),
     ).select("column", "n", "unique", F.col("_top.text").alias("top"), (-F.col("_top.neg")).alias("freq"))
-    v = F.col("number")
-    numbers = stacked.filter(v.isNotNull()).select("column", "number")
-    moments = numbers.groupBy("column").agg(
-        F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"),
-        F.max(v).alias("max"),
-    )
-    quartiles = exact_quantiles(numbers, ["column"], "number", QUARTILES)
-    described = moments.join(quartiles, "column")
-    return texts.unionByName(described, allowMissingColumns=True).select(*PROFILE_COLUMNS)
+    numbers = described(stacked.filter(F.col("number").isNotNull()), ["column"], "number", QUARTILES)
+    return texts.unionByName(numbers, allowMissingColumns=True).select(*PROFILE_COLUMNS)
 
 
 NUMERIC_TYPES = {"byte", "short", "integer", "long", "float", "double", "decimal"}

@@ -12,24 +12,49 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.operators.ordering import packed
+from larder.session import settled
 
-SLICES = 64
 
+def value_counts(df: DataFrame, keys, value: str) -> DataFrame:
+    """Rows per (key, value), nulls included: (_key, _v, _c). A hot key is spread by its values."""
+    return df.groupBy(packed(*keys).alias("_key"), F.col(value).cast("double").alias("_v")).agg(
+        F.count(F.lit(1)).alias("_c")
+    )
 
-def exact_quantiles(df: DataFrame, keys, value: str, probs: dict) -> DataFrame:
-    """Linear-interpolated quantiles per key, nulls left out; ``probs`` names them."""
-    counts = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(packed(*keys).alias("_key"), F.col(value).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"))
+
+def moments(counts: DataFrame) -> DataFrame:
+    """n, mean, sample deviation, min and max per key of counted values; the deviation around the exact mean."""
+    v, c = F.col("_v"), F.col("_c")
+    first = counts.groupBy("_key").agg(
+        F.sum(F.when(v.isNotNull(), c).otherwise(0)).alias("n"),
+        F.try_divide(F.sum(v * c), F.sum(F.when(v.isNotNull(), c))).alias("mean"),
+        F.min(v).alias("min"), F.max(v).alias("max"),
+    )
+    spread = counts.join(first.select("_key", "mean"), "_key").groupBy("_key").agg(
+        F.sum(c * (v - F.col("mean")) * (v - F.col("mean"))).alias("_ss")
     )
-    cuts = [i / SLICES for i in range(1, SLICES)]
+    std = F.sqrt(F.try_divide(F.col("_ss"), (F.col("n") - 1).cast("double")))
+    return first.join(spread, "_key").select("_key", "n", "mean", std.alias("std"), "min", "max")
+
+
+def exact_quantiles(df: DataFrame, keys, value: str, probs: dict, slices: int = 64) -> DataFrame:
+    """Linear-interpolated quantiles per key, nulls left out; ``probs`` names them."""
+    return quantiles(value_counts(df, keys, value), probs, slices).select("_key.*", *probs)
+
+
+def quantiles(counts: DataFrame, probs: dict, slices: int = 64) -> DataFrame:
+    """Quantiles per key of counted values.
+
+    More ``slices`` mean smaller sorts for a key with very many distinct values.
+    """
+    counts = counts.filter(F.col("_v").isNotNull())
+    cuts = [i / slices for i in range(1, slices)]
     splits = counts.groupBy("_key").agg(F.approx_percentile("_v", cuts, 1000).alias("_splits"))
     sliced = counts.join(splits, "_key").select(
         "_key", "_v", "_c", F.size(F.filter("_splits", lambda s: s < F.col("_v"))).alias("_slice")
     )
 
-    # Positions wanted per key, and the slices they fall in: at most 64 rows per key.
+    # Positions wanted per key, and the slices they fall in: at most ``slices`` rows per key.
     totals = sliced.groupBy("_key", "_slice").agg(F.sum("_c").alias("_m"))
     ahead = Window.partitionBy("_key").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     wanted = []
@@ -64,4 +89,12 @@ def exact_quantiles(df: DataFrame, keys, value: str, probs: dict) -> DataFrame:
         high = F.max(F.when(is_q & F.col("_w.upper"), F.col("_v")))
         frac = F.max(F.when(is_q, F.col("_w.frac")))
         result.append((low + (high - low) * frac).alias(name))
-    return hits.groupBy("_key").agg(*result).select("_key.*", *probs)
+    return hits.groupBy("_key").agg(*result)
+
+
+def described(df: DataFrame, keys, value: str, probs: dict) -> DataFrame:
+    """Moments and quantiles per key from one scan: the counted values are written once and read by all parts."""
+    counts = settled(value_counts(df, keys, value), "counts")
+    return moments(counts).join(quantiles(counts, probs), "_key", "left").select(
+        "_key.*", "n", "mean", "std", "min", *probs, "max"
+    )
