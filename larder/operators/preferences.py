@@ -19,6 +19,13 @@ def untrained_pairs(prefs: DataFrame) -> DataFrame:
     )
 
 
+def new_pair_status(prefs: DataFrame, pairs: int = 50) -> DataFrame:
+    """How many pairs wait for training, and whether they are enough to start it."""
+    return untrained_pairs(prefs).agg(F.count(F.lit(1)).alias("n_pairs")).withColumn(
+        "status", F.when(F.col("n_pairs") >= pairs, "READY").otherwise("WAITING")
+    )
+
+
 def usable_prefs(prefs: DataFrame, null_skipped: str = "keep") -> DataFrame:
     """Decided pairs that were not skipped; ``drop`` also leaves out pairs whose skip state is unknown."""
     if null_skipped == "keep":

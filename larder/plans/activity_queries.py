@@ -179,6 +179,12 @@ def untrained_pairs(spark, d):
     return prefs_ops.untrained_pairs(preferences(spark, d)).select("id", "user_id", "chosen_variant")
 
 
+@query("new_pair_status", f"""{W_PREFS}
+SELECT count(*) AS n_pairs, CASE WHEN count(*) >= 50 THEN 'READY' ELSE 'WAITING' END AS status FROM prefs WHERE {UNTRAINED}""")
+def new_pair_status(spark, d):
+    return prefs_ops.new_pair_status(preferences(spark, d))
+
+
 @query("usable_prefs_keep", f"{W_PREFS} SELECT id, user_id, skipped FROM prefs WHERE {USABLE}")
 def usable_prefs_keep(spark, d):
     return prefs_ops.usable_prefs(preferences(spark, d)).select("id", "user_id", "skipped")

@@ -198,3 +198,40 @@ def test_user_lists_are_whole(spark):
                                   F.lit(1.0).alias("quantity"), F.lit("kg").alias("unit"))
     got = stock.in_stock_by_user(inv, part_size=50).select("part", F.size("items").alias("n")).collect()
     assert sum(r.n for r in got) == 500 and len(got) == 10
+
+
+class Recorder:
+    """Stands in for a session's reader and keeps the options it is given."""
+
+    def __init__(self):
+        self.seen = {}
+        self.read = self
+
+    def format(self, name):
+        self.seen["format"] = name
+        return self
+
+    def option(self, key, value):
+        self.seen[key] = value
+        return self
+
+    def options(self, **more):
+        self.seen.update(more)
+        return self
+
+    def load(self):
+        return self.seen
+
+
+def test_table_scan_is_partitioned_only_with_a_column():
+    plain = readers.read_table(Recorder(), "jdbc:x", "inventory")
+    assert plain == {"format": "jdbc", "url": "jdbc:x", "dbtable": "inventory"}
+    ranged = readers.read_table(Recorder(), "jdbc:x", "inventory", "id", (1, 900), 12, {"user": "u"})
+    assert ranged["partitionColumn"] == "id" and ranged["upperBound"] == 900 and ranged["numPartitions"] == 12
+
+
+def test_configuration_tables(spark, rows):
+    cases = readers.load_cases(spark, [("p1", "a01", ["rice"], "Make rice", "basic_alignment")])
+    personas = readers.load_personas(spark, [("p1", "One", ["x"], [], "quick", [], ["ham"], [])])
+    got = readers.attach_persona(cases.select("persona", "category"), personas)
+    assert rows(got.select("category", "persona_name", "persona_forbidden_keywords")) == [("basic_alignment", "One", ["ham"])]
