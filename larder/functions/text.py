@@ -11,6 +11,9 @@ WHITESPACE = (
     "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 
+# Fixed value: the same characters inside a character class (the plain class knows ASCII only).
+SPACE = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
 # Phrases that mark a failed recipe.
 ERROR_PHRASES = [
     "no suitable recipe", "cannot be made", "no recipe found", "failed to parse", "unable to",
@@ -48,14 +51,19 @@ def default_if_empty(c: Column, value) -> Column:
 
 def norm_text(c: Column, collapse: bool = False) -> Column:
     """Lower case with every non-alphanumeric as a space; ``collapse`` also folds runs of spaces."""
-    spaced = F.regexp_replace(F.lower(c), r"(?U)[^a-z0-9\s]", " ")
+    spaced = F.regexp_replace(F.lower(c), f"[^a-z0-9{SPACE}]", " ")
     if collapse:
-        spaced = F.regexp_replace(spaced, r"(?U)\s+", " ")
+        spaced = F.regexp_replace(spaced, f"[{SPACE}]+", " ")
     return strip(spaced)
 
 
+def has_name(c: Column) -> Column:
+    """Whether anything is left of a text once it is normalised."""
+    return F.rlike(F.lower(c), F.lit("[a-z0-9]"))
+
+
 def words(c: Column) -> Column:
-    return F.filter(F.split(c, r"(?U)\s+"), lambda w: F.length(w) > 0)
+    return F.filter(F.split(c, f"[{SPACE}]+"), lambda w: F.length(w) > 0)
 
 
 def token_count(c: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions.similarity import best_in_block, match_counts_in_block
-from larder.functions.text import array_missing, norm_text
+from larder.functions.text import array_missing, has_name, norm_text
 from larder.functions.units import parse_ingredient
 from larder.operators.stock import deduct, deduction_amount
 from larder.session import settled
@@ -23,7 +23,8 @@ EXACT_LENGTH = 200
 
 
 def _names(df: DataFrame, col: str, collapse: bool = False) -> DataFrame:
-    return df.withColumn("_name", norm_text(F.col(col), collapse)).filter(F.length("_name") > 0)
+    """Rows with a normalised name; the test on the raw text spares the filter the normalisation."""
+    return df.filter(has_name(F.col(col))).withColumn("_name", norm_text(F.col(col), collapse))
 
 
 def _item_names(inventory: DataFrame, collapse: bool = False) -> DataFrame:
@@ -128,14 +129,15 @@ def matching_items(
     )
 
 
-def _cuts(text: Column, lengths: Column) -> Column:
-    """Distinct substrings of the given lengths."""
-    def of_length(n: Column) -> Column:
-        last = F.length(text) - n + 1
-        starts = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda p: F.substring(text, p, n))
-
-    return F.array_distinct(F.flatten(F.transform(lengths, of_length)))
+def _parts(names: DataFrame, col: str, lengths: Column, part: str) -> DataFrame:
+    """Distinct substrings of a text column, of the lengths in an array; one length at a time, so arrays stay as long as the text."""
+    text, n = F.col(col), F.col("_n")
+    starts = F.sequence(F.lit(1), F.length(text) - n + 1)
+    return (
+        names.withColumn("_lengths", lengths).withColumn("_n", F.explode("_lengths")).filter(n <= F.length(text))
+        .withColumn(part, F.explode(F.array_distinct(F.transform(starts, lambda p: F.substring(text, p, n)))))
+        .drop("_lengths", "_n")
+    )
 
 
 def _contained(containers: DataFrame, parts: DataFrame) -> DataFrame:
@@ -147,12 +149,8 @@ def _contained(containers: DataFrame, parts: DataFrame) -> DataFrame:
     """
     inside = parts.select(F.col("_name").alias("_part")).distinct()
     lengths = inside.agg(F.collect_set(F.length("_part"))).scalar()
-    return (
-        containers.select("_name").distinct().withColumn("_lengths", lengths)
-        .select("_name", F.explode(_cuts(F.col("_name"), F.col("_lengths"))).alias("_part"))
-        .join(inside, "_part")
-        .select("_name", "_part")
-    )
+    parts_of = _parts(containers.select("_name").distinct(), "_name", lengths, "_part")
+    return parts_of.join(inside, "_part").select("_name", "_part")
 
 
 def containing_item(ingredients: DataFrame, inventory: DataFrame) -> DataFrame:
@@ -214,9 +212,8 @@ def rule_hits(ingredients: DataFrame, rules: DataFrame, max_keyword: int = 100)
     """First keyword (lowest ``ord``) per (ingredient row, rule class) that the ingredient contains.
 
     ``rules`` is (class, keyword, ord) and may be large: ingredients are cut into
-    substrings of the keyword lengths and joined on equality. Only lengths up to
-    ``max_keyword`` take that way; longer keywords are joined on their first
-    characters and then compared whole.
+    substrings of the keyword lengths and joined on equality. A keyword longer
+    than ``max_keyword`` is joined on its first characters and then compared whole.
     """
     cols = ingredients.columns
     text = F.col("ingredient")
@@ -226,8 +223,7 @@ def rule_hits(ingredients: DataFrame, rules: DataFrame, max_keyword: int = 100)
     lengths = keyed.agg(F.collect_set(F.length("_head"))).scalar()
 
     first = (
-        names.withColumn("_lengths", lengths).withColumn("_head", F.explode(_cuts(text, F.col("_lengths"))))
-        .join(keyed, "_head")
+        _parts(names, "ingredient", lengths, "_head").join(keyed, "_head")
         .filter(F.contains(text, F.col("keyword")))
         .groupBy("ingredient", "class")
         .agg(F.min_by("keyword", "ord").alias("keyword"))
@@ -264,7 +260,7 @@ def parsed_ingredients(recipes: DataFrame, items: str = "main_ingredients") -> D
 
 def cook_deductions(cooked: DataFrame, inventory: DataFrame, min_score: float = 0.45) -> DataFrame:
     """What cooked recipes take from which item: (user_id, item_id, amount) per ingredient."""
-    used = parsed_ingredients(cooked)
+    used = settled(parsed_ingredients(cooked), "used")
     matches = best_item_match(used, inventory, min_score)
     units = inventory.select("user_id", "item_id", F.col("unit").alias("item_unit"))
     return (

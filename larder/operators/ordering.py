@@ -93,18 +93,17 @@ def hash_split(df: DataFrame, key: str, weights: dict, salt: str = "") -> DataFr
     return df.withColumn("split", label)
 
 
-def rank_within(df: DataFrame, keys, score: str, splits) -> DataFrame:
-    """Competition rank by descending score per key, and the row number by score.
+def rank_within(df: DataFrame, keys, score: str, slices: int = 256) -> DataFrame:
+    """Competition rank by descending score per key.
 
-    ``splits`` are cut points of the score; ranks inside a slice of scores are
-    computed apart and shifted by the rows of the higher slices.
+    A sketch of all scores gives the cut points; ranks inside a slice of scores
+    are computed apart and shifted by the rows of the higher slices, so the
+    sketch balances the work and does not enter the result.
     """
-    bucket = F.lit(0)
-    for s in splits:
-        bucket = bucket + F.when(F.col(score) >= s, 1).otherwise(0)
-    parts = df.withColumns({"_key": packed(*keys), "_bucket": bucket})
-    by_score = [F.desc(score)]
-    return _shifted(parts, F.desc("_bucket"), F.rank(), by_score, "rank").select(*df.columns, "rank")
+    cuts = df.agg(F.approx_percentile(score, [i / slices for i in range(1, slices)], 10 * slices)).scalar()
+    slice_no = F.size(F.filter("_cuts", lambda c: c <= F.col(score)))
+    parts = df.withColumn("_cuts", cuts).withColumns({"_key": packed(*keys), "_bucket": slice_no}).drop("_cuts")
+    return _shifted(parts, F.desc("_bucket"), F.rank(), [F.desc(score)], "rank").select(*df.columns, "rank")
 
 
 def with_share_of_max(df: DataFrame, col: str, floor: float = 1.0) -> DataFrame:

@@ -51,8 +51,8 @@ def pair_accuracy(scored: DataFrame) -> DataFrame:
     )
 
 
-def rank_candidates(scored: DataFrame, key: str = "request_id", splits=()) -> DataFrame:
-    return rank_within(scored, [key], "score", list(splits))
+def rank_candidates(scored: DataFrame, key: str = "request_id") -> DataFrame:
+    return rank_within(scored, [key], "score")
 
 
 def score_and_pick(candidates: DataFrame, weights, key: str = "request_id", candidate: str = "candidate_id") -> DataFrame:

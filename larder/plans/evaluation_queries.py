@@ -525,7 +525,7 @@ def ranked_candidates(spark, d):
         F.col("label").alias("request_id"), F.col("vec_id").alias("candidate_id"),
         F.round(ranking.dot(F.col("embedding"), WEIGHTS), 6).alias("score"),
     )
-    return ranking.rank_candidates(scored, splits=[-0.5, -0.2, 0.0, 0.2, 0.5]).drop("score")
+    return ranking.rank_candidates(scored).drop("score")
 
 
 @query("fitted_ranker")
