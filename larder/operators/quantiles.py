@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.operators.ordering import packed
+from larder.operators.ordering import cut_points, packed, slice_of
 from larder.session import settled
 
 
@@ -37,24 +37,20 @@ def moments(counts: DataFrame) -> DataFrame:
     return first.join(spread, "_key").select("_key", "n", "mean", std.alias("std"), "min", "max")
 
 
-def exact_quantiles(df: DataFrame, keys, value: str, probs: dict, slices: int = 64) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys, value: str, probs: dict) -> DataFrame:
     """Linear-interpolated quantiles per key, nulls left out; ``probs`` names them."""
-    return quantiles(value_counts(df, keys, value), probs, slices).select("_key.*", *probs)
+    return quantiles(value_counts(df, keys, value), probs).select("_key.*", *probs)
 
 
-def quantiles(counts: DataFrame, probs: dict, slices: int = 64) -> DataFrame:
-    """Quantiles per key of counted values.
-
-    More ``slices`` mean smaller sorts for a key with very many distinct values.
-    """
+def quantiles(counts: DataFrame, probs: dict) -> DataFrame:
+    """Quantiles per key of counted values."""
     counts = counts.filter(F.col("_v").isNotNull())
-    cuts = [i / slices for i in range(1, slices)]
-    splits = counts.groupBy("_key").agg(F.approx_percentile("_v", cuts, 1000).alias("_splits"))
+    splits = counts.groupBy("_key").agg(cut_points("_v").alias("_cuts"))
     sliced = counts.join(splits, "_key").select(
-        "_key", "_v", "_c", F.size(F.filter("_splits", lambda s: s < F.col("_v"))).alias("_slice")
+        "_key", "_v", "_c", slice_of(F.col("_v"), F.col("_cuts")).alias("_slice")
     )
 
-    # Positions wanted per key, and the slices they fall in: at most ``slices`` rows per key.
+    # Positions wanted per key, and the slices they fall in: at most 256 rows per key.
     totals = sliced.groupBy("_key", "_slice").agg(F.sum("_c").alias("_m"))
     ahead = Window.partitionBy("_key").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     wanted = []

@@ -34,7 +34,7 @@ def test_running_number_keeps_null_keys(spark):
 def test_rank_with_ties(spark):
     data = skewed(500)
     df = spark.createDataFrame(data, "k int, id int, score double")
-    got = {(r.k, r.id): r.rank for r in ordering.rank_within(df, ["k"], "score", slices=8).collect()}
+    got = {(r.k, r.id): r.rank for r in ordering.rank_within(df, ["k"], "score").collect()}
     for k, i, v in data:
         assert got[k, i] == 1 + sum(1 for k2, _, v2 in data if k2 == k and v2 > v)
 
@@ -77,3 +77,11 @@ def test_quota_sample(spark):
     df = spark.range(1000).withColumn("s", F.when(F.col("id") % 10 == 0, "a").when(F.col("id") % 10 < 5, "b").otherwise("c"))
     got = dict(map(tuple, ordering.quota_sample(df, "s", {"a": 500, "b": 30}, "id").groupBy("s").count().collect()))
     assert got == {"a": 100, "b": 30}
+
+
+def test_slices_never_decrease(spark):
+    df = spark.createDataFrame([(float(v),) for v in range(5000)] + [(2.5,)] * 900 + [(None,)], "v double")
+    cuts = df.agg(ordering.cut_points("v")).scalar()
+    got = df.withColumn("c", cuts).select("v", ordering.slice_of(F.col("v"), F.col("c")).alias("s")).collect()
+    got = sorted((r.v, r.s) for r in got if r.v is not None)
+    assert all(a[1] <= b[1] for a, b in zip(got, got[1:])) and got[0][1] == 0 and got[-1][1] == 255
