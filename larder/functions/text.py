@@ -167,7 +167,7 @@ def assistant_part(c: Column) -> Column:
 
 
 def split_steps(c: Column) -> Column:
-    """Cooking steps: by "Step n" markers, else by bullets, else by lines and sentences."""
+    """Cooking steps: by "Step n" markers, else by bullets, else by lines that open with a marker, else by sentences."""
     text = strip(F.regexp_replace(c, "\r", ""))
 
     def kept(parts: Column) -> Column:
@@ -179,11 +179,14 @@ def split_steps(c: Column) -> Column:
     by_marker = kept(F.slice(pieces, 2, F.greatest(F.size(pieces), F.lit(1))))
     lines = F.split(text, r"\n+")
     by_bullet = kept(F.transform(lines, lambda s: F.regexp_replace(s, r"^\s*[-*]\s+", "")))
+    opening = r"(?i)(?:^|\n)\s*step\s*\d+[.:\-\s]*"
+    by_opening = kept(F.split(text, opening))
     by_sentence = kept(F.flatten(F.transform(lines, lambda s: F.split(s, r"(?<=[.!?])\s+"))))
     return (
         F.when(~is_filled(text), F.array().cast("array<string>"))
         .when(F.size(by_marker) > 0, by_marker)
         .when(F.rlike(text, F.lit(r"(?m)^\s*[-*]\s+")), by_bullet)
+        .when(F.rlike(text, F.lit(opening)), by_opening)
         .otherwise(by_sentence)
     )
 
