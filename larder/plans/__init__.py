@@ -4,7 +4,7 @@ import importlib
 
 MODULES = [
     "stock_queries", "activity_queries", "text_queries", "matching_queries", "evaluation_queries", "io_queries",
-    "stream_queries",
+    "stream_queries", "job_queries",
 ]
 
 
