@@ -10,6 +10,10 @@ from larder.functions.text import clean_variant, is_blank, is_filled, strip
 from larder.operators.ordering import running_number
 
 PAIR = ["prompt", "chosen", "rejected"]
+# The judge's recommendation and the reasons of rejected pairs.
+USE_PAIR = "use_pair"
+NOT_READ = "evaluation_failed"
+NOT_RECOMMENDED = "groq_recommendation_reject"
 
 
 def untrained_pairs(prefs: DataFrame) -> DataFrame:
@@ -98,12 +102,10 @@ def route_pairs(judged: DataFrame, degenerate: bool = False) -> DataFrame:
         "chosen": F.when(F.col("chosen_variant").isNotNull(), pick_by_letter(F.col("chosen_variant"), a, b)),
         "rejected": F.when(F.col("rejected_variant").isNotNull(), pick_by_letter(F.col("rejected_variant"), a, b)),
     })
-    reason = F.when(~is_filled(F.col("chosen")) | ~is_filled(F.col("rejected")), "evaluation_failed")
+    reason = F.when(~is_filled(F.col("chosen")) | ~is_filled(F.col("rejected")), NOT_READ)
     if degenerate:
         reason = reason.when(F.col("chosen_variant") == F.col("rejected_variant"), "degenerate")
-    reason = reason.when(
-        F.coalesce(F.col("recommendation"), F.lit("")) != "use_pair", "groq_recommendation_reject"
-    )
+    reason = reason.when(F.coalesce(F.col("recommendation"), F.lit("")) != USE_PAIR, NOT_RECOMMENDED)
     return out.withColumn("reason", reason).withColumn(
         "route", F.when(F.col("reason").isNull(), "accepted").otherwise("rejected")
     )
@@ -139,15 +141,19 @@ def mark_exported(prefs: DataFrame, exported_ids: DataFrame) -> DataFrame:
     )
 
 
-def apply_choices(prefs: DataFrame, choices: DataFrame, chosen_at) -> tuple:
+def apply_choices(prefs: DataFrame, choices: DataFrame, chosen_at, order: str | None = None) -> tuple:
     """Choices (id, user_id, choice, servings) recorded: (preferences, new history rows).
 
-    The link to the history row is the preference id, which makes a repeated
-    run give the same rows.
+    Every valid choice gives a history row. With an ``order`` column a preference
+    may be chosen several times and keeps the last choice; without it one choice
+    per preference is expected. The link to the history row is the preference
+    id, which makes a repeated run give the same rows.
     """
-    valid = choices.withColumn("choice", F.upper("choice")).filter(F.col("choice").isin("A", "B"))
-    picked = valid.select("id", "user_id", F.col("choice").alias("_choice"), F.col("servings").alias("_servings"))
-    joined = prefs.join(picked, ["id", "user_id"], "left")
+    valid = choices.withColumn("_choice", F.upper("choice")).filter(F.col("_choice").isin("A", "B"))
+    if order is None:
+        last = valid.select("id", "user_id", "_choice")
+    else:
+        last = valid.groupBy("id", "user_id").agg(F.max_by("_choice", order).alias("_choice"))
     hit = F.col("_choice").isNotNull()
 
     def changed(new: Column, old: str) -> Column:
@@ -159,9 +165,10 @@ def apply_choices(prefs: DataFrame, choices: DataFrame, chosen_at) -> tuple:
         "chosen_at": changed(at(chosen_at), "chosen_at"),
         "chosen_recipe_history_id": changed(F.col("id"), "chosen_recipe_history_id"),
     }
-    updated = joined.select(*[replaced.get(c, F.col(c)) for c in prefs.columns])
+    updated = prefs.join(last, ["id", "user_id"], "left").select(*[replaced.get(c, F.col(c)) for c in prefs.columns])
     query = F.coalesce(F.when(is_filled(F.col("prompt")), F.col("prompt")), F.col("user_query"), F.lit(""))
-    history = joined.filter(hit).select(
+    made = valid.select("id", "user_id", "_choice", F.col("servings").alias("_servings"))
+    history = prefs.join(made, ["id", "user_id"]).select(
         F.col("id").alias("preference_id"), "user_id",
         pick_by_letter(F.col("_choice"), F.col("variant_a"), F.col("variant_b")).alias("recipe_json"),
         query.alias("user_query"), F.col("_servings").alias("servings"), at(chosen_at).alias("created_at"),

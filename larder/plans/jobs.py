@@ -29,6 +29,7 @@ def stock_job(inventory: DataFrame, purchases: DataFrame, out: str, as_of: date,
     A failed suite is logged and stops nothing. Dates arrive as texts, so that
     the suites can judge their format; unreadable ones are null in the cleaned tables.
     """
+    inventory, purchases = _kept(inventory, f"{out}/raw/inventory"), _kept(purchases, f"{out}/raw/purchases")
     summary = quality.run_suite(inventory, "inventory", "inventory_suite", quality.inventory_suite(), run_ts).unionByName(
         quality.run_suite(purchases, "purchase_history", "purchase_history_suite", quality.purchase_suite(), run_ts)
     )

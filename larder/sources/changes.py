@@ -27,10 +27,17 @@ def insert_items(inventory: DataFrame, new_rows: DataFrame, detect: bool = False
     return inventory.unionByName(new_rows.select(*[v.alias(c) for c, v in filled.items()]))
 
 
-def update_items(inventory: DataFrame, changes: DataFrame, keys=("item_id", "user_id")) -> DataFrame:
-    """Fields of ``changes`` replace the old values; null fields keep them. One change per key is expected."""
+def update_items(inventory: DataFrame, changes: DataFrame, keys=("item_id", "user_id"), order: str | None = None) -> DataFrame:
+    """Fields of ``changes`` replace the old values; null fields keep them.
+
+    With an ``order`` column a key may change several times and every field takes
+    its last value; without it one change per key is expected.
+    """
     keys = list(keys)
-    fields = [c for c in changes.columns if c not in keys]
+    fields = [c for c in changes.columns if c not in keys and c != order]
+    if order is not None:
+        given = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in fields]
+        changes = changes.groupBy(*keys).agg(*given)
     new = changes.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in fields])
     return inventory.join(new, keys, "left").select(*[
         F.coalesce(F.col(f"_new_{c}"), F.col(c)).alias(c) if c in fields else F.col(c) for c in inventory.columns

@@ -91,6 +91,10 @@ def test_choice_goes_to_history(spark):
     got = {r.id: (r.chosen_variant, r.rejected_variant, r.chosen_recipe_history_id) for r in updated.collect()}
     assert got == {1: ("A", "B", 1), 2: (None, None, None)}
     assert [(r.recipe_json, r.user_query, r.servings) for r in rows.collect()] == [("A-json", "make soup", 2)]
+    again = spark.createDataFrame([(2, 5, "a", 1, 1), (2, 5, "b", 3, 2)], "id int, user_id int, choice string, servings int, no int")
+    updated, rows = preferences.apply_choices(p, again, AS_OF, order="no")
+    assert [r.chosen_variant for r in updated.orderBy("id").collect()] == [None, "B"]
+    assert sorted((r.recipe_json, r.user_query, r.servings) for r in rows.collect()) == [("A2", "q", 1), ("B2", "q", 3)]
 
 
 @pytest.mark.parametrize("winners,winner,confidence,rate", [
@@ -169,6 +173,10 @@ def test_changes(spark, rows):
     mine = spark.createDataFrame([(1, 1, 9.0)], "item_id int, user_id int, quantity double")
     assert changes.update_items(inv, mine).filter("item_id = 1").first().quantity == 9.0
     assert changes.delete_items(inv, mine.select("item_id", "user_id")).count() == 1
+    twice = spark.createDataFrame([(1, 1, 9.0, None, 1), (1, 1, None, "g", 2), (1, 1, 8.0, None, 3)],
+                                  "item_id int, user_id int, quantity double, unit string, no int")
+    got = changes.update_items(inv, twice, order="no").filter("item_id = 1").first()
+    assert (got.quantity, got.unit) == (8.0, "g")
     assert changes.upsert(inv, inv.withColumn("quantity", F.lit(7.0)).limit(1), "item_id").count() == 2
 
 

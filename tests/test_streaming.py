@@ -59,6 +59,26 @@ def test_daily_counts_and_late_rows(spark, events, stream):
     assert counted + sinks.late_rows(query) == events.count()
 
 
+def test_a_stopped_stream_goes_on_where_it_was(spark, events, rows):
+    path, base = scratch_path(spark, "events"), scratch_path(spark, "run")
+    for half in ("id < 450", "id >= 450"):
+        events.filter(half).coalesce(1).write.mode("append").parquet(path)
+        stream = streams.stream_user_streaks(streams.read_stream(spark, path, events.schema))
+        sinks.finish(sinks.write_updates(stream, f"{base}/rows", f"{base}/checkpoint"))
+    got = sinks.latest_updates(spark, f"{base}/rows", ["user_id"])
+    assert rows(got.filter("streak").select("user_id", "last_rating_at")) == rows(user_streaks(events).select("user_id", "last_rating_at"))
+
+
+def test_sliding_approval(spark, events, stream):
+    got, query = final(spark, streams.stream_approval(stream, "2 days", "1 day"), ["window_start"])
+    likes, dislikes = got.agg(F.sum("likes"), F.sum("dislikes")).first()
+    kept = 2 * events.count() - sinks.late_rows(query)
+    # Every row is in two windows unless it was late for one of them.
+    assert kept <= likes + dislikes <= 2 * events.count()
+    for r in got.collect():
+        assert r.approval_rate == r.likes / (r.likes + r.dislikes)
+
+
 def test_alert_rows_are_written_once_per_batch(spark, tmp_path):
     write = sinks.write_alerts(str(tmp_path), "streak", F.concat(F.lit("u"), F.col("user_id").cast("string")))
     batch = spark.createDataFrame([(1,), (2,)], "user_id bigint")
