@@ -15,7 +15,7 @@ from larder.functions.similarity import best_in_block, match_counts_in_block
 from larder.functions.text import array_missing, has_name, norm_text
 from larder.functions.units import parse_ingredient
 from larder.operators.stock import deduct, deduction_amount
-from larder.session import settled
+from larder.session import settled, task_count
 
 BLOCK = 512
 # The similarity of equal names is 1 below this length; beyond it frequent letters are ignored.
@@ -56,7 +56,7 @@ def _block_pairs(left: DataFrame, items: DataFrame, size: int) -> DataFrame:
     list of its user by number, so the join key of a hot user is many keys.
     """
     # Comparing costs far more than the bytes suggest: with a fixed number the partitions are not merged.
-    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = task_count(left.sparkSession)
     spread = ("user_id", "_right")
     names = (
         _blocks(left, F.col("_name"), size)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from larder.functions import similarity as sim
 from larder.operators import matching
 from larder.plans.bindings import (
-    HISTORY, OWNED, RECIPE_INGREDIENTS, choose, owned_items, recipe_ingredients, sql_choose, table,
+    OWNED, RECIPE_INGREDIENTS, choose, owned_items, recipe_ingredients, sql_choose, table,
 )
 from larder.plans.registry import query, rounded
 from larder.plans.text_queries import NORM_SQL

@@ -8,7 +8,7 @@ from larder.operators import quality, stock
 from larder.operators.activity import category_counts, top_categories
 from larder.operators.ordering import sorted_summary
 from larder.plans.bindings import (
-    CLEANED, INVENTORY, OWNED, PURCHASES, STOCK_AS_OF, choose, inventory, owned_items, purchases, table,
+    CLEANED, INVENTORY, OWNED, PURCHASES, STOCK_AS_OF, inventory, owned_items, purchases, table,
 )
 from larder.plans.registry import query, rounded
 from larder.sources import changes

@@ -51,6 +51,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def task_count(spark: SparkSession) -> int:
+    """Tasks of a shuffle as the session sets them; the cluster's cores where that is no number."""
+    value = spark.conf.get("spark.sql.shuffle.partitions")
+    return int(value) if value.isdigit() else spark.sparkContext.defaultParallelism
+
+
 def settled(df: DataFrame, name: str) -> DataFrame:
     """The rows written once below the shared folder and read back.
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from larder.operators import activity, evaluation, preferences, quality, stock, training
 from larder.operators.payloads import receipt_items
+from larder.plans import jobs
 from larder.operators.requests import histogram_rows, latency_histogram
 from larder.sources import changes, readers, writers
 
@@ -243,3 +244,15 @@ def test_configuration_tables(spark, rows):
     personas = readers.load_personas(spark, [("p1", "One", ["x"], [], "quick", [], ["ham"], [])])
     got = readers.attach_persona(cases.select("persona", "category"), personas)
     assert rows(got.select("category", "persona_name", "persona_forbidden_keywords")) == [("basic_alignment", "One", ["ham"])]
+
+
+def test_dashboard(spark):
+    h = history(spark, [2, 1, 0, None, 2])
+    users = spark.createDataFrame([(1, "ann", datetime(2024, 1, 29)), (2, "bob", datetime(2023, 1, 1))], "id long, username string, created_at timestamp_ntz")
+    inv = spark.createDataFrame([(1, 0.05, "dairy"), (1, 3.0, None)], "user_id long, quantity double, category string")
+    p = spark.createDataFrame([("A", None), (None, True)], "chosen_variant string, skipped boolean")
+    got = {k: [tuple(r) for r in df.collect()] for k, df in jobs.dashboard(users, h, inv, p, AS_OF).items()}
+    assert got["users"] == [(2, 1)] and got["active_share"] == [(2, 1, 50)] and got["inventory"] == [(2, 1)]
+    assert got["recipes"] == [(5, 5, 3, 2, 1, 0, 60.0, 0.0, 66.7)] and got["comparisons"] == [(2, 1, 1, 50.0)]
+    assert got["categories"] == [("Uncategorized", 1), ("dairy", 1)] and got["top_users"] == [(1, "ann", 5)]
+    assert len(got["growth"]) == len(got["recipes_by_day"]) == 7
