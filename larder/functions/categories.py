@@ -43,7 +43,12 @@ CLASS_ORDER = [
 ]
 
 
+# Word borders between letters of any alphabet, whatever the Java version takes as its default.
+UNICODE = "(?U)"
+
+
 def word_pattern(keywords) -> str:
+    """Any of the keywords as a whole word."""
     return r"\b(" + "|".join(re.escape(k).replace(r"\ ", " ") for k in keywords) + r")\b"
 
 
@@ -52,7 +57,7 @@ def detect_category(c: Column, classes=None) -> Column:
     name = strip(F.lower(c))
     result = None
     for label, keywords in classes or CLASS_ORDER:
-        hit = F.rlike(name, F.lit(word_pattern(keywords)))
+        hit = F.rlike(name, F.lit(UNICODE + word_pattern(keywords)))
         result = F.when(hit, label) if result is None else result.when(hit, label)
         if label == "frozen":
             result = result.when(F.contains(name, F.lit("ice cream")), "dairy")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from larder.functions.categories import word_pattern
+from larder.functions.categories import UNICODE, word_pattern
 from larder.functions.text import after_first, before, once, strip
 
 # Keywords of the validator.
@@ -99,7 +99,7 @@ def selected_items(c: Column, policy: str = "validator") -> Column:
 
 def _holds(text: Column, keyword: str, match: str) -> Column:
     if match == "word":
-        return F.rlike(text, F.lit(word_pattern([keyword])))
+        return F.rlike(text, F.lit(UNICODE + word_pattern([keyword])))
     return F.contains(text, F.lit(keyword))
 
 

@@ -194,9 +194,20 @@ def ingredient_availability(ingredients: DataFrame, inventory: DataFrame, low: f
     )
 
 
-def recipes_missing_items(ingredients: DataFrame, inventory: DataFrame) -> DataFrame:
-    """Whether any ingredient of a recipe has no item."""
-    return ingredient_availability(ingredients, inventory).groupBy("user_id", "recipe_id").agg(
+def asked_ingredients(requests: DataFrame, words=("chicken",)) -> DataFrame:
+    """Ingredient rows (user_id, recipe_id, ingredient) for the words that a request text names."""
+    named = F.array_compact(F.array(*[
+        F.when(F.contains(F.lower("request"), F.lit(w)), F.lit(w)) for w in words
+    ]))
+    return requests.select("user_id", "recipe_id", F.explode(named).alias("ingredient"))
+
+
+def recipes_missing_items(ingredients: DataFrame, inventory: DataFrame, requests: DataFrame | None = None) -> DataFrame:
+    """Whether any ingredient of a recipe has no item; a protein that the request names counts as an ingredient."""
+    rows = ingredients.select("user_id", "recipe_id", "ingredient")
+    if requests is not None:
+        rows = rows.unionByName(asked_ingredients(requests))
+    return ingredient_availability(rows, inventory).groupBy("user_id", "recipe_id").agg(
         F.bool_or("missing").alias("has_missing"), F.count_if("missing").alias("n_missing")
     )
 

@@ -125,6 +125,16 @@ def test_rule_hits(spark):
     assert got == [(1, "meat", 7), (2, "egg", 3), (3, "long", 141)]
 
 
+def test_a_named_protein_must_be_in_stock(spark):
+    inventory = spark.createDataFrame([(1, 1, "Rice", 1.0), (2, 1, "Chicken Thighs", 1.0), (2, 2, "rice", 1.0)],
+                                      "user_id int, item_id int, item_name string, quantity double")
+    ingredients = spark.createDataFrame([(1, 7, "rice"), (2, 8, "rice")], "user_id int, recipe_id int, ingredient string")
+    requests = spark.createDataFrame([(1, 7, "CHICKEN and rice"), (2, 8, "chicken soup")], "user_id int, recipe_id int, request string")
+    got = {r.recipe_id: r.has_missing for r in matching.recipes_missing_items(ingredients, inventory, requests).collect()}
+    assert got == {7: True, 8: False}
+    assert not any(r.has_missing for r in matching.recipes_missing_items(ingredients, inventory).collect())
+
+
 def test_cooked_recipe(spark):
     inventory = spark.createDataFrame(
         [(1, 1, "Chicken Breast", 2.0, "lb"), (1, 2, "Rice", 1.5, "kg"), (1, 3, "Tomatoes", 0.05, "kg"), (2, 1, "Rice", 9.0, "kg")],
