@@ -46,23 +46,86 @@ def remembered():
     return lru_cache(maxsize=100_000)(ratio)
 
 
-def best_of(names, items, min_score: float, score_of=ratio) -> list:
-    """Per name the position and score of the best item; the first of equals; None below ``min_score``."""
-    counts, lengths = letter_counts(items), np.array([len(i) for i in items])
-    own = letter_counts(names)
-    found = []
-    for n, name in enumerate(names):
-        bounds = upper_bounds(counts, lengths, own[n], len(name))
+class NameBlock:
+    """A list of names prepared for bounds against one name at a time."""
+
+    # Names up to this length fit the machine word of the bit-parallel scan.
+    WORD = 63
+    # For fewer names than this the scan costs more than the scores it spares.
+    FEW = 32
+
+    def __init__(self, names):
+        self.names = names
+        self.lengths = np.array([len(n) for n in names], dtype=np.int64)
+        self.counts = letter_counts(names)
+        codes = np.zeros((len(names), int(self.lengths.max(initial=0))), dtype=np.uint32)
+        for i, name in enumerate(names):
+            codes[i, :len(name)] = np.frombuffer(name.encode("utf-32-le"), dtype=np.uint32)
+        # The code 0 pads short names; no normalised name holds it.
+        self.alphabet, places = np.unique(codes, return_inverse=True)
+        self.places = places.reshape(codes.shape)
+
+    def common_letters(self, name: str) -> np.ndarray:
+        return upper_bounds(self.counts, self.lengths, letter_counts([name])[0], len(name))
+
+    def common_subsequence(self, name: str, rows: np.ndarray) -> np.ndarray:
+        """Bound by the longest common subsequence, which no sum of matching blocks exceeds."""
+        masks = {}
+        for bit, letter in enumerate(name):
+            masks[ord(letter)] = masks.get(ord(letter), 0) | (1 << bit)
+        table = np.array([masks.get(int(c), 0) for c in self.alphabet], dtype=np.uint64)
+        places = self.places[rows]
+        unmatched = np.full(len(rows), (1 << len(name)) - 1, dtype=np.uint64)
+        for column in range(places.shape[1]):
+            hit = unmatched & table[places[:, column]]
+            unmatched = (unmatched + hit) | (unmatched - hit)
+        left = np.bitwise_count(unmatched & np.uint64((1 << len(name)) - 1)).astype(np.int64)
+        return 2.0 * (len(name) - left) / np.maximum(self.lengths[rows] + len(name), 1)
+
+    def best(self, name: str, min_score: float, score_of):
+        """(position, score) of the best name, the first of equals; None below ``min_score``.
+
+        Names are scored by falling bound until no bound reaches the best score.
+        """
+        bounds = self.common_letters(name)
+        if len(bounds) == 0 or bounds.max() < min_score:
+            return None
+        first = int(np.argmax(bounds))
+        least = max(min_score, score_of(self.names[first], name))
+        rows = np.flatnonzero(bounds >= least)
+        bounds = bounds[rows]
+        if 0 < len(name) <= self.WORD and len(rows) > self.FEW:
+            bounds = np.minimum(bounds, self.common_subsequence(name, rows))
         best, at = 0.0, None
-        # Highest bound first; equal bounds in item order, so that ties fall to the first item.
-        for i in np.argsort(-bounds, kind="stable"):
-            if bounds[i] < best or bounds[i] < min_score:
+        for k in np.argsort(-bounds, kind="stable"):
+            if bounds[k] < best or bounds[k] < min_score:
                 break
-            score = score_of(items[i], name)
+            i = int(rows[k])
+            score = score_of(self.names[i], name)
             if score > best or (score == best and at is not None and i < at):
-                best, at = score, int(i)
-        found.append({"at": at, "score": best} if at is not None and best >= min_score else None)
-    return found
+                best, at = score, i
+        return None if at is None or best < min_score else (at, best)
+
+
+def best_of(names, items, min_score: float, score_of=ratio) -> list:
+    """Per name the position and score of the best item; the first of equals; None below ``min_score``."""
+    block = NameBlock(items)
+    found = [block.best(name, min_score, score_of) for name in names]
+    return [None if f is None else {"at": f[0], "score": f[1]} for f in found]
+
+
+def match_counts(names, items, min_score: float, score_of=ratio) -> list:
+    """Per name the number of items that share a word with it or are similar enough."""
+    block, words = NameBlock(items), [set(i.split()) for i in items]
+    totals = []
+    for name in names:
+        own = set(name.split())
+        shared = np.array([bool(own & w) for w in words], dtype=bool)
+        rows = np.flatnonzero(~shared & (block.common_letters(name) >= min_score))
+        if 0 < len(name) <= block.WORD and len(rows) > block.FEW:
+            rows = rows[block.common_subsequence(name, rows) >= min_score]
+        totals.append(int(shared.sum()) + sum(1 for i in rows if score_of(items[i], name) >= min_score))
+    return totals
 
 
 def _ratio_column(item: Column, ingredient: Column) -> Column:
@@ -99,23 +162,9 @@ def best_in_block(names: Column, items: Column, min_score: float) -> Column:
 def match_counts_in_block(names: Column, items: Column, min_score: float) -> Column:
     """For every name of a list the number of items of another list that match it."""
 
-    def count(left, right, score_of) -> list:
-        right_words = [set(i.split()) for i in right]
-        counts, lengths = letter_counts(right), np.array([len(i) for i in right])
-        own = letter_counts(left)
-        totals = []
-        for n, name in enumerate(left):
-            words = set(name.split())
-            bounds = upper_bounds(counts, lengths, own[n], len(name))
-            totals.append(sum(
-                1 for i, item in enumerate(right)
-                if words & right_words[i] or (bounds[i] >= min_score and score_of(item, name) >= min_score)
-            ))
-        return totals
-
     @pandas_udf("array<int>")
     def counts_of(left: pd.Series, right: pd.Series) -> pd.Series:
         score_of = remembered()
-        return pd.Series([count(list(a), list(b), score_of) for a, b in zip(left, right)])
+        return pd.Series([match_counts(list(a), list(b), min_score, score_of) for a, b in zip(left, right)])
 
     return counts_of(names, items)

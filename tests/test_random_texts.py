@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from larder.functions import diet, text, units
 from larder.functions.json_recovery import _first_object
-from larder.functions.similarity import best_of, ratio
+from larder.functions.similarity import NameBlock, best_of, match_counts, np, ratio
 
 
 def texts(pieces, n=600, most=10, seed=5):
@@ -167,3 +167,21 @@ def test_best_of_is_the_first_highest_score(names, items):
         scores = [ratio(i, name) for i in items]
         top = max(scores, default=0.0)
         assert found == ({"at": scores.index(top), "score": top} if top >= 0.45 and top > 0 else None)
+
+
+NAMES = st.lists(st.one_of(st.text("abc ", min_size=1, max_size=12), st.text("ab é", min_size=55, max_size=75)), min_size=1, max_size=5)
+
+
+@settings(max_examples=300, deadline=None)
+@given(NAMES, NAMES)
+def test_bounds_and_counts(names, items):
+    block = NameBlock(items)
+    for name, count in zip(names, match_counts(names, items, 0.45)):
+        scores = [ratio(i, name) for i in items]
+        assert all(b >= s for b, s in zip(block.common_letters(name), scores))
+        if len(name) <= block.WORD:
+            assert all(b >= s for b, s in zip(block.common_subsequence(name, np.arange(len(items))), scores))
+        assert count == sum(1 for i, s in zip(items, scores) if s >= 0.45 or set(i.split()) & set(name.split()))
+    for name, found in zip(names, best_of(names, items, 0.45)):
+        scores = [ratio(i, name) for i in items]
+        assert found == ({"at": scores.index(max(scores)), "score": max(scores)} if max(scores) >= 0.45 else None)
