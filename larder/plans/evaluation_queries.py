@@ -93,14 +93,15 @@ def recovered_json_greedy(spark, d):
     return _recovered(spark, d, "greedy")
 
 
-@query("unreadable_recipes", """
-SELECT doc_id AS example_id, 'Error' AS name, md5('Failed to parse recipe. Raw output:' || chr(10) || text) AS steps_md5
-FROM documents WHERE doc_id % 7 = 6""")
+@query("unreadable_recipes", f"""
+SELECT doc_id AS example_id, 'error' AS status, 'Error' AS name, true AS opens, length('Failed to parse recipe. Raw output:' || chr(10)) AS added
+FROM documents WHERE doc_id % 7 NOT IN ({VALID['greedy']})""")
 def unreadable_recipes(spark, d):
     read = model_outputs(spark, d).withColumn("_r", recover_json(F.col("output"), "greedy")).filter("NOT _r.valid")
-    plain = read.filter(~F.contains("output", F.lit("{")))
-    return plain.select("example_id", error_recipe(F.col("output")).alias("e")).select(
-        "example_id", "e.name", F.md5("e.steps").alias("steps_md5")
+    rows = read.withColumn("e", error_recipe(F.col("output")))
+    return rows.select(
+        "example_id", "e.status", "e.name", F.startswith("e.steps", F.lit("Failed to parse recipe. Raw output:\n")).alias("opens"),
+        (F.length("e.steps") - F.length("output")).cast("long").alias("added"),
     )
 
 
