@@ -7,7 +7,7 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from larder.functions.text import is_filled, oxford_list, strip
+from larder.functions.text import hash_bucket, is_filled, oxford_list, strip
 
 # Request texts by scenario, preference, cuisine and requested ingredients.
 PLAIN_REQUESTS = [
@@ -119,12 +119,6 @@ DETAIL_TEXT = (
 )
 
 
-def hash_bucket(key: Column, buckets, salt: str = "") -> Column:
-    """Bucket 0..n-1 by the md5 of the key: the same on every run and partitioning."""
-    digest = F.md5(F.concat(key.cast("string"), F.lit(salt)))
-    return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(buckets))
-
-
 def _pick(templates, key: Column, salt: str, value: Column | None = None) -> Column:
     """One template by the hash of the key, with ``{}`` replaced by a value."""
     at = hash_bucket(key, len(templates), salt)

@@ -11,8 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.functions.prompts import hash_bucket
-from larder.functions.text import once
+from larder.functions.text import hash_bucket, once
 from larder.functions.units import lookup
 
 
@@ -56,7 +55,6 @@ def first_n_per(df: DataFrame, keys, order, n: int) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
 
 
-
 def arg_max_first(df: DataFrame, keys, score: str, tie) -> DataFrame:
     """The row with the highest score per key, the first along ``tie`` among equals.
 

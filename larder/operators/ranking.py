@@ -7,7 +7,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.functions.prompts import hash_bucket
+from larder.functions.text import hash_bucket
 from larder.operators.ordering import arg_max_first, rank_within
 
 

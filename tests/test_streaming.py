@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from larder.operators.activity import user_streaks
 from larder.operators.preferences import usable_counts
+from larder.sources.readers import read_request_log
 from larder.session import scratch_path, shared_folder
 from larder.streaming import sinks, streams
 
@@ -79,6 +80,15 @@ def test_sliding_approval(spark, events, stream):
         assert r.approval_rate == r.likes / (r.likes + r.dislikes)
 
 
+def test_request_log_stream(spark, tmp_path, rows):
+    lines = ['{"ts": "2024-01-01T00:00:%02dZ", "method": "GET", "path": "/u/%d", "status": 200, "duration_ms": %d}' % (i, i, 40 * i) for i in range(10)]
+    for n in range(2):
+        (tmp_path / f"{n}.json").write_text("\n".join(lines[5 * n:5 * n + 5]))
+    log = read_request_log(spark, str(tmp_path), streaming=True)
+    got, _ = final(spark, streams.stream_request_stats(log, time_col="ts"), ["window_start", "method", "path", "status"])
+    assert rows(got.select("path", "n", "le_0_05", "le_0_1", "le_10", F.round("sum_s", 6))) == [("/u/:id", 10, 2, 3, 10, 1.8)]
+
+
 def test_alert_rows_are_written_once_per_batch(spark, tmp_path):
     write = sinks.write_alerts(str(tmp_path), "streak", F.concat(F.lit("u"), F.col("user_id").cast("string")))
     batch = spark.createDataFrame([(1,), (2,)], "user_id bigint")
