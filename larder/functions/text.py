@@ -57,10 +57,12 @@ def default_if_empty(c: Column, value) -> Column:
 
 def norm_text(c: Column, collapse: bool = False) -> Column:
     """Lower case with every non-alphanumeric as a space; ``collapse`` also folds runs of spaces."""
-    spaced = F.regexp_replace(F.lower(c), f"[^a-z0-9{SPACE}]", " ")
+    low = F.lower(c)
+    spaced = F.regexp_replace(low, f"[^a-z0-9{SPACE}]", " ")
     if collapse:
         spaced = F.regexp_replace(spaced, f"[{SPACE}]+", " ")
-    return strip(spaced)
+    # Most names are plain words with single spaces; one cheap test spares them the replacements.
+    return F.when(F.rlike(low, F.lit(r"^[a-z0-9]+( [a-z0-9]+)*\z")), low).otherwise(strip(spaced))
 
 
 def has_name(c: Column) -> Column:

@@ -18,7 +18,9 @@ def t():
 
 def test_small_text_operators(spark):
     assert apply(spark, [" Fresh, RED-pepper! ", "a  b", None], text.norm_text(t())) == ["fresh  red pepper", "a  b", None]
-    assert apply(spark, ["a  b\t\nc"], text.norm_text(t(), collapse=True)) == ["a b c"]
+    assert apply(spark, ["a  b\t\nc", "Red\u00a0 Ring\n", "plain name", "", " "], text.norm_text(t(), collapse=True)) == [
+        "a b c", "red ring", "plain name", "", ""]
+    assert apply(spark, ["ab\n", "x  y"], text.norm_text(t())) == ["ab", "x  y"]
     assert apply(spark, [" a , b,, c ", "", None], text.comma_list(t())) == [["a", "b", "c"], [], None]
     assert apply(spark, ["07:30", "11:00", "16:59", "21:00", "22:00", "noon", "7.5:00", ""], text.meal_type(t())) == [
         "breakfast", "lunch", "snack", "dinner", "late night snack", "meal", "meal", "meal"]
