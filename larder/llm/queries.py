@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import decontamination, mixing, secrets, simhash, toxicity
+from larder.llm import decontamination, licenses, lm, mixing, pages, quality, secrets, simhash, topk, toxicity
+from larder.llm.common import remainder
 from larder.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +27,26 @@ def scanned(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return secrets.scan(docs, scratch_path(spark, "ledger"))
 
 
+@query
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best candidates of every hundredth vector."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query
+def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-likelihood of all documents, learnt from six sevenths of them; a row without an id is held out."""
+    return lm.scored(table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 7) != 2)
+
+
+@query
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents, learnt from the labels of two thirds of them."""
+    learn = remainder(F.col("doc_id"), 3) != 1
+    scores = quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn)
+    return scores.select("doc_id", F.coalesce(~learn, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 @query
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of all documents, from a ledger that begins empty."""
@@ -37,6 +58,18 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         secrets.joined(F.col("spans")).alias("spans"))
 
 
+@query
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The license notices of all documents."""
+    return licenses.licensed(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    return pages.extracted(table(spark, sf_dir, "pages"))
+
+
 @query
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark items that documents hold."""
