@@ -201,7 +201,7 @@ def scored(docs: DataFrame, labels: DataFrame, learn: Column, most: int = SAMPLE
     rows = table.join(chosen, "doc_id").select("doc_id", "x", "y").toPandas().sort_values(["doc_id", "x"], kind="stable")
     y = rows["y"].to_numpy(float)
     net, flat = None, float(y.mean()) if len(y) else 0.5
-    if 0 < flat < 1:
+    if len(y) and 0 < flat < 1:
         net = train(np.stack([np.frombuffer(b, np.float32) for b in rows["x"]]).astype(float), y)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
