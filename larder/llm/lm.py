@@ -28,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import chunks_of, table_of, texts_of, words
+from larder.llm.common import chunks_of, first_by_hash, table_of, texts_of, words
 from larder.session import settled
 
 #: Classes and words of a class. Symbol 0 is the end; the most frequent words follow.
 CLASSES, MEMBERS = 32, 64
 SYMBOLS = CLASSES * MEMBERS
 OTHER = SYMBOLS
-#: Words whose counts travel with the code; the counts of others are joined.
+#: Words, at most, whose counts travel with the code, the most frequent ones; the counts of others are joined.
 HEAD = 1 << 16
 EMBEDDED, STATE = 16, 16
 #: The sample: documents in the order of their ids' hash, shards, rounds, and windows that a shard reads in a round.
@@ -96,7 +96,16 @@ class Counts:
 def gathered(counts: DataFrame, most: int = HEAD) -> Counts:
     total = counts.agg(F.sum("n").alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("v"), F.sum(F.when(F.octet_length("word") == 0, F.col("n"))).alias("texts")).first()
     texts = total["texts"] or 0
-    head = counts.where(F.octet_length("word") > 0).orderBy(F.desc("n"), "word").limit(most).collect()
+    own = counts.where(F.octet_length("word") > 0)
+    # Eighths of a doubling: few groups, from which the count follows that at most ``most`` words reach.
+    step = F.floor(F.log2("n") * 8)
+    cut, held = 0, 0
+    for r in sorted(own.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):
+        held += r["count"]
+        if held > most:
+            cut = r["step"] + 1
+            break
+    head = sorted(own.where(step >= cut).collect(), key=lambda r: (-r["n"], bytes(r["word"])))
     return Counts(total["n"] or 0, (total["v"] or 0), texts, [bytes(r["word"]) for r in head], np.array([r["n"] for r in head], np.int64))
 
 
@@ -277,7 +286,7 @@ def fit(docs: DataFrame, counts: Counts, sample: int = SAMPLE, rounds: int = ROU
     """The network after ``rounds`` of training on SHARDS shards of the sample, averaged after each."""
     net = Network.initial(counts)
     index = {w: i for i, w in enumerate(counts.head[:SYMBOLS - 1])}
-    chosen = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = first_by_hash(docs.select("doc_id").where("doc_id is not null").distinct(), "doc_id", sample)
     # At most ``sample`` ids.
     rows = settled(table_of(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select(
         F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SHARDS)).cast("int").alias("shard"), "doc_id", "text"), "sample")

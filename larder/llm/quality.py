@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import chunks_of, table_of, texts_of
+from larder.llm.common import chunks_of, first_by_hash, table_of, texts_of
 from larder.session import settled
 
 #: Words are told apart by a hash of this many values.
@@ -197,7 +197,7 @@ def scored(docs: DataFrame, labels: DataFrame, learn: Column, most: int = SAMPLE
     own = table_of(labels, "doc_id", "quality").where("doc_id is not null and quality is not null").where(learn).groupBy("doc_id").agg(
         F.avg("quality").alias("y"))
     # At most ``most`` rows of two numbers.
-    chosen = F.broadcast(own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
+    chosen = F.broadcast(first_by_hash(own, "doc_id", most))
     rows = table.join(chosen, "doc_id").select("doc_id", "x", "y").toPandas().sort_values(["doc_id", "x"], kind="stable")
     y = rows["y"].to_numpy(float)
     net, flat = None, float(y.mean()) if len(y) else 0.5

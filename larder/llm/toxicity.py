@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import chunks_of, table_of, texts_of, words
+from larder.llm.common import chunks_of, first_by_hash, table_of, texts_of, words
 from larder.session import settled
 
 #: Labelled rows that fitting reads at most, in the order of their ids' hash.
@@ -94,7 +94,7 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
     """
     own = table_of(labels, "doc_id", "toxic").where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(
         F.max("toxic").alias("toxic"))
-    chosen = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    chosen = first_by_hash(own, "doc_id", most)
     # At most ``most`` rows of two numbers.
     return table_of(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy(
         "toxic", F.xxhash64("text")).agg(F.first("text").alias("text")).select("toxic", "text")
