@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 
 def pct(num: Column, den: Column, scale: int = 1) -> Column:
-    """``num / den`` in percent, half to even, 0 where there is nothing to divide by."""
+    """``num / den`` in percent, half to even on the decimal value, 0 where there is nothing to divide by.
+
+    Rounding of the binary value differs where the decimal one is a tie: one in
+    2000 is 0.0 here and 0.1 there.
+    """
     share = F.try_divide(num.cast("double"), den.cast("double")) * 100
     return F.coalesce(F.bround(share, scale), F.lit(0.0))
 

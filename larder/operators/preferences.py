@@ -144,16 +144,13 @@ def mark_exported(prefs: DataFrame, exported_ids: DataFrame) -> DataFrame:
 def apply_choices(prefs: DataFrame, choices: DataFrame, chosen_at, order: str | None = None) -> tuple:
     """Choices (id, user_id, choice, servings) recorded: (preferences, new history rows).
 
-    Every valid choice gives a history row. With an ``order`` column a preference
-    may be chosen several times and keeps the last choice; without it one choice
-    per preference is expected. The link to the history row is the preference
+    Every valid choice gives a history row. A preference that is chosen several
+    times keeps its last choice along the ``order`` column, without one the later
+    letter. The link to the history row is the preference
     id, which makes a repeated run give the same rows.
     """
     valid = choices.withColumn("_choice", F.upper("choice")).filter(F.col("_choice").isin("A", "B"))
-    if order is None:
-        last = valid.select("id", "user_id", "_choice")
-    else:
-        last = valid.groupBy("id", "user_id").agg(F.max_by("_choice", order).alias("_choice"))
+    last = valid.groupBy("id", "user_id").agg(F.max_by("_choice", order or "_choice").alias("_choice"))
     hit = F.col("_choice").isNotNull()
 
     def changed(new: Column, old: str) -> Column:

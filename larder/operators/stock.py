@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larder.functions.text import hash_bucket
 from larder.functions.units import canonical_qty, canonical_unit, convert_unit, price_per_unit
 
 
@@ -22,17 +23,19 @@ def in_stock(inventory: DataFrame) -> DataFrame:
 def in_stock_by_user(inventory: DataFrame, part_size: int = 1000) -> DataFrame:
     """Items in stock per user as lists of struct(name, quantity, unit).
 
-    A user with many items gets several rows (``part`` 0, 1, ..., by the numeric
-    item id), so that no list grows with the hottest user; all parts together
-    are the whole list.
+    A user with more than ``part_size`` items gets several rows (``part`` 0, 1,
+    ..., by the hash of the item id, whatever the ids have in common), so that no
+    list grows with the hottest user; all parts together are the whole list.
+    Only the users above the size are joined to their number of parts.
     """
     stock = in_stock(inventory)
-    sizes = stock.groupBy("user_id").agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(part_size)).cast("int").alias("_parts")
+    sizes = stock.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > part_size).select(
+        "user_id", F.ceil(F.col("_n") / F.lit(part_size)).cast("int").alias("_parts")
     )
     return (
-        stock.join(sizes, "user_id")
-        .withColumn("part", F.pmod(F.col("item_id"), F.col("_parts")).cast("int"))
+        stock.join(sizes, "user_id", "left")
+        .withColumn("part", F.when(F.col("_parts").isNull(), 0).otherwise(
+            hash_bucket(F.col("item_id"), F.col("_parts"))).cast("int"))
         .groupBy("user_id", "part")
         .agg(F.array_sort(F.collect_list(
             F.struct(F.col("item_name").alias("name"), "quantity", "unit")

@@ -300,6 +300,25 @@ def choice_history(spark, d):
     return _apply(spark, d)[1]
 
 
+@query("choices_repeated", f"""{W_PREFS}, c AS (
+  SELECT e.event_id - i AS id, e.event_id AS pos, e.user_id, ([ 'a', 'B', 'c' ])[e.event_id % 3 + 1] AS choice FROM events e, range(3) t(i)),
+v AS (SELECT id, user_id, arg_max(upper(choice), pos) AS c FROM c WHERE upper(choice) IN ('A', 'B') GROUP BY id, user_id)
+SELECT p.id, coalesce(c, chosen_variant) AS chosen_variant,
+       CASE c WHEN 'A' THEN 'B' WHEN 'B' THEN 'A' ELSE rejected_variant END AS rejected_variant
+FROM prefs p LEFT JOIN v ON p.id = v.id AND p.user_id = v.user_id""")
+def choices_repeated(spark, d):
+    """Every event chooses for itself and the two before it: a preference keeps the last choice of its user."""
+    letters = F.array(F.lit("a"), F.lit("B"), F.lit("c"))
+    several = table(spark, d, "events").select(
+        F.explode(F.sequence(F.col("event_id") - 2, F.col("event_id"))).alias("id"), F.col("event_id").alias("at"), "user_id",
+        F.get(letters, F.col("event_id") % 3).alias("choice"), F.lit(2).alias("servings"))
+    prefs = preferences(spark, d).withColumns({
+        "variant_a": F.col("variant_a_raw"), "variant_b": F.col("variant_b_raw"),
+        "chosen_at": F.lit(None).cast("timestamp_ntz"), "chosen_recipe_history_id": F.lit(None).cast("bigint"),
+    })
+    return prefs_ops.apply_choices(prefs, several, AS_OF, order="at")[0].select("id", "chosen_variant", "rejected_variant")
+
+
 CLEAN_A = "CASE WHEN contains(variant_a_raw, '}<|') THEN split_part(variant_a_raw, '}<|', 1) || '}' ELSE variant_a_raw END"
 JUDGED = f"""judged AS (SELECT id, trim(({CLEAN_A}), ' ' || chr(9)) AS a, trim(variant_b_raw) AS b, chosen_variant AS c,
     CASE WHEN k % 10 = 1 THEN chosen_variant ELSE rejected_variant END AS r,

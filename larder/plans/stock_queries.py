@@ -220,7 +220,8 @@ def items_of_owner(spark, d):
 
 
 @query("in_stock_by_user", W_OWNED + """, s AS (
-  SELECT *, item_id % ceil(count(*) OVER (PARTITION BY user_id) / 20)::INT AS part FROM owned WHERE quantity > 0)
+  SELECT *, ('0x' || substr(md5(item_id::VARCHAR), 1, 8))::BIGINT % ceil(count(*) OVER (PARTITION BY user_id) / 20)::INT AS part
+  FROM owned WHERE quantity > 0)
 SELECT user_id, part::INT AS part, count(*)::INT AS n_items, min(item_name) AS first_name,
        round(sum(quantity), 6) AS quantity FROM s GROUP BY user_id, part""")
 def in_stock_by_user(spark, d):
@@ -341,6 +342,35 @@ def update_items(spark, d):
     return changes.update_items(_stocked(spark, d), new, ["item_id"]).select("item_id", "quantity", "unit", "category")
 
 
+@query("update_repeated", f"""WITH {STOCKED}, ch AS (
+  SELECT l_partkey AS item_id, arg_max(l_quantity, (l_orderkey, l_linenumber, l_suppkey, l_extendedprice)) AS q,
+         arg_max(CASE WHEN l_tax > 0.07 THEN l_returnflag END, CASE WHEN l_tax > 0.07 THEN (l_orderkey, l_linenumber, l_suppkey, l_extendedprice) END) AS u
+  FROM lineitem GROUP BY l_partkey)
+SELECT item_id, coalesce(q, quantity) AS quantity, coalesce(u, unit) AS unit, category FROM stocked LEFT JOIN ch USING (item_id)""")
+def update_repeated(spark, d):
+    """Every order line changes its part: the last line counts, a null keeps what was there."""
+    new = table(spark, d, "lineitem").select(
+        F.col("l_partkey").alias("item_id"), F.col("l_quantity").alias("quantity"),
+        F.when(F.col("l_tax") > 0.07, F.col("l_returnflag")).alias("unit"), "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice",
+    )
+    done = changes.update_items(_stocked(spark, d), new, ["item_id"], ["l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice"])
+    return done.select("item_id", "quantity", "unit", "category")
+
+
+@query("upsert_repeated", f"""WITH {STOCKED}, src AS (
+  SELECT l_partkey * 2 AS item_id, arg_max((l_linenumber, l_returnflag, l_quantity), (l_orderkey, l_linenumber, l_suppkey, l_extendedprice)) AS v FROM lineitem GROUP BY l_partkey)
+SELECT item_id, v[1]::BIGINT AS user_id, v[2] AS item_name, v[3] AS quantity, 'g' AS unit, 'pantry' AS category FROM src
+UNION ALL SELECT item_id, user_id::BIGINT, item_name, quantity, unit, category FROM stocked WHERE item_id NOT IN (SELECT item_id FROM src)""")
+def upsert_repeated(spark, d):
+    """Every order line sets a part, whose last line stays."""
+    new = table(spark, d, "lineitem").select(
+        (F.col("l_partkey") * 2).alias("item_id"), F.col("l_linenumber").cast("bigint").alias("user_id"), F.col("l_returnflag").alias("item_name"),
+        F.col("l_quantity").alias("quantity"), F.lit("g").alias("unit"), F.lit("pantry").alias("category"), "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice",
+    )
+    target = _stocked(spark, d).withColumn("user_id", F.col("user_id").cast("bigint"))
+    return changes.upsert(target, new, "item_id", ["l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice"])
+
+
 @query("delete_items", f"""WITH {STOCKED}
 SELECT item_id, user_id FROM stocked WHERE (item_id, user_id) NOT IN
   (SELECT (l_partkey, l_linenumber) FROM lineitem)""")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from larder.operators.requests import BOUNDS
 from larder.plans.activity_queries import USABLE, W_HISTORY, W_PREFS, W_REQUESTS
-from larder.plans.bindings import HISTORY, as_history, as_preferences, as_requests
+from larder.plans.bindings import HISTORY, as_history, as_preferences, as_requests, table
 from larder.plans.registry import query, rounded
 from larder.schemas import EVENTS
 from larder.session import scratch_path
@@ -24,29 +24,75 @@ def _updates(spark, stream, keys):
     return sinks.latest_updates(spark, f"{base}/rows", keys)
 
 
-@query("stream_daily_counts", "SELECT ts::DATE AS day, count(*) AS n FROM events GROUP BY ALL")
+def _counted(spark, stream, part, whole):
+    """The result of a stream that writes parts per batch."""
+    base = scratch_path(spark, "stream")
+    sinks.finish(sinks.write_parts(stream, part, f"{base}/parts", f"{base}/checkpoint"))
+    return whole(sinks.all_parts(spark, f"{base}/parts"))
+
+
+def files_stream(spark, d, number, files=5):
+    """The events as files that arrive one after the other, a batch each; ``number`` tells the file of an event."""
+    path = scratch_path(spark, "files")
+    table(spark, d, "events").withColumn("file", number).write.partitionBy("file").parquet(f"{path}/all")
+    for k in range(files):
+        spark.read.parquet(f"{path}/all").where(F.col("file") == k).drop("file").write.parquet(f"{path}/one/{k}")
+    return streams.read_stream(spark, f"{path}/one/*", EVENTS, files_per_batch=1)
+
+
+def scattered(spark, d):
+    """Events dealt to files by their number, so that every file but the first is late in every day."""
+    return files_stream(spark, d, F.col("event_id") % 5)
+
+
+DAILY = "SELECT ts::DATE AS day, count(*) AS n FROM events GROUP BY ALL"
+
+
+@query("stream_daily_counts", DAILY)
 def stream_daily_counts(spark, d):
-    return _updates(spark, streams.stream_daily_counts(as_history(events_stream(spark, d))), ["day"])
+    return _counted(spark, as_history(events_stream(spark, d)), streams.daily_parts, streams.daily_counts)
+
 
+@query("stream_daily_counts_files", DAILY)
+def stream_daily_counts_files(spark, d):
+    return _counted(spark, as_history(scattered(spark, d)), streams.daily_parts, streams.daily_counts)
 
-@query("stream_approval", f"""{W_HISTORY}, w AS (SELECT date_trunc('day', created_at)::TIMESTAMP - to_days(i::INT) AS window_start, feedback_score
+
+APPROVAL = f"""{W_HISTORY}, w AS (SELECT date_trunc('day', created_at)::TIMESTAMP - to_days(i::INT) AS window_start, feedback_score
   FROM history, range(7) t(i) WHERE feedback_score IN (1, 2)), c AS (SELECT window_start, count(*) FILTER (feedback_score = 2) AS likes,
   count(*) FILTER (feedback_score = 1) AS dislikes FROM w GROUP BY ALL)
-SELECT *, round(likes / (likes + dislikes), 6) AS approval_rate FROM c""")
+SELECT *, round(likes / (likes + dislikes), 6) AS approval_rate FROM c"""
+
+
+@query("stream_approval", APPROVAL)
 def stream_approval(spark, d):
-    rates = _updates(spark, streams.stream_approval(as_history(events_stream(spark, d))), ["window_start"])
-    return rounded(rates, "approval_rate")
+    return rounded(_counted(spark, as_history(events_stream(spark, d)), streams.approval_parts, streams.approval), "approval_rate")
 
 
-LE = ", ".join(f"count(*) FILTER (duration_s <= {b}) AS le_{str(b).replace('.', '_')}" for b in BOUNDS)
+@query("stream_approval_files", APPROVAL)
+def stream_approval_files(spark, d):
+    return rounded(_counted(spark, as_history(scattered(spark, d)), streams.approval_parts, streams.approval), "approval_rate")
 
 
-@query("stream_request_stats", f"""{W_REQUESTS}
+LE = ", ".join(f"count(*) FILTER (duration_s <= {b}) AS le_{str(b).replace('.', '_')}" for b in BOUNDS)
+STATS = f"""{W_REQUESTS}
 SELECT time_bucket(INTERVAL '6 hours', created_at) AS window_start, method, path, status, count(*) AS n, round(sum(duration_s), 4) AS sum_s, {LE}
-FROM requests GROUP BY ALL""")
+FROM requests GROUP BY ALL"""
+
+
+def _request_stats(spark, stream):
+    stats = _counted(spark, as_requests(stream), lambda batch: streams.request_parts(batch, "6 hours"), streams.request_stats)
+    return rounded(stats, "sum_s", digits=4)
+
+
+@query("stream_request_stats", STATS)
 def stream_request_stats(spark, d):
-    stats = streams.stream_request_stats(as_requests(events_stream(spark, d)), "6 hours")
-    return rounded(_updates(spark, stats, ["window_start", "method", "path", "status"]), "sum_s", digits=4)
+    return _request_stats(spark, events_stream(spark, d))
+
+
+@query("stream_request_stats_files", STATS)
+def stream_request_stats_files(spark, d):
+    return _request_stats(spark, scattered(spark, d))
 
 
 @query("stream_user_streaks", f"""WITH {HISTORY}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC) AS rn
@@ -71,16 +117,35 @@ def stream_append(spark, d):
     return spark.read.parquet(f"{base}/rows")
 
 
-@query("stream_alerts", f"""WITH {HISTORY}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC) AS rn
-  FROM history WHERE feedback_score IN (1, 2))
-SELECT 'dislike_streak' AS kind, user_id, 'User ' || user_id || ': the last 3 recipes were disliked' AS message
-FROM r WHERE rn <= 3 GROUP BY user_id HAVING count(*) = 3 AND bool_and(feedback_score = 1)""")
-def stream_alerts(spark, d):
+ALERTS = f"""WITH {HISTORY}, r AS (SELECT *, count(*) OVER last3 AS k, bool_and(feedback_score = 1) OVER last3 AS streak
+  FROM history WHERE feedback_score IN (1, 2)
+  WINDOW last3 AS (PARTITION BY user_id ORDER BY created_at, id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))
+SELECT 'dislike_streak' AS kind, user_id, id, 'User ' || user_id || ': the last 3 recipes were disliked' AS message
+FROM r WHERE k = 3 AND streak"""
+
+
+def _alerts(spark, stream):
     base = scratch_path(spark, "stream")
-    streaks = streams.stream_user_streaks(as_history(events_stream(spark, d)), 3).filter("streak")
+    streaks = streams.stream_streak_alerts(as_history(stream), 3)
     text = F.format_string("User %s: the last %s recipes were disliked", "user_id", "n_ratings")
     sinks.finish(
         streaks.writeStream.foreachBatch(sinks.write_alerts(f"{base}/alerts", "dislike_streak", text)).outputMode("update")
         .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     )
-    return spark.read.schema("kind string, user_id bigint, message string").json(f"{base}/alerts/*/*/").select("kind", "user_id", "message")
+    rows = spark.read.schema("kind string, user_id bigint, id bigint, message string").json(f"{base}/alerts/*/*/")
+    return rows.select("kind", "user_id", "id", "message")
+
+
+@query("stream_alerts", ALERTS)
+def stream_alerts(spark, d):
+    """An alert for every dislike that completes or goes on with a streak."""
+    return _alerts(spark, events_stream(spark, d))
+
+
+@query("stream_alerts_files", ALERTS)
+def stream_alerts_files(spark, d):
+    """The same from files in the order of time, cut at fifths of the time that the events span."""
+    ends = table(spark, d, "events").agg(F.min("ts").alias("low"), F.max("ts").alias("high")).first()
+    low, high = F.unix_micros(F.lit(ends["low"]).cast("timestamp")), F.unix_micros(F.lit(ends["high"]).cast("timestamp"))
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    return _alerts(spark, files_stream(spark, d, F.least(F.floor(5 * (at - low) / (high - low + 1)), F.lit(4))))

@@ -27,18 +27,17 @@ def insert_items(inventory: DataFrame, new_rows: DataFrame, detect: bool = False
     return inventory.unionByName(new_rows.select(*[v.alias(c) for c, v in filled.items()]))
 
 
-def update_items(inventory: DataFrame, changes: DataFrame, keys=("item_id", "user_id"), order: str | None = None) -> DataFrame:
+def update_items(inventory: DataFrame, changes: DataFrame, keys=("item_id", "user_id"), order=None) -> DataFrame:
     """Fields of ``changes`` replace the old values; null fields keep them.
 
-    With an ``order`` column a key may change several times and every field takes
-    its last value; without it one change per key is expected.
+    A key may change several times: every field takes its last value along
+    ``order``, a column or several; without one, its greatest value.
     """
-    keys = list(keys)
-    fields = [c for c in changes.columns if c not in keys and c != order]
-    if order is not None:
-        given = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in fields]
-        changes = changes.groupBy(*keys).agg(*given)
-    new = changes.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in fields])
+    keys, order = list(keys), _names(order)
+    fields = [c for c in changes.columns if c not in keys and c not in order]
+    last = {c: F.struct(*order) if order else F.col(c) for c in fields}
+    given = [F.max_by(c, F.when(F.col(c).isNotNull(), last[c])).alias(c) for c in fields]
+    new = changes.groupBy(*keys).agg(*given).select(*keys, *[F.col(c).alias(f"_new_{c}") for c in fields])
     return inventory.join(new, keys, "left").select(*[
         F.coalesce(F.col(f"_new_{c}"), F.col(c)).alias(c) if c in fields else F.col(c) for c in inventory.columns
     ])
@@ -49,8 +48,20 @@ def delete_items(inventory: DataFrame, keys: DataFrame) -> DataFrame:
     return inventory.join(keys, keys.columns, "left_anti").select(*inventory.columns)
 
 
-def upsert(target: DataFrame, source: DataFrame, key) -> DataFrame:
-    """Source rows replace target rows of the same key and add new ones."""
-    keys = [key] if isinstance(key, str) else list(key)
-    kept = target.join(source.select(*keys), keys, "left_anti")
-    return kept.select(*target.columns).unionByName(source.select(*target.columns))
+def upsert(target: DataFrame, source: DataFrame, key, order=None) -> DataFrame:
+    """Source rows replace target rows of the same key and add new ones.
+
+    Of several source rows with a key the last along ``order`` counts, a column
+    or several; without one, the row whose values sort last.
+    """
+    keys, order = _names(key), _names(order)
+    values = [c for c in target.columns if c not in keys]
+    last = F.struct(*order) if order else F.struct(*values)
+    row = source.groupBy(*keys).agg(F.max_by(F.struct(*values), last).alias("_row"))
+    new = row.select(*keys, "_row.*").select(*target.columns)
+    kept = target.join(new.select(*keys), keys, "left_anti")
+    return kept.select(*target.columns).unionByName(new)
+
+
+def _names(names) -> list[str]:
+    return [] if names is None else [names] if isinstance(names, str) else list(names)

@@ -11,6 +11,8 @@ from larder.operators.ordering import latest_run
 from larder.schemas import REQUEST_LOG
 
 CORRUPT = "_corrupt"
+#: What an empty cell reads as before it becomes null: no text of a file.
+ABSENT = "\x00"
 
 
 def read_table(
@@ -25,9 +27,17 @@ def read_table(
     return reader.load()
 
 
-def read_csv(spark: SparkSession, path, schema, date_cols=()) -> DataFrame:
-    """CSV with a header and a fixed schema; unreadable dates become null."""
-    df = spark.read.schema(schema).option("header", True).csv(path)
+def read_csv(spark: SparkSession, path, schema, date_cols=(), quoted_breaks: bool = True) -> DataFrame:
+    """CSV with a header and a fixed schema; unreadable dates become null.
+
+    A quote inside quotes is doubled; a quoted empty text stays empty, an empty
+    cell is null. Quoted line breaks belong to their value, for which a file is
+    read in one task; ``quoted_breaks=False`` splits large files that have none.
+    """
+    df = (
+        spark.read.schema(schema).option("header", True).option("multiLine", quoted_breaks).option("escape", '"')
+        .option("nullValue", ABSENT).option("emptyValue", "").csv(path)
+    )
     return df.withColumns({c: F.try_to_date(F.col(c), "yyyy-M-d") for c in date_cols}) if date_cols else df
 
 
@@ -79,17 +89,27 @@ def read_entity_files(
 ) -> DataFrame:
     """JSON lines of many files with the entity id that their names start with, ahead of ``suffix``.
 
-    ``pattern`` (with one group, on the whole path) takes the id from elsewhere in the path.
+    ``pattern`` (with one group, on the whole path) takes the id from elsewhere in the path. The id is
+    decoded: once as part of a URL, and in names of partition folders, which Spark encodes itself, again.
     """
     rows = spark.read.schema(schema).json(glob)
-    return rows.withColumn(
-        name, F.regexp_extract(F.col("_metadata.file_path"), pattern or r"([^/]*)\Q" + suffix + r"\E$", 1)
-    )
+    found = F.regexp_extract(F.col("_metadata.file_path"), pattern or r"([^/]*)\Q" + suffix + r"\E$", 1)
+    plain = _decoded(found)
+    return rows.withColumn(name, _decoded(plain) if pattern and "=" in pattern else plain)
+
+
+def _decoded(text: Column) -> Column:
+    """Percent signs with two hexadecimal digits decoded; a plus sign stays one, other percent signs as well."""
+    kept = F.regexp_replace(F.replace(text, F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25")
+    return F.url_decode(kept)
 
 
 def access_log_fields(line: Column) -> Column:
-    """struct(level, client_ip, client_port, method, path, status, reason) of an access log line."""
-    pattern = r'^(\w+):\s+([\d.]+):(\d+) - "(\S+) (\S+) [^"]*" (\d{3})\s*([^\n]*)$'
+    """struct(level, client_ip, client_port, method, path, status, reason) of an access log line.
+
+    The client is any address or name up to the last colon, which its port follows.
+    """
+    pattern = r'^(\w+):\s+(\S+):(\d+) - "(\S+) (\S+) [^"]*" (\d{3})\s*([^\n]*)$'
 
     def part(i: int) -> Column:
         return F.regexp_extract(line, pattern, i)
@@ -106,6 +126,12 @@ def parse_access_log(lines: DataFrame, col: str = "value") -> DataFrame:
     return lines.withColumn("_f", access_log_fields(F.col(col))).filter(F.col("_f").isNotNull()).select(*others, "_f.*")
 
 
+def access_line_counts(lines: DataFrame, col: str = "value") -> DataFrame:
+    """One row: lines that are access lines, and the others, which ``parse_access_log`` leaves out."""
+    known = access_log_fields(F.col(col)).isNotNull()
+    return lines.agg(F.count_if(known).alias("access"), F.count_if(~known).alias("other"))
+
+
 def read_access_log(spark: SparkSession, path) -> DataFrame:
     return parse_access_log(spark.read.text(path))
 

@@ -14,7 +14,7 @@ def write_snapshot(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """A whole table, replacing the last snapshot."""
     writer = df.write.mode("overwrite")
     if fmt == "csv":
-        writer = writer.option("header", True)
+        writer = writer.option("header", True).option("escape", '"')
     writer.format(fmt).save(path)
 
 

@@ -15,6 +15,20 @@ def stream_append(stream: DataFrame, path: str, checkpoint: str, fmt: str = "par
     )
 
 
+def write_parts(stream: DataFrame, part, path: str, checkpoint: str) -> StreamingQuery:
+    """``part`` of every batch, a DataFrame function, in a folder of its own, replaced when the batch is repeated."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        part(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def all_parts(spark: SparkSession, path: str) -> DataFrame:
+    """The parts of all batches."""
+    return spark.read.parquet(path).drop("batch")
+
+
 def write_updates(stream: DataFrame, path: str, checkpoint: str, transform=None) -> StreamingQuery:
     """Changed rows of every batch in a folder of their own, replaced when the batch is repeated."""
 
@@ -37,8 +51,8 @@ def latest_updates(spark: SparkSession, path: str, keys) -> DataFrame:
 
 
 def alert_rows(batch: DataFrame, kind: str, message) -> DataFrame:
-    """Alerts as rows (kind, user_id, message), the message built from the row."""
-    return batch.select(F.lit(kind).alias("kind"), "user_id", message.alias("message"))
+    """Alerts as rows (kind, user_id, id of the rating where there is one, message), the message built from the row."""
+    return batch.select(F.lit(kind).alias("kind"), "user_id", *(["id"] if "id" in batch.columns else []), message.alias("message"))
 
 
 def write_alerts(path: str, kind: str, message):
@@ -50,16 +64,11 @@ def write_alerts(path: str, kind: str, message):
     return write
 
 
-def finish(query: StreamingQuery, timeout: int = 600) -> StreamingQuery:
-    """Wait for an available-now stream; its error, if any, is raised here."""
-    if not query.awaitTermination(timeout):
+def finish(query: StreamingQuery, timeout: float | None = None) -> StreamingQuery:
+    """Wait for an available-now stream to its end, at most ``timeout`` seconds if given; its error, if any, is raised here."""
+    if timeout is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout):
         query.stop()
         raise TimeoutError(f"stream not finished after {timeout} s")
     return query
-
-
-def late_rows(query: StreamingQuery) -> int:
-    """Rows that came behind the watermark and were left out."""
-    return sum(
-        op.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for op in p["stateOperators"]
-    )

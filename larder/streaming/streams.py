@@ -1,15 +1,19 @@
 """Streaming forms of the activity, alert and request operators.
 
-Window operators are native streaming aggregations. The two per-user operators
-keep a small state per user; ahead of the shuffle every task reduces its rows
-(to the last ``n`` per user, or to a count), so a hot user sends a few rows per
-task and not a third of the stream.
+Counts per day, window and label are summed per batch and written; reading sums
+the parts of all batches. So no watermark is needed, a late row counts in its
+place, and the result doesn't depend on how many files a batch holds. The
+per-user operators keep a small state per user; where the order allows, every
+task reduces its rows ahead of the shuffle (to the last ``n`` per user, or to a
+count), so a hot user sends a few rows per task.
 """
 
 from __future__ import annotations
 
+from bisect import bisect
+
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -17,46 +21,51 @@ from larder.operators.activity import rated
 from larder.operators.preferences import usable_prefs
 from larder.operators.requests import LABELS, bucket_counts, labelled
 
-WATERMARK = "1 day"
-
-
 def read_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", files_per_batch: int = 1000) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).format(fmt).load(path)
 
 
-def with_event_time(df: DataFrame, col: str = "created_at", watermark: str = WATERMARK) -> DataFrame:
-    """Event time as a zoned timestamp (watermarks need one) with the watermark set."""
-    return df.withColumn("event_time", F.col(col).cast("timestamp")).withWatermark("event_time", watermark)
+def _window_start(col: str, width: str) -> Column:
+    return F.window(F.col(col).cast("timestamp"), width)["start"].cast("timestamp_ntz")
+
 
+def daily_parts(events: DataFrame) -> DataFrame:
+    """Rows per calendar day of one batch."""
+    return events.groupBy(F.to_date("created_at").alias("day")).agg(F.count(F.lit(1)).alias("n"))
 
-def stream_daily_counts(events: DataFrame) -> DataFrame:
-    """Rows per calendar day."""
-    return with_event_time(events).groupBy(F.window("event_time", "1 day")).agg(
-        F.count(F.lit(1)).alias("n")
-    ).select(F.to_date("window.start").alias("day"), "n")
 
+def daily_counts(parts: DataFrame) -> DataFrame:
+    """Rows per calendar day, from the parts of all batches."""
+    return parts.groupBy("day").agg(F.sum("n").alias("n"))
 
-def stream_approval(events: DataFrame, window: str = "7 days", slide: str = "1 day") -> DataFrame:
-    """Likes, dislikes and approval rate per sliding window."""
+
+def approval_parts(events: DataFrame, slide: str = "1 day") -> DataFrame:
+    """Likes and dislikes of one batch per slide of the window."""
     score = F.col("feedback_score")
-    counts = with_event_time(rated(events)).groupBy(F.window("event_time", window, slide)).agg(
-        F.count_if(score == 2).alias("likes"), F.count_if(score == 1).alias("dislikes")
-    )
-    return counts.select(
-        F.col("window.start").cast("timestamp_ntz").alias("window_start"), "likes", "dislikes",
-        (F.col("likes") / (F.col("likes") + F.col("dislikes"))).alias("approval_rate"),
-    )
+    return rated(events).groupBy(_window_start("created_at", slide).alias("slide_start")).agg(
+        F.count_if(score == 2).alias("likes"), F.count_if(score == 1).alias("dislikes"))
 
 
-def stream_request_stats(requests: DataFrame, window: str = "1 minute", time_col: str = "created_at") -> DataFrame:
-    """Request count, latency sum and cumulative buckets per window and label set."""
+def approval(parts: DataFrame, slides: int = 7, slide: str = "1 day") -> DataFrame:
+    """Likes, dislikes and approval rate per sliding window of ``slides`` slides, from the parts of all batches."""
+    summed = parts.groupBy("slide_start").agg(F.sum("likes").alias("likes"), F.sum("dislikes").alias("dislikes"))
+    back = F.transform(F.sequence(F.lit(0), F.lit(slides - 1)), lambda i: F.col("slide_start") - i * F.expr(f"INTERVAL '{slide}'"))
+    counts = summed.withColumn("window_start", F.explode(back)).groupBy("window_start").agg(
+        F.sum("likes").alias("likes"), F.sum("dislikes").alias("dislikes"))
+    return counts.withColumn("approval_rate", F.col("likes") / (F.col("likes") + F.col("dislikes")))
+
+
+def request_parts(requests: DataFrame, window: str = "1 minute", time_col: str = "created_at") -> DataFrame:
+    """Request count, latency sum and cumulative buckets of one batch per window and label set."""
     d = F.col("duration_s")
-    return (
-        with_event_time(labelled(requests), time_col)
-        .groupBy(F.window("event_time", window), *LABELS)
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(d).alias("sum_s"), *bucket_counts(d))
-        .withColumn("window_start", F.col("window.start").cast("timestamp_ntz")).drop("window")
-    )
+    return labelled(requests).groupBy(_window_start(time_col, window).alias("window_start"), *LABELS).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(d).alias("sum_s"), *bucket_counts(d))
+
+
+def request_stats(parts: DataFrame) -> DataFrame:
+    """Request count, latency sum and cumulative buckets per window and label set, from the parts of all batches."""
+    keys = ["window_start", *LABELS]
+    return parts.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in parts.columns if c not in keys])
 
 
 def _newest(rows: list, n: int) -> list:
@@ -65,7 +74,7 @@ def _newest(rows: list, n: int) -> list:
 
 
 def stream_user_streaks(events: DataFrame, n: int = 5) -> DataFrame:
-    """Per user and batch with ratings: whether the last ``n`` ratings are all dislikes.
+    """Per user and batch with ratings: whether the last ``n`` ratings are all dislikes by the end of the batch.
 
     The state is the last ``n`` ratings by time, so a late rating takes its
     place among them, and one older than all of them changes nothing.
@@ -97,6 +106,42 @@ def stream_user_streaks(events: DataFrame, n: int = 5) -> DataFrame:
     ).withColumn("last_rating_at", F.timestamp_micros("last_at").cast("timestamp_ntz")).drop("last_at")
 
 
+def stream_streak_alerts(events: DataFrame, n: int = 5) -> DataFrame:
+    """One row per dislike whose last ``n`` ratings of its user are all dislikes: user_id, id, n_ratings, rated_at.
+
+    The rows are the same for any number of files per batch as long as later
+    files hold later ratings. A rating that comes behind others of its user takes
+    its place among the last ``n`` and is judged there; ratings that were judged
+    before are not judged again, and one older than all of them says nothing.
+    A user's ratings of a batch are ordered in one task, ``n`` are kept as state.
+    """
+    ratings = rated(events).select(
+        "user_id", F.unix_micros(F.col("created_at").cast("timestamp")).alias("at"), "id",
+        F.col("feedback_score").cast("int").alias("score"),
+    )
+
+    def update(key, chunks, state: GroupState):
+        kept = sorted(zip(*state.get)) if state.exists else []
+        new = sorted(r for pdf in chunks for r in zip(pdf["at"].tolist(), pdf["id"].tolist(), pdf["score"].tolist()))
+        found = []
+        for rating in new:
+            if len(kept) == n and rating < kept[0]:
+                continue
+            at = bisect(kept, rating)
+            kept.insert(at, rating)
+            last = kept[max(0, at + 1 - n):at + 1]
+            if len(last) == n and all(score == 1 for _, _, score in last):
+                found.append((key[0], rating[1], n, rating[0]))
+            del kept[:-n]
+        state.update(tuple(list(c) for c in zip(*kept)))
+        yield pd.DataFrame(found, columns=["user_id", "id", "n_ratings", "at"])
+
+    return ratings.groupBy("user_id").applyInPandasWithState(
+        update, "user_id bigint, id bigint, n_ratings int, at bigint",
+        "at array<bigint>, id array<bigint>, score array<int>", "update", GroupStateTimeout.NoTimeout,
+    ).withColumn("rated_at", F.timestamp_micros("at").cast("timestamp_ntz")).drop("at")
+
+
 def stream_threshold(prefs: DataFrame, n: int = 50, null_skipped: str = "keep") -> DataFrame:
     """One row per user when the usable preferences reach ``n``, also where a bulk load jumps over it."""
     users = usable_prefs(prefs, null_skipped).select("user_id")

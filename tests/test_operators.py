@@ -179,6 +179,40 @@ def test_changes(spark, rows):
     got = changes.update_items(inv, twice, order="no").filter("item_id = 1").first()
     assert (got.quantity, got.unit) == (8.0, "g")
     assert changes.upsert(inv, inv.withColumn("quantity", F.lit(7.0)).limit(1), "item_id").count() == 2
+    # A repeated key gives one row, with an order the last one, without the greatest.
+    again = spark.createDataFrame([(5, 1, "x", 3.0, "g", "c", 1), (5, 1, "x", 2.0, "g", "c", 2)],
+                                  "item_id int, user_id int, item_name string, quantity double, unit string, category string, no int")
+    assert [changes.upsert(inv, again, "item_id", o).filter("item_id = 5").collect()[0].quantity for o in (None, "no")] == [3.0, 2.0]
+    assert changes.upsert(inv, again, "item_id").count() == 3
+    assert changes.update_items(inv, again.drop("no").withColumn("item_id", F.lit(1))).count() == 2
+
+
+def test_parts_of_a_stock_list_are_bounded(spark):
+    """Ids with a common factor spread over the parts all the same."""
+    inv = spark.range(4000).select((F.col("id") * 8).alias("item_id"), F.lit(1).alias("user_id"), F.lit("n").alias("item_name"), F.lit(1.0).alias("quantity"), F.lit("g").alias("unit"))
+    sizes = [r.n for r in stock.in_stock_by_user(inv, 500).select(F.size("items").alias("n")).collect()]
+    assert len(sizes) == 8 and sum(sizes) == 4000 and max(sizes) < 650
+
+
+def test_csv_keeps_breaks_and_empty_texts(spark, tmp_path):
+    (tmp_path / "x.csv").write_text('a,b,c\n1,"two\nlines ""quoted""",\n2,"",x\n')
+    got = readers.read_csv(spark, str(tmp_path / "x.csv"), "a int, b string, c string").orderBy("a").collect()
+    assert [tuple(r) for r in got] == [(1, 'two\nlines "quoted"', None), (2, "", "x")]
+
+
+def test_ids_in_file_names_are_decoded(spark, tmp_path):
+    (tmp_path / "new comer_variants.jsonl").write_text('{"x": 1}\n')
+    assert readers.read_entity_files(spark, str(tmp_path / "*.jsonl"), "_variants.jsonl", "x int").first().persona == "new comer"
+    rows = spark.createDataFrame([("a:b", 1), ("c+d 50%", 2)], "persona string, x int")
+    rows.write.partitionBy("persona").json(str(tmp_path / "by"))
+    read = readers.read_entity_files(spark, str(tmp_path / "by" / "*" / "*.json"), None, "x int", pattern=r"/persona=([^/]+)/[^/]+$")
+    assert {(r.persona, r.x) for r in read.collect()} == {("a:b", 1), ("c+d 50%", 2)}
+
+
+def test_any_client_of_an_access_log(spark):
+    lines = spark.createDataFrame([('INFO:     ::1:53122 - "GET /x HTTP/1.1" 200 OK',), ("INFO:     Started",)], "value string")
+    assert [(r.client_ip, r.client_port) for r in readers.parse_access_log(lines).collect()] == [("::1", 53122)]
+    assert tuple(readers.access_line_counts(lines).first()) == (1, 1)
 
 
 def test_readers(spark, tmp_path, rows):

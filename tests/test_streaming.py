@@ -53,11 +53,37 @@ def test_threshold_fires_once(spark, events, stream):
     assert sorted(fired) == sorted(ready) and len(fired) > 1
 
 
-def test_daily_counts_and_late_rows(spark, events, stream):
-    got, query = final(spark, streams.stream_daily_counts(stream), ["day"])
-    counted = got.agg(F.sum("n")).first()[0]
-    # A row is counted or reported as late, never lost.
-    assert counted + sinks.late_rows(query) == events.count()
+def counted(spark, stream, part, whole):
+    base = scratch_path(spark, "run")
+    sinks.finish(sinks.write_parts(stream, part, f"{base}/parts", f"{base}/checkpoint"), timeout=300)
+    return whole(sinks.all_parts(spark, f"{base}/parts"))
+
+
+def test_daily_counts_hold_late_rows(spark, events, stream, rows):
+    got = counted(spark, stream, streams.daily_parts, streams.daily_counts)
+    assert rows(got) == rows(events.groupBy(F.to_date("created_at")).count())
+
+
+def brute_alerts(events, n):
+    """Every dislike whose last n ratings, by time, are dislikes."""
+    users = {}
+    for r in sorted(events.filter("feedback_score IN (1, 2)").collect(), key=lambda r: (r.created_at, r.id)):
+        users.setdefault(r.user_id, []).append((r.feedback_score, r.id))
+    return sorted((u, x[1]) for u, own in users.items() for i, x in enumerate(own) if i + 1 >= n and all(s == 1 for s, _ in own[i + 1 - n:i + 1]))
+
+
+def test_alerts_for_any_number_of_files(spark, events):
+    few = events.filter("id < 60").withColumn("created_at", F.expr("timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, 0, 0, id)"))
+    want = brute_alerts(few, 3)
+    assert len(want) > 3
+    for size in (60, 7):
+        path = scratch_path(spark, "events")
+        for n in range(0, 60, size):
+            few.filter(f"id >= {n} AND id < {n + size}").coalesce(1).write.parquet(f"{path}/{n}")
+        stream = streams.stream_streak_alerts(streams.read_stream(spark, f"{path}/*", few.schema, files_per_batch=1), 3)
+        base = scratch_path(spark, "run")
+        sinks.finish(sinks.write_updates(stream, f"{base}/rows", f"{base}/checkpoint"))
+        assert sorted((r.user_id, r.id) for r in spark.read.parquet(f"{base}/rows").collect()) == want
 
 
 def test_a_stopped_stream_goes_on_where_it_was(spark, events, rows):
@@ -71,11 +97,10 @@ def test_a_stopped_stream_goes_on_where_it_was(spark, events, rows):
 
 
 def test_sliding_approval(spark, events, stream):
-    got, query = final(spark, streams.stream_approval(stream, "2 days", "1 day"), ["window_start"])
+    got = counted(spark, stream, streams.approval_parts, lambda parts: streams.approval(parts, slides=2))
     likes, dislikes = got.agg(F.sum("likes"), F.sum("dislikes")).first()
-    kept = 2 * events.count() - sinks.late_rows(query)
-    # Every row is in two windows unless it was late for one of them.
-    assert kept <= likes + dislikes <= 2 * events.count()
+    # Every row is in two windows.
+    assert likes + dislikes == 2 * events.count()
     for r in got.collect():
         assert r.approval_rate == r.likes / (r.likes + r.dislikes)
 
@@ -85,7 +110,7 @@ def test_request_log_stream(spark, tmp_path, rows):
     for n in range(2):
         (tmp_path / f"{n}.json").write_text("\n".join(lines[5 * n:5 * n + 5]))
     log = read_request_log(spark, str(tmp_path), streaming=True)
-    got, _ = final(spark, streams.stream_request_stats(log, time_col="ts"), ["window_start", "method", "path", "status"])
+    got = counted(spark, log, lambda batch: streams.request_parts(batch, time_col="ts"), streams.request_stats)
     assert rows(got.select("path", "n", "le_0_05", "le_0_1", "le_10", F.round("sum_s", 6))) == [("/u/:id", 10, 2, 3, 10, 1.8)]
 
 
