@@ -260,12 +260,11 @@ def mark_exported(spark, d):
 
 
 # The rater of an event chooses "a" or "b" by its number; other letters are no choice.
-CHOICES = """choices AS (SELECT event_id AS id, user_id, ([ 'a', 'B', 'c' ])[event_id % 3 + 1] AS choice
-  FROM events WHERE event_type = 'view')"""
+CHOICES = """choices AS (SELECT event_id AS id, user_id, ([ 'a', 'B', 'c' ])[event_id % 3 + 1] AS choice FROM events)"""
 
 
 def _choices(spark, d):
-    return table(spark, d, "events").filter("event_type = 'view'").select(
+    return table(spark, d, "events").select(
         F.col("event_id").alias("id"), "user_id",
         F.get(F.array(F.lit("a"), F.lit("B"), F.lit("c")), F.col("event_id") % 3).alias("choice"),
         F.lit(2).alias("servings"),

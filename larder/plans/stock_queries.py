@@ -281,12 +281,12 @@ def largest_categories(spark, d):
 
 @query("deducted_stock", W_OWNED + """, spent AS (
   SELECT o_custkey AS user_id, l_partkey AS item_id, sum(l_discount * l_quantity) / 2 AS amount
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' GROUP BY ALL)
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL)
 SELECT user_id, item_id, round(CASE WHEN amount IS NULL THEN quantity ELSE greatest(0, quantity - amount) END, 6)
   AS quantity FROM owned LEFT JOIN spent USING (user_id, item_id)""")
 def deducted_stock(spark, d):
     li, orders = table(spark, d, "lineitem"), table(spark, d, "orders")
-    spent = li.join(orders, li.l_orderkey == orders.o_orderkey).filter("l_returnflag = 'R'").select(
+    spent = li.join(orders, li.l_orderkey == orders.o_orderkey).select(
         F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("item_id"),
         (F.col("l_discount") * F.col("l_quantity") / 2).alias("amount"),
     )
@@ -332,11 +332,11 @@ def insert_items(spark, d):
 
 @query("update_items", f"""WITH {STOCKED}, ch AS (
   SELECT l_partkey AS item_id, max(l_quantity) AS q, CASE WHEN max(l_tax) > 0.07 THEN 'kg' END AS u
-  FROM lineitem WHERE l_returnflag = 'N' GROUP BY l_partkey)
+  FROM lineitem GROUP BY l_partkey)
 SELECT item_id, coalesce(q, quantity) AS quantity, coalesce(u, unit) AS unit, category
 FROM stocked LEFT JOIN ch USING (item_id)""")
 def update_items(spark, d):
-    new = table(spark, d, "lineitem").filter("l_returnflag = 'N'").groupBy(F.col("l_partkey").alias("item_id")).agg(
+    new = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("item_id")).agg(
         F.max("l_quantity").alias("quantity"), F.when(F.max("l_tax") > 0.07, "kg").alias("unit")
     )
     return changes.update_items(_stocked(spark, d), new, ["item_id"]).select("item_id", "quantity", "unit", "category")
