@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from larder.llm.common import WORD, table_of
+from larder.session import settled
 
 #: Weights, dealt to the sources in order, again from the first after the last.
 WEIGHTS = (5, 2, 1)
@@ -78,7 +79,8 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple =
         F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("order"),
     ).withColumn("bucket", F.substring("order", 1, BUCKET_DIGITS))
     # A null source gets a name of its own for the joins: names of sources keep their first letter.
-    own = own.withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
+    # Written once: sums and positions both need the sizes, and texts are read for them only here.
+    own = settled(own.withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))), "sizes")
     buckets = own.groupBy("key", "bucket").agg(F.sum("size").alias("held"), F.min("source").alias("source"))
     sizes = buckets.groupBy("key").agg(F.sum("held").alias("source_size"), F.min("source").alias("source"))
     goals = sizes.select("key").join(targets(sizes.select("source", "source_size"), share, most, weights).withColumn(
