@@ -34,6 +34,16 @@ def active_users_sketch(spark, d):
     return activity.active_users(history(spark, d), AS_OF, approx=True)
 
 
+@query("active_users_sketch_error", f"""{W_HISTORY}
+SELECT count(DISTINCT user_id) AS active_users, true AS near FROM history WHERE created_at >= {WEEK_AGO}""")
+def active_users_sketch_error(spark, d):
+    """Whether the sketch lies within three of its standard errors (a twentieth each) of the exact count."""
+    exact = activity.active_users(history(spark, d), AS_OF)
+    sketch = activity.active_users(history(spark, d), AS_OF, approx=True).select(F.col("active_users").alias("s"))
+    off = F.abs(sketch.scalar() - F.col("active_users"))
+    return exact.withColumn("near", off <= 0.15 * F.col("active_users"))
+
+
 @query("recipe_metrics", f"""{W_HISTORY}, c AS (
   SELECT count(*) AS total, count(*) FILTER (created_at >= {WEEK_AGO}) AS last_days,
          count(*) FILTER (feedback_score > 0) AS with_feedback, count(*) FILTER (feedback_score = 2) AS liked,

@@ -535,3 +535,9 @@ def fitted_ranker(spark, d):
     pairs = embedding_pairs(spark, d)
     weights = ranking.fit_pair_ranker(pairs).coefficients
     return ranking.pair_accuracy(ranking.score_pairs(pairs, weights))
+
+
+@query("fitted_ranker_floor", f"WITH {EMB_PAIRS} SELECT count(*) AS n_pairs, true AS better FROM pairs")
+def fitted_ranker_floor(spark, d):
+    """Whether the fitted ranker orders more than half of its pairs rightly."""
+    return fitted_ranker(spark, d).select("n_pairs", (F.col("accuracy") > 0.5).alias("better"))

@@ -13,6 +13,24 @@ from larder.plans.registry import query, rounded
 from larder.plans.text_queries import NORM_SQL
 
 BOTH = f"WITH {OWNED}, {RECIPE_INGREDIENTS}"
+# The longest block that x and y share, the earliest in x and then in y of equals, as one number:
+# its length, 999 less its place in x, 999 less its place in y, three digits each; names are short.
+LONGEST = """list_max(flatten(list_transform(range(1, len(x) + 1), lambda i: list_transform(range(1, len(y) + 1), lambda j:
+  1000000 * len(list_filter(range(1, least(len(x) - i, len(y) - j) + 2), lambda k: x[i:i + k - 1] = y[j:j + k - 1])) + (999 - i) * 1000 + 999 - j))))"""
+# Similarity of the pairs (a, b): what remains before and behind the longest block is compared likewise.
+SCORES = f"""blocks AS (
+  SELECT a, b, x, y, {LONGEST} AS m FROM (SELECT a, b, a AS x, b AS y FROM pairs WHERE a <> '' AND b <> '')
+  UNION ALL SELECT a, b, x, y, {LONGEST} AS m FROM (
+    SELECT a, b, p.x AS x, p.y AS y FROM (
+      SELECT a, b, unnest([{{'x': x[1:i - 1], 'y': y[1:j - 1]}}, {{'x': x[i + n:], 'y': y[j + n:]}}]) AS p FROM (
+        SELECT *, m // 1000000 AS n, 999 - m // 1000 % 1000 AS i, 999 - m % 1000 AS j FROM blocks WHERE m >= 1000000)))
+  WHERE x <> '' AND y <> ''),
+scores AS (SELECT a, b, 2.0::DOUBLE * sum(m // 1000000) / (len(a) + len(b)) AS score FROM blocks GROUP BY a, b)"""
+WORDS = "list_filter(string_split_regex({c}, '\\s+'), lambda w: w <> '')"
+# All pairs of a user's ingredient and item names; the operator compares lists and leaves out what a bound excludes.
+NAME_PAIRS = f"""{BOTH.replace('WITH', 'WITH RECURSIVE', 1)}, i AS (SELECT DISTINCT user_id, ingredient, {NORM_SQL.format(c='ingredient')} AS b FROM ingredients),
+o AS (SELECT user_id, {NORM_SQL.format(c='item_name')} AS a, min(item_id) AS item_id FROM owned GROUP BY ALL),
+pairs AS (SELECT DISTINCT a, b FROM i JOIN o USING (user_id) WHERE a <> '' AND b <> ''), {SCORES}"""
 CLIENT = "regexp_replace(" + NORM_SQL + r", '\s+', ' ', 'g')"
 # The oracle compares all pairs; the operator joins substrings.
 FIRST_ITEM = f"""i AS (SELECT DISTINCT user_id, ingredient, {CLIENT.format(c='ingredient')} AS nm FROM ingredients),
@@ -40,7 +58,9 @@ def recipes_missing_items(spark, d):
     return matching.recipes_missing_items(recipe_ingredients(spark, d), owned_items(spark, d))
 
 
-@query("best_item_match")
+@query("best_item_match", f"""{NAME_PAIRS}
+SELECT user_id, ingredient, item_id, round(score, 6) AS score FROM i JOIN o USING (user_id) JOIN scores USING (a, b) WHERE score >= 0.45
+QUALIFY row_number() OVER (PARTITION BY user_id, ingredient ORDER BY scores.score DESC, item_id) = 1""")
 def best_item_match(spark, d):
     return rounded(matching.best_item_match(recipe_ingredients(spark, d), owned_items(spark, d)), "score")
 
@@ -57,12 +77,19 @@ def word_matches(spark, d):
     return found.select("user_id", "ingredient", "n_matches")
 
 
-@query("matching_items")
+@query("matching_items", f"""{NAME_PAIRS}
+SELECT user_id, ingredient, n_matches, n_matches > 0 AS matched FROM (
+  SELECT i.user_id, ingredient, count(*) FILTER (score >= 0.45 OR list_has_any({WORDS.format(c='a')}, {WORDS.format(c='b')})) AS n_matches
+  FROM (SELECT * FROM i WHERE b <> '') i LEFT JOIN (SELECT * FROM o WHERE a <> '') o USING (user_id) LEFT JOIN scores USING (a, b) GROUP BY i.user_id, ingredient)""")
 def matching_items(spark, d):
     return matching.matching_items(recipe_ingredients(spark, d), owned_items(spark, d))
 
 
-@query("name_similarity")
+@query("name_similarity", f"""WITH RECURSIVE named AS (SELECT DISTINCT p_name, p_type, {NORM_SQL.format(c='p_name')} AS a, {NORM_SQL.format(c='p_type')} AS b
+  FROM lineitem JOIN part ON l_partkey = p_partkey), pairs AS (SELECT DISTINCT a, b FROM named), {SCORES}
+SELECT p_name, p_type, round(coalesce(score, 0.0), 6) AS score,
+  coalesce(score, 0.0) >= 0.45 OR list_has_any({WORDS.format(c='a')}, {WORDS.format(c='b')}) AS matched
+FROM named LEFT JOIN scores USING (a, b)""")
 def name_similarity(spark, d):
     part = table(spark, d, "part")
     pairs = table(spark, d, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select("p_name", "p_type").distinct()
@@ -130,11 +157,14 @@ def compatible_items(spark, d):
 COOK_UNITS = ["kg", "g", "cups", "pieces"]
 
 
-def cooked_recipes(spark, d):
-    """Every order line cooks what it bought; ingredients carry the exact part names."""
+def cooked_recipes(spark, d, reworded: bool = False):
+    """Every order line cooks what it bought; ingredients carry the part names, with ``reworded`` half of them word by word backwards."""
     li, part, orders = (table(spark, d, t) for t in ("lineitem", "part", "orders"))
     qty = (F.col("l_quantity") % 7 + 1).cast("int").cast("string")
-    line = F.concat(qty, F.lit(" "), choose(COOK_UNITS, F.col("l_linenumber") % 4), F.lit(" "), F.upper("p_name"))
+    name = F.col("p_name")
+    if reworded:
+        name = F.when(F.col("l_orderkey") % 2 == 1, F.array_join(F.reverse(F.split("p_name", " ")), " ")).otherwise(name)
+    line = F.concat(qty, F.lit(" "), choose(COOK_UNITS, F.col("l_linenumber") % 4), F.lit(" "), F.upper(name))
     lines = li.join(part, li.l_partkey == part.p_partkey).join(orders, li.l_orderkey == orders.o_orderkey)
     return lines.select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity").alias("id"), F.col("o_custkey").alias("user_id"),
@@ -142,10 +172,12 @@ def cooked_recipes(spark, d):
     )
 
 
-COOKED = f"""cooked AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_quantity, o_custkey AS user_id, l_quantity % 7 + 1 AS qty,
-  {sql_choose(COOK_UNITS, 'l_linenumber % 4')} AS cu, p_name AS nm, CASE WHEN l_orderkey % 3 = 0 THEN 1 ELSE l_orderkey % 3 END AS times
+def _cooked_sql(name: str, firsts: str) -> str:
+    """Cooked lines with their ingredient's name, and per (user, item) what they use up; ``firsts`` gives (user_id, item_name, item_id)."""
+    return f"""cooked AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_quantity, o_custkey AS user_id, l_quantity % 7 + 1 AS qty,
+  {sql_choose(COOK_UNITS, 'l_linenumber % 4')} AS cu, {name} AS nm, CASE WHEN l_orderkey % 3 = 0 THEN 1 ELSE l_orderkey % 3 END AS times
   FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey),
-firsts AS (SELECT user_id, item_name, min(item_id) AS item_id FROM owned GROUP BY ALL),
+{firsts},
 used AS (SELECT f.user_id, f.item_id, sum(times * CASE
     WHEN cu = o.unit OR (cu = 'pieces' AND o.unit = 'pcs') THEN qty WHEN cu = 'kg' AND o.unit = 'g' THEN qty * 1000.0 / 1
     WHEN cu = 'g' AND o.unit = 'kg' THEN qty * 1 / 1000.0
@@ -155,9 +187,25 @@ used AS (SELECT f.user_id, f.item_id, sum(times * CASE
   JOIN owned o ON o.user_id = f.user_id AND o.item_id = f.item_id GROUP BY ALL)"""
 
 
-@query("cooked_stock", f"""WITH {OWNED}, {COOKED}
-SELECT user_id, item_id, round(CASE WHEN amount IS NULL THEN quantity ELSE greatest(0, quantity - amount) END, 6) AS quantity
-FROM owned LEFT JOIN used USING (user_id, item_id)""")
+COOKED = _cooked_sql("p_name", "firsts AS (SELECT user_id, item_name, min(item_id) AS item_id FROM owned GROUP BY ALL)")
+REWORDED = _cooked_sql(
+    "CASE WHEN l_orderkey % 2 = 1 THEN array_to_string(list_reverse(string_split(p_name, ' ')), ' ') ELSE p_name END",
+    f"""i AS (SELECT DISTINCT user_id, nm AS b FROM cooked), o AS (SELECT user_id, item_name AS a, min(item_id) AS item_id FROM owned GROUP BY ALL),
+pairs AS (SELECT DISTINCT a, b FROM i JOIN o USING (user_id)), {SCORES},
+firsts AS (SELECT user_id, b AS item_name, item_id FROM i JOIN o USING (user_id) JOIN scores USING (a, b) WHERE score >= 0.45
+  QUALIFY row_number() OVER (PARTITION BY user_id, b ORDER BY score DESC, item_id) = 1)""")
+LEFT_OVER = """SELECT user_id, item_id, round(CASE WHEN amount IS NULL THEN quantity ELSE greatest(0, quantity - amount) END, 6) AS quantity
+FROM owned LEFT JOIN used USING (user_id, item_id)"""
+
+
+@query("cooked_stock", f"WITH {OWNED}, {COOKED} {LEFT_OVER}")
 def cooked_stock(spark, d):
     left = matching.apply_cooked(cooked_recipes(spark, d), owned_items(spark, d))
     return rounded(left.select("user_id", "item_id", "quantity"), "quantity")
+
+
+@query("cooked_stock_reworded", f"WITH RECURSIVE {OWNED}, {REWORDED} {LEFT_OVER}")
+def cooked_stock_reworded(spark, d):
+    """Half of the ingredients have no equal name in stock and are matched by similarity."""
+    left = matching.apply_cooked(cooked_recipes(spark, d, reworded=True), owned_items(spark, d))
+    return rounded(left.select("user_id", "item_id", "quantity"), "quantity")

@@ -103,6 +103,24 @@ def unit_price_by_category_sketch(spark, d):
     return quality.describe_by(priced, "category", "unit_price", approx=True)
 
 
+def _near_quartiles(rows, sketch, key: str):
+    """Per key the number of values, and whether each sketched quartile is within its rank error of a ten-thousandth."""
+    v, n = F.col("_v"), F.count("_v")
+    near = [
+        ((F.count_if(v < F.col(q)) <= (p + 1e-4) * n + 1) & (F.count_if(v <= F.col(q)) >= (p - 1e-4) * n - 1)).alias(f"{q}_near")
+        for q, p in quality.QUARTILES.items()
+    ]
+    return rows.join(sketch.select(key, *quality.QUARTILES), key).groupBy(key).agg(n.alias("n"), *near)
+
+
+@query("unit_price_sketch_error", "WITH " + PURCHASES + """
+SELECT category, count(price_total / nullif(quantity_purchased, 0)) AS n, true AS q25_near, true AS q50_near, true AS q75_near
+FROM purchases WHERE category IS NOT NULL GROUP BY category""")
+def unit_price_sketch_error(spark, d):
+    rows = stock.with_unit_price(purchases(spark, d), "null").select("category", F.col("unit_price").alias("_v"))
+    return _near_quartiles(rows, unit_price_by_category_sketch(spark, d), "category")
+
+
 @query("under_represented", "WITH " + PURCHASES + """, c AS (
   SELECT 'category' AS slice, category AS value, count(*) AS n FROM purchases GROUP BY ALL UNION ALL
   SELECT 'unit', unit, count(*) FROM purchases GROUP BY ALL UNION ALL
@@ -141,6 +159,17 @@ def profile_lineitem_sketch(spark, d):
     return quality.profile(table(spark, d, "lineitem"), approx=True)
 
 
+NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query("profile_sketch_error", " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", count({c}) AS n, true AS q25_near, true AS q50_near, true AS q75_near FROM lineitem""" for c in NUMBERS))
+def profile_sketch_error(spark, d):
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("_v")) for c in NUMBERS]))
+    rows = table(spark, d, "lineitem").select(cells.alias("c")).select("c.*")
+    return _near_quartiles(rows, profile_lineitem_sketch(spark, d), "column")
+
+
 SUITE_ROWS = """, checks AS (
   SELECT 1 AS check_no, 'item_id not null' AS expectation, count(*) FILTER (item_id IS NULL) AS unexpected FROM {t}
   UNION ALL SELECT 2, '{second} not null', count(*) FILTER ({second} IS NULL) FROM {t}
