@@ -199,6 +199,22 @@ def split_steps(c: Column) -> Column:
     )
 
 
+def steps_of_json(c: Column) -> Column:
+    """Cooking steps of a JSON text: of a list the texts in it, stripped and without empty ones; a text is split; nothing for anything else."""
+    value = F.try_parse_json(c)
+    kind = F.schema_of_variant(value)
+
+    def said(e: Column) -> Column:
+        return F.when(F.schema_of_variant(e) == "STRING", strip(F.try_variant_get(e, "$", "string")))
+
+    listed = F.filter(F.transform(F.try_variant_get(value, "$", "array<variant>"), said), lambda s: F.length(s) > 0)
+    return (
+        F.when(F.startswith(kind, F.lit("ARRAY")), listed)
+        .when(kind == "STRING", split_steps(F.try_variant_get(value, "$", "string")))
+        .otherwise(F.array().cast("array<string>"))
+    )
+
+
 def contains_any(c: Column, phrases) -> Column:
     """Whether the text holds one of a fixed list of phrases."""
     hit = F.lit(False)

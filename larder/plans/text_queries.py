@@ -250,6 +250,20 @@ def step_counts(spark, d):
     return parts.select("doc_id", F.size("_s").alias("n_steps"), F.get("_s", F.lit(0)).alias("first_step"))
 
 
+@query("listed_steps", f"""
+SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN len(s) + 1 ELSE coalesce(len({FREE}), 0) END::INT AS n_steps,
+       CASE WHEN doc_id % 2 = 0 THEN 'Chop.' ELSE ({FREE})[1] END AS first_step, CASE WHEN doc_id % 2 = 0 THEN s[1] ELSE ({FREE})[2] END AS next_step
+FROM (SELECT *, list_filter([trim(text, {WS})], lambda x: x <> '') AS s FROM documents)""")
+def listed_steps(spark, d):
+    """Steps as a JSON list that also holds other things, or as one JSON text."""
+    array = F.to_json(F.array("text"))
+    alone = F.substring(array, F.lit(2), F.length(array) - 2)
+    given = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit('[" Chop. ", 7, null, {"a": "b"}, "  ", '), alone, F.lit("]"))).otherwise(alone)
+    parts = table(spark, d, "documents").select("doc_id", text.steps_of_json(given).alias("_s"))
+    return parts.select(
+        "doc_id", F.size("_s").alias("n_steps"), F.get("_s", F.lit(0)).alias("first_step"), F.get("_s", F.lit(1)).alias("next_step"))
+
+
 @query("error_recipes", """
 SELECT doc_id, doc_id % 6 IN (0, 1, 2, 3) AS is_error,
        CASE doc_id % 6 WHEN 1 THEN 'Unknown' WHEN 2 THEN lang WHEN 0 THEN lang WHEN 3 THEN lang WHEN 4 THEN lang ELSE source END AS title
