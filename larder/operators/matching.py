@@ -27,23 +27,29 @@ def _names(df: DataFrame, col: str, collapse: bool = False) -> DataFrame:
     return df.filter(has_name(F.col(col))).withColumn("_name", norm_text(F.col(col), collapse))
 
 
-def _item_names(inventory: DataFrame, collapse: bool = False) -> DataFrame:
-    """One row per (user, normalised name) with the lowest item id."""
+def _lowest(keep=()) -> Column:
+    """Aggregate: the lowest item id as ``_item``, with what is kept of its row; null where all ids are."""
+    return F.min(F.when(F.col("item_id").isNotNull(), F.struct("item_id", *keep))).alias("_item")
+
+
+def _item_names(inventory: DataFrame, collapse: bool = False, keep=()) -> DataFrame:
+    """One row per (user, normalised name) with the lowest item id and the ``keep`` columns of that item."""
     return (
-        _names(inventory.select("user_id", "item_id", "item_name"), "item_name", collapse)
-        .groupBy("user_id", "_name").agg(F.min("item_id").alias("item_id"))
+        _names(inventory.select("user_id", "item_id", "item_name", *keep), "item_name", collapse)
+        .groupBy("user_id", "_name").agg(_lowest(keep)).select("user_id", "_name", "_item.*")
     )
 
 
 def _block_numbers(names: DataFrame, size: int) -> DataFrame:
-    return names.groupBy("user_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).alias("_blocks"))
+    """The number of lists of the users that need more than one: few users, by definition."""
+    return names.groupBy("user_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).alias("_blocks")).filter(F.col("_blocks") > 1)
 
 
 def _blocks(names: DataFrame, packed: Column, size: int) -> DataFrame:
     """Names packed into sorted lists of about ``size`` per user; a user with few names gets one list."""
     return (
-        names.join(_block_numbers(names, size), "user_id")
-        .withColumn("_block", F.pmod(F.xxhash64("_name"), F.col("_blocks")))
+        names.join(_block_numbers(names, size), "user_id", "left")
+        .withColumn("_block", F.pmod(F.xxhash64("_name"), F.coalesce("_blocks", F.lit(1))))
         .groupBy("user_id", "_block")
         .agg(F.array_sort(F.collect_list(packed)).alias("_packed"))
     )
@@ -60,8 +66,9 @@ def _block_pairs(left: DataFrame, items: DataFrame, size: int) -> DataFrame:
     spread = ("user_id", "_right")
     names = (
         _blocks(left, F.col("_name"), size)
-        .join(_block_numbers(items, size), "user_id")
-        .select("user_id", F.col("_packed").alias("names"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_right"))
+        .join(_block_numbers(items, size), "user_id", "left")
+        .select("user_id", F.col("_packed").alias("names"), F.explode(
+            F.sequence(F.lit(0).cast("long"), F.coalesce("_blocks", F.lit(1)) - 1)).alias("_right"))
     )
     # Items sorted by id: the first of equal scores is the lowest id.
     lists = _blocks(items, F.struct("item_id", "_name"), size).select(
@@ -153,39 +160,38 @@ def _contained(containers: DataFrame, parts: DataFrame) -> DataFrame:
     return parts_of.join(inside, "_part").select("_name", "_part")
 
 
-def containing_item(ingredients: DataFrame, inventory: DataFrame) -> DataFrame:
+def containing_item(ingredients: DataFrame, inventory: DataFrame, keep=()) -> DataFrame:
     """The first item (lowest id) whose name contains the ingredient name or is contained in it.
 
-    All joins are equi joins, and each direction is reduced to the lowest item
+    ``keep`` names columns of the item that come along. All joins are equi joins, and each direction is reduced to the lowest item
     id per (user, name) ahead of the last one.
     """
     wanted = settled(_names(ingredients.select("user_id", "ingredient").distinct(), "ingredient", collapse=True), "wanted")
     names = wanted.select("user_id", "_name").distinct()
-    items = settled(_item_names(inventory, collapse=True), "items")
+    items = settled(_item_names(inventory, collapse=True, keep=keep), "items")
     inside_item = (
         items.join(_contained(items, names), "_name")
-        .groupBy("user_id", F.col("_part").alias("_name")).agg(F.min("item_id").alias("item_id"))
+        .groupBy("user_id", F.col("_part").alias("_name")).agg(_lowest(keep))
         .join(names, ["user_id", "_name"])
     )
     holds_item = (
         names.join(_contained(names, items), "_name")
         .join(items.withColumnRenamed("_name", "_part"), ["user_id", "_part"])
-        .groupBy("user_id", "_name").agg(F.min("item_id").alias("item_id"))
+        .groupBy("user_id", "_name").agg(_lowest(keep))
     )
     first = (
-        inside_item.select("user_id", "_name", "item_id").unionByName(holds_item)
-        .groupBy("user_id", "_name").agg(F.min("item_id").alias("item_id"))
+        inside_item.select("user_id", "_name", "_item").unionByName(holds_item)
+        .groupBy("user_id", "_name").agg(F.min("_item").alias("_item"))
     )
-    return wanted.join(first, ["user_id", "_name"]).select("user_id", "ingredient", "item_id")
+    return wanted.join(first, ["user_id", "_name"]).select("user_id", "ingredient", "_item.*")
 
 
 def ingredient_availability(ingredients: DataFrame, inventory: DataFrame, low: float = 0.1) -> DataFrame:
     """Per (user, recipe, ingredient) the item it is taken from, and whether it is missing or low."""
-    first = containing_item(ingredients, inventory)
-    stock = inventory.select("user_id", "item_id", "quantity")
+    first = containing_item(ingredients, inventory, keep=("quantity",))
     return (
         ingredients.select("user_id", "recipe_id", "ingredient")
-        .join(first.join(stock, ["user_id", "item_id"]), ["user_id", "ingredient"], "left")
+        .join(first, ["user_id", "ingredient"], "left")
         .select(
             "user_id", "recipe_id", "ingredient", "item_id",
             F.col("item_id").isNull().alias("missing"),

@@ -116,15 +116,25 @@ def slice_of(value: Column, cuts: Column) -> Column:
 def rank_within(df: DataFrame, keys, score: str) -> DataFrame:
     """Competition rank by descending score per key.
 
-    A sketch of all scores gives the cut points; ranks inside a slice of scores
-    are computed apart and shifted by the rows of the higher slices, so the
-    sketch balances the work and does not enter the result.
+    Rows are counted per (key, score) first, and only the counts are sorted: a
+    score that a third of the rows share is one row there. A sketch of the
+    distinct scores gives the cut points; ranks inside a slice of scores are
+    computed apart and shifted by the rows of the higher slices, so the sketch
+    balances the work and does not enter the result. The rows then meet their
+    rank by (key, score), where Spark splits what is large.
     """
-    cuts = df.agg(cut_points(score)).scalar()
-    parts = df.withColumn("_cuts", cuts).withColumns({
-        "_key": packed(*keys), "_bucket": slice_of(F.col(score), F.col("_cuts")),
-    }).drop("_cuts")
-    return _shifted(parts, F.desc("_bucket"), F.rank(), [F.desc(score)], "rank").select(*df.columns, "rank")
+    keyed = df.withColumns({"_key": packed(*keys), "_score": packed(F.col(score).alias("at"))})
+    counts = keyed.groupBy("_key", "_score").agg(F.count(F.lit(1)).alias("_n"))
+    at = F.col("_score.at")
+    cuts = counts.agg(cut_points("_score.at")).scalar()
+    sliced = counts.withColumn("_cuts", cuts).withColumn("_bucket", slice_of(at, F.col("_cuts"))).drop("_cuts")
+    higher = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ahead = sliced.groupBy("_key", "_bucket").agg(F.sum("_n").alias("_n")).select(
+        "_key", "_bucket", higher(Window.partitionBy("_key").orderBy(F.desc("_bucket"))).alias("_offset"))
+    inside = higher(Window.partitionBy("_key", "_bucket").orderBy(F.desc(at)))
+    ranks = sliced.withColumn("_inside", inside).join(ahead, ["_key", "_bucket"]).select(
+        "_key", "_score", (F.col("_offset") + F.col("_inside") + 1).alias("rank"))
+    return keyed.join(ranks, ["_key", "_score"]).select(*df.columns, "rank")
 
 
 def with_share_of_max(df: DataFrame, col: str, floor: float = 1.0) -> DataFrame:

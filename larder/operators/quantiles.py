@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from larder.operators.ordering import cut_points, packed, slice_of
 from larder.session import settled
 
+# Distinct values of a key that one task may sort, and the tasks that share a larger key's join to its cut points.
+WHOLE, SALTS = 4096, 16
+
 
 def value_counts(df: DataFrame, keys, value: str) -> DataFrame:
     """Rows per (key, value), nulls included: (_key, _v, _c). A hot key is spread by its values."""
@@ -37,16 +40,26 @@ def moments(counts: DataFrame) -> DataFrame:
     return first.join(spread, "_key").select("_key", "n", "mean", std.alias("std"), "min", "max")
 
 
-def exact_quantiles(df: DataFrame, keys, value: str, probs: dict) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys, value: str, probs: dict, whole: int = WHOLE) -> DataFrame:
     """Linear-interpolated quantiles per key, nulls left out; ``probs`` names them."""
-    return quantiles(value_counts(df, keys, value), probs).select("_key.*", *probs)
+    return quantiles(value_counts(df, keys, value), probs, whole).select("_key.*", *probs)
+
 
+def quantiles(counts: DataFrame, probs: dict, whole: int = WHOLE) -> DataFrame:
+    """Quantiles per key of counted values.
 
-def quantiles(counts: DataFrame, probs: dict) -> DataFrame:
-    """Quantiles per key of counted values."""
+    Keys of at most ``whole`` distinct values are one slice. Only the others
+    meet their cut points, and by a salt beside the key, so that a hot key is
+    not one task of this join either.
+    """
     counts = counts.filter(F.col("_v").isNotNull())
-    splits = counts.groupBy("_key").agg(cut_points("_v").alias("_cuts"))
-    sliced = counts.join(splits, "_key").select(
+    salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    splits = (
+        counts.groupBy("_key").agg(cut_points("_v").alias("_cuts"), F.count(F.lit(1)).alias("_d"))
+        .filter(F.col("_d") > whole).select("_key", "_cuts", F.explode(salts).alias("_salt"))
+    )
+    salted = counts.withColumn("_salt", F.pmod(F.xxhash64("_v"), F.lit(SALTS)).cast("int"))
+    sliced = salted.join(splits, ["_key", "_salt"], "left").select(
         "_key", "_v", "_c", slice_of(F.col("_v"), F.col("_cuts")).alias("_slice")
     )
 

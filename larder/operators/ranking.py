@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from larder.functions.text import hash_bucket
 from larder.operators.ordering import arg_max_first, rank_within
+from larder.session import settled
 
 
 def difference(chosen: Column, rejected: Column) -> Column:
@@ -52,7 +53,8 @@ def pair_accuracy(scored: DataFrame) -> DataFrame:
 
 
 def rank_candidates(scored: DataFrame, key: str = "request_id") -> DataFrame:
-    return rank_within(scored, [key], "score")
+    """Competition rank per request; the scores are written once, so that no branch computes them again."""
+    return rank_within(settled(scored, "scored"), [key], "score")
 
 
 def score_and_pick(candidates: DataFrame, weights, key: str = "request_id", candidate: str = "candidate_id") -> DataFrame:

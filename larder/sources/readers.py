@@ -172,16 +172,20 @@ def attach_persona(variants: DataFrame, personas: DataFrame) -> DataFrame:
     return variants.join(settings, F.col("persona") == F.col("persona_id")).drop("persona_id")
 
 
-def receipt_urls(df: DataFrame, bucket: str, split: str) -> DataFrame:
+# Fixed value: the public store that receipt images are read from.
+IMAGE_STORE = "https://storage.googleapis.com"
+
+
+def receipt_urls(df: DataFrame, bucket: str, split: str, store: str = IMAGE_STORE) -> DataFrame:
     """Image URL, ground truth, split and file name of one split."""
     return df.select(
-        F.concat(F.lit(f"https://storage.googleapis.com/{bucket}/{split}/"), F.col("filename")).alias("img_url"),
+        F.concat(F.lit(f"{store}/{bucket}/{split}/"), F.col("filename")).alias("img_url"),
         "ground_truth", F.lit(split).alias("split"), "filename",
     )
 
 
-def union_splits(train: DataFrame, val: DataFrame, bucket: str) -> DataFrame:
-    return receipt_urls(train, bucket, "train").unionByName(receipt_urls(val, bucket, "validation"))
+def union_splits(train: DataFrame, val: DataFrame, bucket: str, store: str = IMAGE_STORE) -> DataFrame:
+    return receipt_urls(train, bucket, "train", store).unionByName(receipt_urls(val, bucket, "validation", store))
 
 
 def split_counts(receipts: DataFrame) -> DataFrame:

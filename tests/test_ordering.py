@@ -1,10 +1,11 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from larder.operators import ordering
-from larder.operators.quantiles import exact_quantiles
+from larder.operators.quantiles import WHOLE, exact_quantiles
 
 PROBS = {"q25": 0.25, "q50": 0.5, "q75": 0.75, "q0": 0.0, "q100": 1.0}
 
@@ -39,10 +40,24 @@ def test_rank_with_ties(spark):
         assert got[k, i] == 1 + sum(1 for k2, _, v2 in data if k2 == k and v2 > v)
 
 
-def test_quantiles_equal_numpy(spark):
+def test_rank_of_shared_and_missing_scores(spark):
+    """A third of the rows share one score; null scores rank behind all others, together."""
+    data = [(1, i, 7.0 if i % 3 == 0 else None if i % 10 == 1 else float(i)) for i in range(600)]
+    df = spark.createDataFrame(data, "k int, id int, score double").repartition(5)
+    got = {r.id: r.rank for r in ordering.rank_within(df, ["k"], "score").collect()}
+    low = float("-inf")
+    values = [low if v is None else v for _, _, v in data]
+    assert len(got) == 600
+    for (_, i, _), v in zip(data, values):
+        assert got[i] == 1 + sum(1 for x in values if x > v)
+
+
+@pytest.mark.parametrize("whole", [0, 50, WHOLE])
+def test_quantiles_equal_numpy(spark, whole):
+    """Whether all keys are cut into slices, the large ones or none."""
     data = skewed() + [(None, -1, 5.0), (None, -2, 7.0), (21, -3, None), (22, -4, 1.0)]
     df = spark.createDataFrame(data, "k int, id int, v double").repartition(5)
-    got = {r.k: r for r in exact_quantiles(df, ["k"], "v", PROBS).collect()}
+    got = {r.k: r for r in exact_quantiles(df, ["k"], "v", PROBS, whole).collect()}
     keys = {k for k, _, v in data if v is not None}
     assert set(got) == keys
     for k in keys:
