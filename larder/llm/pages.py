@@ -1,22 +1,26 @@
 """Main text of web pages by deducing the template of each host's pages.
 
 Tokens are a page's containers, told apart by their path of elements, classes
-and ids. Tokens with the same occurrence vector over a host's pages form an
-equivalence class; a class that occurs often enough is valid, and valid classes
-nest by their paths into the host's template. The template's slots hold what
-differs from page to page: a slot is content or not by its place, by how much of
-it is links and by whether its text ever changes. A page's text is that of its
-content slots; markup that the template lacks goes with the slot around it.
+and ids, with or without text of their own. Tokens with the same occurrence
+vector over a host's pages form an equivalence class. A class is valid if it
+occurs often enough and its tokens come in the same order on every page; a token
+whose place among the others changes is a class of its own. Valid classes nest by
+their paths into the host's template. A slot is what lies directly in a token,
+behind one of the inner tokens of the same class or ahead of them all: it is
+content or not by its place, by how much of it is links and by whether its text
+ever changes. A page's text is that of its content slots; markup that the
+template lacks goes with the slot around it.
 
 Occurrence vectors are never gathered: their xor of (page, count) hashes tells
 them apart and is summed ahead of the shuffle. A template holds paths of a
-tenth of the host's pages at least, so its size follows that of a page.
+tenth of the host's pages at least, so its size follows that of a page. Pages are
+read four times: for the vectors, the order, the slots and the texts.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from html import unescape
 from zlib import crc32
@@ -35,6 +39,8 @@ LEAST_PAGES = 3
 #: Share of a slot's characters in links from which it is a menu.
 LINKS = 0.6
 SLICE = 4 << 20
+#: Templates that a task keeps at hand.
+MOST_HELD = 200
 
 # Elements of HTML, and words in classes, ids and roles.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -76,11 +82,11 @@ def noisy(steps: list[tuple[str, str, frozenset[str]]]) -> bool:
     return False
 
 
-def blocks_of(html: str) -> list[tuple[str, bool, bool, str, int]]:
-    """(path, beside the article, inside article or main, text, characters in links) of the text blocks, in page order."""
+def events_of(html: str) -> list[tuple]:
+    """What a page holds, in its order: (path,) where a container opens, () where one closes, and (beside the article, inside article or main, text, characters in links) for a text block."""
     steps: list[tuple[str, str, frozenset[str]]] = []
     opened: list[str] = []
-    out: list[tuple[str, bool, bool, str, int]] = []
+    out: list[tuple] = [("",)]
     held: list[str] = []
     linked = 0
 
@@ -88,7 +94,7 @@ def blocks_of(html: str) -> list[tuple[str, bool, bool, str, int]]:
         nonlocal linked
         text = " ".join("".join(held).split())
         if text:
-            out.append(("/".join(s for _, s, _ in steps), noisy(steps), any(t in MAIN for t, _, _ in steps), text, linked))
+            out.append((noisy(steps), any(t in MAIN for t, _, _ in steps), text, linked))
         held.clear()
         linked = 0
 
@@ -96,6 +102,7 @@ def blocks_of(html: str) -> list[tuple[str, bool, bool, str, int]]:
         for tag in reversed(opened[upto:]):
             if tag in CONTAINERS:
                 steps.pop()
+                out.append(())
         del opened[upto:]
 
     def add(raw: str) -> None:
@@ -145,50 +152,126 @@ def blocks_of(html: str) -> list[tuple[str, bool, bool, str, int]]:
         if tag in CONTAINERS:
             step, words = step_of(tag, m.group(3) or m.group(6) or "")
             steps.append((tag, step, words))
+            out.append(("/".join(s for _, s, _ in steps),))
     add(html[at:])
     flush()
     return out
 
 
 def tokens(pages: DataFrame) -> DataFrame:
-    """(page, host, path, beside, inside, count, chars, linked, text) per page and path."""
+    """(page, host, path, count) per page and path of its containers; the page itself has the empty path."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks_of(batch, "html", SLICE):
                 rows = []
                 for page, host, html in zip(*(part.column(c).to_pylist() for c in ("page", "host", "html"))):
-                    slots: dict[str, list] = defaultdict(lambda: [False, False, 0, 0, 0, 0])
-                    for path, beside, inside, text, linked in blocks_of(html or ""):
-                        s = slots[path]
-                        s[0], s[1] = beside, inside
-                        s[2] += 1
-                        s[3] += len(text)
-                        s[4] += linked
-                        s[5] = crc32(text.encode("utf-8", "replace"), s[5])
-                    # Containers of a path are tokens as well, whether they hold text of their own or not.
-                    rows += [(page, host, path, *s) for path, s in slots.items()]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["page", "host", "path", "beside", "inside", "count", "chars", "linked", "text"])
+                    count = Counter(e[0] for e in events_of(html or "") if len(e) == 1)
+                    rows += [(page, host, path, n) for path, n in count.items()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.string(), pa.int64()))], ["page", "host", "path", "count"])
+
+    return pages.mapInArrow(of, "page long, host string, path string, count long")
+
+
+def classes(pages: DataFrame) -> DataFrame:
+    """(host, tokens): tokens are (path, class) of the host's classes with enough support, their order not looked at."""
+    by_path = settled(tokens(pages).groupBy("host", "path").agg(F.count("*").alias("pages"), F.bit_xor(F.xxhash64("page", "count")).alias("vector")), "paths")
+    # The page itself is a token of every page.
+    hosts = by_path.where("path = ''").select("host", F.col("pages").alias("all"))
+    held = by_path.join(hosts, "host").where(F.col("pages") >= F.col("all") * SUPPORT)
+    own = held.groupBy("host", "vector").agg(F.min("path").alias("class"), F.collect_list("path").alias("paths"))
+    each = own.select("host", "class", F.explode("paths").alias("path"))
+    return each.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("path", "class"))).alias("tokens"))
+
+
+def per_page(part: pa.RecordBatch, name: str, held: dict) -> Iterator[tuple[str, str, dict]]:
+    """(host, html, template) of the pages; a host's template is read from the column once."""
+    column = part.column(name)
+    for i, (host, html) in enumerate(zip(part.column("host").to_pylist(), part.column("html").to_pylist())):
+        if host not in held:
+            if len(held) > MOST_HELD:
+                held.clear()
+            held[host] = {tuple(v for k, v in t.items() if k in ("path", "behind")): [v for k, v in t.items() if k not in ("path", "behind")] for t in column[i].as_py() or ()}
+        yield host, html or "", held[host]
 
-    return pages.mapInArrow(of, "page long, host string, path string, beside boolean, inside boolean, count long, chars long, linked long, text long")
+
+def ordered(pages: DataFrame, found: DataFrame) -> DataFrame:
+    """(host, tokens): the classes, those tokens a class of their own whose place among the others of their class is not the same on every page."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for batch in batches:
+            for part in chunks_of(batch, "html", SLICE):
+                places: dict[tuple[str, str, str], tuple[int, int]] = {}
+                for host, html, template in per_page(part, "tokens", held):
+                    seen: Counter = Counter()
+                    for path in dict.fromkeys(e[0] for e in events_of(html) if len(e) == 1):
+                        if (path,) in template:
+                            own = template[path,][0]
+                            low, high = places.get((host, path, own), (seen[own], seen[own]))
+                            places[host, path, own] = min(low, seen[own]), max(high, seen[own])
+                            seen[own] += 1
+                if places:
+                    yield pa.RecordBatch.from_arrays(
+                        [*[pa.array(c, pa.string()) for c in zip(*places)], *[pa.array(c, pa.int64()) for c in zip(*places.values())]], ["host", "path", "class", "low", "high"])
+
+    placed = pages.join(found, "host").select("host", "html", "tokens").mapInArrow(of, "host string, path string, class string, low long, high long")
+    each = placed.groupBy("host", "path", "class").agg((F.min("low") == F.max("high")).alias("stays"))
+    own = F.when(F.col("stays"), F.concat(F.lit("="), "class")).otherwise(F.concat(F.lit("~"), "path")).alias("class")
+    return each.select("host", "path", own).groupBy("host").agg(F.array_sort(F.collect_list(F.struct("path", "class"))).alias("tokens"))
+
+
+def slots_of(html: str, template: dict) -> Iterator[tuple[tuple[str, str], bool, bool, str, int]]:
+    """((path, token behind which it lies), beside, inside, text, characters in links) of the text blocks, in page order."""
+    around: list[list[str]] = []  # path and last inner token of the template's tokens that are open
+    opened: list[bool] = []  # whether an open container is in the template
+    for e in events_of(html):
+        if len(e) == 1:
+            own = template.get(e)
+            opened.append(own is not None)
+            if own is not None:
+                if around and template[around[-1][0],] == own:
+                    around[-1][1] = e[0]
+                around.append([e[0], ""])
+        elif e:
+            yield (*around[-1],) if around else ("", ""), *e
+        elif opened.pop():
+            around.pop()
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, slots): slots are (path, class number, content) of the host's valid classes, outer paths first."""
-    seen = tokens(pages)
-    by_path = settled(seen.groupBy("host", "path").agg(
-        F.count("*").alias("pages"), F.bit_xor(F.xxhash64("page", "count")).alias("vector"), F.first("beside").alias("beside"), F.first("inside").alias("inside"),
-        F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), (F.min("text") != F.max("text")).alias("varies")), "paths")
-    hosts = settled(pages.groupBy("host").agg(F.count("*").alias("all")), "hosts")
-    valid = by_path.join(hosts, "host").where(F.col("pages") >= F.col("all") * SUPPORT)
+    """(host, tokens, slots): tokens are (path, class) of the valid classes, slots (path, behind, content) of what they leave open."""
+    found = settled(ordered(pages, settled(classes(pages), "classes")), "tokens")
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for batch in batches:
+            for part in chunks_of(batch, "html", SLICE):
+                rows = []
+                for host, html, template in per_page(part, "tokens", held):
+                    slots: dict[tuple[str, str], list] = defaultdict(lambda: [True, False, 0, 0, 0])
+                    for key, beside, inside, text, linked in slots_of(html, template):
+                        s = slots[key]
+                        s[0], s[1] = s[0] and beside, s[1] or inside
+                        s[2] += len(text)
+                        s[3] += linked
+                        s[4] = crc32(text.encode("utf-8", "replace"), s[4])
+                    rows += [(host, *key, *s) for key, s in slots.items()]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["host", "path", "behind", "beside", "inside", "chars", "linked", "text"])
+
+    seen = pages.join(found, "host").select("host", "html", "tokens").mapInArrow(
+        of, "host string, path string, behind string, beside boolean, inside boolean, chars long, linked long, text long")
+    by_slot = settled(seen.groupBy("host", "path", "behind").agg(
+        F.count("*").alias("pages"), F.min("beside").alias("beside"), F.max("inside").alias("inside"),
+        F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), (F.min("text") != F.max("text")).alias("varies")), "slots")
     # What holds for a host as a whole: does any slot beside menus change, is any inside an article.
     text = ~F.col("beside") & (F.col("linked") < F.col("chars") * LINKS)
-    whole = settled(valid.groupBy("host").agg(F.max(text & F.col("varies")).alias("changes"), F.max(text & F.col("inside")).alias("article")), "whole")
+    whole = by_slot.groupBy("host").agg(F.max(text & F.col("varies")).alias("changes"), F.max(text & F.col("inside")).alias("article"))
     fixed = F.col("changes") & ~F.col("varies") & (F.col("pages") >= LEAST_PAGES)
     content = text & ~(fixed & ~F.col("inside")) & (F.col("inside") | ~F.col("article"))
-    slots = valid.join(whole, "host").select("host", "path", F.col("vector").alias("class"), content.alias("content"))
-    return slots.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("path", "class", "content"))).alias("slots"))
+    slots = by_slot.join(whole, "host").select("host", "path", "behind", content.alias("content"))
+    return found.join(slots.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("path", "behind", "content"))).alias("slots")), "host", "left")
 
 
 def extracted(pages: DataFrame) -> DataFrame:
@@ -206,20 +289,15 @@ def extracted(pages: DataFrame) -> DataFrame:
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        decided: dict = {}
         for batch in batches:
             for part in chunks_of(batch, "html", SLICE):
                 texts = []
-                for html, slots in zip(part.column("html").to_pylist(), part.column("slots").to_pylist()):
-                    decided = {s["path"]: s["content"] for s in slots or ()}
-                    kept = []
-                    for path, beside, _, text, _ in blocks_of(html or ""):
-                        around = path
-                        while around and around not in decided:
-                            around = around.rpartition("/")[0]
-                        if decided.get(around, True) and not (beside and around != path):
-                            kept.append(text)
+                for (_, html, template), (_, _, slots) in zip(per_page(part, "tokens", held), per_page(part, "slots", decided)):
+                    kept = [text for key, beside, _, text, _ in slots_of(html, template) if slots.get(key, [True])[0] and not beside]
                     texts.append("\n".join(kept))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return own.join(found, "host", "left").select("page_id", "url", "html", "slots").mapInArrow(of, f"page_id {kind}, url string, text string, n_chars long")
+    return own.join(found, "host", "left").select("page_id", "url", "host", "html", "tokens", "slots").mapInArrow(of, f"page_id {kind}, url string, text string, n_chars long")

@@ -245,3 +245,17 @@ def test_pages_keep_the_whole_article(spark):
         article = re.search(r"<article>(.*?)</article>", raw[r["page_id"]], re.S).group(1).replace("<br>", " ")
         blocks = [" ".join(h.unescape(re.sub(r"<[^>]+>", "", x)).split()) for x in re.split(r"</?(?:p|h1)>", article)]
         assert r["text"] == "\n".join(b for b in blocks if b) and r["n_chars"] == len(r["text"])
+
+
+def test_slots_lie_between_the_tokens_of_a_class(spark):
+    page = "<body>Our site<div class='b'><p>Text %d</p></div>Story %d<div class='c'></div>All rights</body>"
+    assert main_of(spark, [page % (i, i) for i in range(5)]) == [f"Text {i}\nStory {i}" for i in range(5)]
+
+
+def test_classes_hold_tokens_of_one_vector_in_one_order(spark):
+    part = "<div class='%s'><p>x</p></div>"
+    rows = [(i, "h", "<body>" + part % "a" + (part % "m" + part % "n" if i % 2 else part % "n" + part % "m") + (part % "o" if i > 2 else "") + part % f"only{chr(97 + i)}" + "</body>") for i in range(20)]
+    df = spark.createDataFrame(rows, "page long, host string, html string")
+    own = {t["path"]: t["class"] for t in pages.templates(df).first()["tokens"]}
+    assert set(own) == {"", "body", *(f"body/div.{k}" for k in "amno")}
+    assert own[""] == own["body"] == own["body/div.a"] and len(set(own.values())) == 4
