@@ -8,8 +8,9 @@ whose place among the others changes is a class of its own. Valid classes nest b
 their paths into the host's template. A slot is what lies directly in a token,
 behind one of the inner tokens of the same class or ahead of them all: it is
 content or not by its place, by how much of it is links and by whether its text
-ever changes. A page's text is that of its content slots; markup that the
-template lacks goes with the slot around it.
+ever changes. A page's text is that of its content slots, or what they hold inside
+article or main where that is most of the page's text; markup that the template
+lacks goes with the slot around it.
 
 Occurrence vectors are never gathered: their xor of (page, count) hashes tells
 them apart and is summed ahead of the shuffle. A template holds paths of a
@@ -55,6 +56,8 @@ NOISE_WORDS = frozenset(
     "sharing social comment comments commentlist respond reply replies disqus search toolbar skip masthead topbar complementary contentinfo".split())
 PAGE_WORDS = frozenset("header".split())
 MAIN = frozenset("article main".split())
+CODE = frozenset("script style".split())
+BODY = re.compile(r"<body[\s>]", re.I)
 
 TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
@@ -70,16 +73,24 @@ def step_of(tag: str, attributes: str) -> tuple[str, frozenset[str]]:
     return tag + "".join("." + w for w in words), frozenset(words)
 
 
-def noisy(steps: list[tuple[str, str, frozenset[str]]]) -> bool:
-    """Whether a path of (tag, step, words) leads to something beside the article."""
-    inside = False
-    for tag, _, words in steps:
-        if tag in NOISE_TAGS or words & NOISE_WORDS and tag not in ("html", "body"):
-            return True
-        if not inside and (tag == "header" or words & PAGE_WORDS and tag not in ("html", "body")):
-            return True
-        inside = inside or tag in MAIN
-    return False
+def noises(steps: list[tuple[str, str, frozenset[str]]]) -> tuple[bool, list[int]]:
+    """Whether a path of (tag, step, words) leads to something beside the article by its tags, and the depths of the steps that say so by their words.
+
+    Words on article or main, or on what is around them, say nothing, and nor
+    does a form or header around them; an article in another is a comment or the like.
+    """
+    tags = [tag for tag, _, _ in steps]
+    first = tags.index("article") if "article" in tags else -1
+    last = len(tags) - 1 - tags[::-1].index("main") if "main" in tags else -1
+    main, beside, named = max(first, last), False, []
+    for k, (tag, _, words) in enumerate(steps):
+        if tag in NOISE_TAGS and tag != "form":
+            beside = True
+        elif tag in ("html", "body") or k <= main:
+            continue
+        elif tag == "form" or words & NOISE_WORDS or main < 0 and (tag == "header" or words & PAGE_WORDS):
+            named.append(k)
+    return beside, named
 
 
 def events_of(html: str) -> list[tuple]:
@@ -87,6 +98,9 @@ def events_of(html: str) -> list[tuple]:
     steps: list[tuple[str, str, frozenset[str]]] = []
     opened: list[str] = []
     out: list[tuple] = [("",)]
+    numbers: list[int] = []  # of the open containers; 0 is the page
+    held_by: Counter = Counter()  # characters outside links and menus by container
+    endless: set[str] = set()
     held: list[str] = []
     linked = 0
 
@@ -94,7 +108,13 @@ def events_of(html: str) -> list[tuple]:
         nonlocal linked
         text = " ".join("".join(held).split())
         if text:
-            out.append((noisy(steps), any(t in MAIN for t, _, _ in steps), text, linked))
+            beside, named = noises(steps)
+            inside = any(t in MAIN for t, _, _ in steps)
+            if not beside:
+                chars = len(text) - min(linked, len(text))
+                for n in {0, *numbers}:
+                    held_by[n] += chars
+            out.append((beside, inside, text, linked, [numbers[k] for k in named]))
         held.clear()
         linked = 0
 
@@ -102,6 +122,7 @@ def events_of(html: str) -> list[tuple]:
         for tag in reversed(opened[upto:]):
             if tag in CONTAINERS:
                 steps.pop()
+                numbers.pop()
                 out.append(())
         del opened[upto:]
 
@@ -129,9 +150,18 @@ def events_of(html: str) -> list[tuple]:
                 flush()
             continue
         if tag in RAW:
-            if not (m.group(3) or m.group(6) or "").endswith("/"):
+            if not (m.group(3) or m.group(6) or "").endswith("/") and tag not in endless:
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-                at = end.end() if end else len(html)
+                body = BODY.search(html, at) if tag in ("head", "title") else None
+                if end and not (body and body.start() < end.start()):
+                    at = end.end()
+                elif body:
+                    at = body.start()
+                elif tag in CODE:
+                    at = len(html)
+                else:
+                    # Never closed: what follows is read as if the tag were not there.
+                    endless.add(tag)
             continue
         if tag in VOID:
             held.append(" ")
@@ -152,10 +182,13 @@ def events_of(html: str) -> list[tuple]:
         if tag in CONTAINERS:
             step, words = step_of(tag, m.group(3) or m.group(6) or "")
             steps.append((tag, step, words))
+            numbers.append(len(out))
             out.append(("/".join(s for _, s, _ in steps),))
     add(html[at:])
     flush()
-    return out
+    # What holds most of the page's text is not beside it, whatever its name.
+    most = {n for n, chars in held_by.items() if 2 * chars > held_by[0]}
+    return [(e[0] or not most.issuperset(e[4]), *e[1:4]) if len(e) > 1 else e for e in out]
 
 
 def tokens(pages: DataFrame) -> DataFrame:
@@ -265,11 +298,11 @@ def templates(pages: DataFrame) -> DataFrame:
     by_slot = settled(seen.groupBy("host", "path", "behind").agg(
         F.count("*").alias("pages"), F.min("beside").alias("beside"), F.max("inside").alias("inside"),
         F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), (F.min("text") != F.max("text")).alias("varies")), "slots")
-    # What holds for a host as a whole: does any slot beside menus change, is any inside an article.
-    text = ~F.col("beside") & (F.col("linked") < F.col("chars") * LINKS)
-    whole = by_slot.groupBy("host").agg(F.max(text & F.col("varies")).alias("changes"), F.max(text & F.col("inside")).alias("article"))
+    # What holds for a host as a whole: does any slot beside menus change.
+    text = ~F.col("beside") & (F.col("inside") | (F.col("linked") < F.col("chars") * LINKS))
+    whole = by_slot.groupBy("host").agg(F.max(text & F.col("varies")).alias("changes"))
     fixed = F.col("changes") & ~F.col("varies") & (F.col("pages") >= LEAST_PAGES)
-    content = text & ~(fixed & ~F.col("inside")) & (F.col("inside") | ~F.col("article"))
+    content = text & (F.col("inside") | ~fixed)
     slots = by_slot.join(whole, "host").select("host", "path", "behind", content.alias("content"))
     return found.join(slots.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("path", "behind", "content"))).alias("slots")), "host", "left")
 
@@ -295,8 +328,11 @@ def extracted(pages: DataFrame) -> DataFrame:
             for part in chunks_of(batch, "html", SLICE):
                 texts = []
                 for (_, html, template), (_, _, slots) in zip(per_page(part, "tokens", held), per_page(part, "slots", decided)):
-                    kept = [text for key, beside, _, text, _ in slots_of(html, template) if slots.get(key, [True])[0] and not beside]
-                    texts.append("\n".join(kept))
+                    kept = [(inside, text) for key, beside, inside, text, _ in slots_of(html, template) if not beside and (inside or slots.get(key, [True])[0])]
+                    # An article or main with most of the page's text is the text; a smaller one is a part of it.
+                    own = sum(len(text) if inside else -len(text) for inside, text in kept) >= 0
+                    article = own and any(inside for inside, _ in kept)
+                    texts.append("\n".join(text for inside, text in kept if inside or not article))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 

@@ -259,3 +259,22 @@ def test_classes_hold_tokens_of_one_vector_in_one_order(spark):
     own = {t["path"]: t["class"] for t in pages.templates(df).first()["tokens"]}
     assert set(own) == {"", "body", *(f"body/div.{k}" for k in "amno")}
     assert own[""] == own["body"] == own["body/div.a"] and len(set(own.values())) == 4
+
+
+def test_pages_without_article_on_a_host_with_articles(spark):
+    rows = [f"<body><article><p>Own text {i}</p></article><div class='more'>Less {i}</div></body>" if i % 3 == 0 else f"<body><div class='content'><p>Other text {i}</p></div></body>" for i in range(9)]
+    assert main_of(spark, rows) == [f"Own text {i}" if i % 3 == 0 else f"Other text {i}" for i in range(9)]
+
+
+@pytest.mark.parametrize("page, want", [
+    ("<div class='has-sidebar'><article class='post comments-open'><p>Own text</p></article></div>", "Own text"),
+    ("<div class='has-sidebar widget'><div class='content'><p>Own text of the page</p></div></div><div class='sidebar'>Side</div>", "Own text of the page"),
+    ("<form id='whole'><div class='content'><p>Own text of the page</p></div></form>", "Own text of the page"),
+    ("<article><p>Own text</p><div class='comments'><article class='comment'><p>Said</p></article></div></article>", "Own text"),
+    ("<html><head><title>T</title><meta name='a'><body><p>Own text</p></body></html>", "Own text"),
+    ("<html><head><title>T</title><meta name='a'><p>Own text</p></html>", "Own text"),
+    ("<p>Own text</p><button>x<p>More text</p>", "Own text\nx\nMore text"),
+    ("<article><ul><li><a href='/a'>All of it links</a></li></ul></article>", "All of it links"),
+])
+def test_names_and_open_ends_drop_no_article(spark, page, want):
+    assert main_of(spark, page) == [want]
