@@ -7,10 +7,10 @@ training lacks has the share of one unseen count. So every text has a proper
 probability.
 
 Counts cover all training texts. The recurrent weights are learnt in numpy by
-truncated backpropagation on a bounded, documented sample, in rounds: each shard
-of the sample trains from the same weights in its own task, then the weights are
-averaged. Scoring reads every text whole; the state goes on from window to
-window and starts anew with each document.
+truncated backpropagation on all training texts as well, in rounds that share the
+rows out: each partition trains from the same weights in its own task, then the
+weights are averaged by the tokens that they have seen. Scoring reads every text
+whole; the state goes on from window to window and starts anew with each document.
 """
 
 from __future__ import annotations
@@ -25,10 +25,11 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import chunks_of, first_by_hash, table_of, texts_of, words
+from larder.llm.common import chunks_of, table_of, texts_of, words
 from larder.session import settled
 
 #: Classes and words of a class. Symbol 0 is the end; the most frequent words follow.
@@ -38,10 +39,14 @@ OTHER = SYMBOLS
 #: Words, at most, whose counts travel with the code, the most frequent ones; the counts of others are joined.
 HEAD = 1 << 16
 EMBEDDED, STATE = 16, 16
-#: The sample: documents in the order of their ids' hash, shards, rounds, and windows that a shard reads in a round.
-SAMPLE, SHARDS, ROUNDS, WINDOWS = 1500, 6, 2, 250
-#: Lanes and steps of a training window; steps of a scoring window, tokens and lanes that are scored together.
-LANES, STEPS = 32, 32
+#: Rounds, each over its share of all rows; rows of fewer tokens than this are read again and again, for so many windows at most.
+ROUNDS, LEAST_TOKENS, WINDOWS = 2, 3_000_000, 250
+#: Least and most lanes, and steps of a training window; tokens that are dealt to lanes together, and of a piece of a text, whose state starts anew.
+LANES, WIDEST, STEPS = 32, 256, 32
+DEALT, PIECE = 1_000_000, 2048
+#: Weights of partitions that are summed in one task.
+FAN = 64
+#: Steps of a scoring window, tokens and lanes that are scored together.
 LONG_STEPS, TOGETHER, MOST_LANES = 64, 4_000_000, 512
 RATE = 4e-3
 SLICE = 4 << 20
@@ -221,7 +226,9 @@ class Network:
         flat = d_gates.reshape(-1, 3 * STATE)
         grads["input"] += x.reshape(-1, EMBEDDED).T @ flat
         grads["offset"] += flat.sum(axis=0)
-        np.add.at(grads["embed"], inputs.ravel(), flat @ self.w["input"].T)
+        order = np.argsort(inputs.ravel(), kind="stable")
+        used, first = np.unique(inputs.ravel()[order], return_index=True)
+        grads["embed"][used] += np.add.reduceat((flat @ self.w["input"].T)[order], first, axis=0)
         n = max(int(valid.sum()), 1)
         return {k: v / n for k, v in grads.items()}, last
 
@@ -250,27 +257,41 @@ def lanes(texts: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray,
     return inputs.T, targets.T, keep.T, text.T
 
 
-def trained(net: Network, texts: list[np.ndarray], windows: int = WINDOWS) -> Network:
-    """Adam over windows of LANES lanes and STEPS steps, the state carried on, from the start again at the end."""
-    if not texts:
-        return net
-    inputs, targets, keep, _ = lanes(texts, LANES)
-    moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.w.items()}
-    h, at = np.zeros((LANES, STATE), np.float32), 0
-    for step in range(1, windows + 1):
-        if at >= len(inputs):
-            h, at = np.zeros_like(h), 0
-        part = slice(at, at + STEPS)
-        grads, h = net.window(inputs[part], targets[part], keep[part], h)
+class Trainer:
+    """Adam over windows of STEPS steps that run to the end of every lane, the state carried on."""
+
+    def __init__(self, net: Network):
+        self.net = Network({k: v.copy() for k, v in net.w.items()})
+        self.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.w.items()}
+        self.steps, self.tokens = 0, 0
+
+    def read(self, texts: list[np.ndarray], times: int = 1) -> None:
+        """All tokens of the texts, their ends included, up to so many times; long texts in pieces that follow one another in no set order."""
+        pieces = [t[at:at + PIECE] for t in texts for at in range(0, max(len(t), 1), PIECE)]
+        ends = [at + PIECE >= len(t) for t in texts for at in range(0, max(len(t), 1), PIECE)]
+        if not pieces:
+            return
+        total = sum(map(len, pieces)) + len(pieces)
+        inputs, targets, keep, text = lanes(pieces, min(WIDEST, max(LANES, total // PIECE)))
+        # Only the last piece of a text is followed by its end.
+        targets[(targets == 0) & ~np.array(ends)[text]] = -1
+        for _ in range(max(1, min(times, WINDOWS * STEPS // len(inputs)))):
+            h = np.zeros((inputs.shape[1], STATE), np.float32)
+            for at in range(0, len(inputs), STEPS):
+                part = slice(at, at + STEPS)
+                grads, h = self.net.window(inputs[part], targets[part], keep[part], h)
+                self.step(grads)
+            self.tokens += int((targets >= 0).sum())
+
+    def step(self, grads: dict[str, np.ndarray]) -> None:
+        self.steps += 1
         norm = math.sqrt(sum(float((g * g).sum()) for g in grads.values()))
         for k, g in grads.items():
-            m, s = moments[k]
+            m, s = self.moments[k]
             g = g * min(1.0, 1.0 / max(norm, 1e-9))
             m += 0.1 * (g - m)
             s += 0.001 * (g * g - s)
-            net.w[k] = net.w[k] - RATE * (m / (1 - 0.9 ** step)) / (np.sqrt(s / (1 - 0.999 ** step)) + 1e-8)
-        at += STEPS
-    return net
+            self.net.w[k] = self.net.w[k] - RATE * (m / (1 - 0.9 ** self.steps)) / (np.sqrt(s / (1 - 0.999 ** self.steps)) + 1e-8)
 
 
 def symbols(index: dict[bytes, int], own: list[bytes]) -> np.ndarray:
@@ -282,33 +303,53 @@ def as_symbols(place: np.ndarray) -> np.ndarray:
     return np.where((place >= 0) & (place < SYMBOLS - 1), place + 1, OTHER).astype(np.int32)
 
 
-def fit(docs: DataFrame, counts: Counts, sample: int = SAMPLE, rounds: int = ROUNDS) -> Network:
-    """The network after ``rounds`` of training on SHARDS shards of the sample, averaged after each."""
+def fit(docs: DataFrame, counts: Counts, rounds: int = ROUNDS) -> Network:
+    """The network after ``rounds`` of training that together read every row, averaged after each."""
     net = Network.initial(counts)
     index = {w: i for i, w in enumerate(counts.head[:SYMBOLS - 1])}
-    chosen = first_by_hash(docs.select("doc_id").where("doc_id is not null").distinct(), "doc_id", sample)
-    # At most ``sample`` ids.
-    rows = settled(table_of(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select(
-        F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SHARDS)).cast("int").alias("shard"), "doc_id", "text"), "sample")
-
-    for _ in range(rounds):
-        done = rows.groupBy("shard").applyInPandas(_round(net, index), "shard int, weights binary").collect()
-        got = sorted((r["shard"], bytes(r["weights"])) for r in done)
-        if got:
-            net = net.unpacked(np.mean([np.frombuffer(w, np.float32) for _, w in got], axis=0, dtype=np.float64).astype(np.float32))
+    times = max(1, -(-LEAST_TOKENS // max(counts.tokens, 1)))
+    own = table_of(docs, "text")
+    if not counts.tokens:
+        return net
+    for k in range(rounds):
+        # Equal texts that are many are shared out as well.
+        mine = own.select(F.monotonically_increasing_id().alias("row"), "text").where(F.pmod(F.xxhash64("row"), F.lit(rounds)) == k).select("text")
+        done = mine.mapInArrow(_round(net, index, times), "part int, tokens long, weights binary")
+        for groups in (FAN, 1):
+            done = done.groupBy(F.pmod("part", F.lit(groups)).alias("group")).applyInPandas(_summed, "part int, tokens long, weights binary")
+        got = done.first()
+        if got and got["tokens"]:
+            net = net.unpacked((np.frombuffer(got["weights"], np.float64) / got["tokens"]).astype(np.float32))
     return net
 
 
-def _round(net: Network, index: dict[bytes, int]):
-    def of(pdf: pd.DataFrame) -> pd.DataFrame:
-        ordered = pdf.sort_values(["doc_id", "text"], kind="stable")["text"]
-        texts = [as_symbols(symbols(index, words((t or "").encode()))) for t in ordered]
-        out = trained(Network({k: v.copy() for k, v in net.w.items()}), texts)
-        return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "weights": [out.packed()]})
+def _round(net: Network, index: dict[bytes, int], times: int):
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trainer, held, tokens = Trainer(net), [], 0
+        for batch in batches:
+            for part in chunks_of(batch, "text", SLICE):
+                texts = [as_symbols(symbols(index, words(t))) for t in texts_of(part, "text")]
+                held += texts
+                tokens += sum(map(len, texts)) + len(texts)
+                if tokens > DEALT:
+                    trainer.read(held, times)
+                    held, tokens = [], 0
+        trainer.read(held, times)
+        if trainer.tokens:
+            weights = np.frombuffer(trainer.net.packed(), np.float32).astype(np.float64) * trainer.tokens
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([trainer.tokens], pa.int64()), pa.array([weights.tobytes()], pa.binary())], ["part", "tokens", "weights"])
 
     return of
 
 
+def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The sum of the weights of a group, each times its tokens."""
+    ordered = pdf.sort_values("part", kind="stable")
+    total = sum(np.frombuffer(w, np.float64) for w in ordered["weights"])
+    return pd.DataFrame({"part": [int(ordered["part"].iloc[0])], "tokens": [int(ordered["tokens"].sum())], "weights": [total.tobytes()]})
+
+
 def log_likelihoods(net: Network, texts: list[np.ndarray]) -> np.ndarray:
     """Natural logarithm of each text's probability, its end included; other words as their class."""
     out = np.zeros(len(texts))
@@ -372,7 +413,7 @@ def first_pass(docs: DataFrame, counts: Counts, net: Network) -> DataFrame:
         f"row long, doc_id {kind}, n_tokens long, n_head long, n_other long, base double, other double, model double, rest array<struct<word: binary, n: long>>"))
 
 
-def scored(docs: DataFrame, learn: Column, sample: int = SAMPLE, rounds: int = ROUNDS) -> DataFrame:
+def scored(docs: DataFrame, learn: Column, rounds: int = ROUNDS) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (both log10).
 
     ``learn`` is a condition on doc_id of the rows that counts and weights come
@@ -384,7 +425,7 @@ def scored(docs: DataFrame, learn: Column, sample: int = SAMPLE, rounds: int = R
     train = docs.where(known)
     counts = settled(word_counts(train), "counts")
     totals = gathered(counts)
-    net = fit(train, totals, sample, rounds)
+    net = fit(train, totals, rounds)
     first = settled(first_pass(docs, totals, net), "scored")
     rest = first.select("row", F.explode("rest").alias("r")).select("row", F.col("r.word").alias("word"), F.col("r.n").alias("times"))
     joined = rest.join(counts, "word").groupBy("row").agg(

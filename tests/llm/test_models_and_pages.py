@@ -278,3 +278,18 @@ def test_pages_without_article_on_a_host_with_articles(spark):
 ])
 def test_names_and_open_ends_drop_no_article(spark, page, want):
     assert main_of(spark, page) == [want]
+
+
+def test_training_reads_every_token(spark, monkeypatch):
+    monkeypatch.setattr(lm, "LEAST_TOKENS", 0)
+    texts = [f"a{i} b{i % 7} c" for i in range(1600)] + ["long word " * 9000, "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    counts = lm.gathered(lm.word_counts(df))
+    assert counts.tokens == sum(len((t or "").split()) + 1 for t in texts)
+    index = {w: i for i, w in enumerate(counts.head[:lm.SYMBOLS - 1])}
+    rows = df.select("text").mapInArrow(lm._round(lm.Network.initial(counts), index, 1), "part int, tokens long, weights binary").collect()
+    assert sum(r["tokens"] for r in rows) == counts.tokens
+    summed = lm._summed(__import__("pandas").DataFrame([r.asDict() for r in rows]))
+    assert np.frombuffer(summed["weights"][0]) == pytest.approx(sum(np.frombuffer(r["weights"]) for r in rows))
+    before = lm.Network.initial(counts).packed()
+    assert lm.fit(df, counts).packed() not in (before, lm.fit(df.where("doc_id < 1500"), counts).packed())
