@@ -315,11 +315,11 @@ def fit(docs: DataFrame, counts: Counts, rounds: int = ROUNDS) -> Network:
         # Equal texts that are many are shared out as well.
         mine = own.select(F.monotonically_increasing_id().alias("row"), "text").where(F.pmod(F.xxhash64("row"), F.lit(rounds)) == k).select("text")
         done = mine.mapInArrow(_round(net, index, times), "part int, tokens long, weights binary")
-        for groups in (FAN, 1):
+        for groups in (FAN, FAN // 8):
             done = done.groupBy(F.pmod("part", F.lit(groups)).alias("group")).applyInPandas(_summed, "part int, tokens long, weights binary")
-        got = done.first()
-        if got and got["tokens"]:
-            net = net.unpacked((np.frombuffer(got["weights"], np.float64) / got["tokens"]).astype(np.float32))
+        got = sorted(done.collect(), key=lambda r: r["part"])
+        if got:
+            net = net.unpacked((sum(np.frombuffer(r["weights"], np.float64) for r in got) / sum(r["tokens"] for r in got)).astype(np.float32))
     return net
 
 
