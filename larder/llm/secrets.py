@@ -35,13 +35,16 @@ BASE_RULES = (
 )
 #: Kinds that the base rules lack.
 MORE_RULES = (
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*(-----END [A-Z ]*PRIVATE KEY-----)?"),
+    # Up to its own end line; without one only over the header and base64 lines that follow.
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?>(?s:.*?)-----(?=(?:BEGIN|END) ))END [A-Z ]*PRIVATE KEY-----"
+                r"|(?:(?:\s|\\[nr])*+(?:[A-Z][A-Za-z]*+(?:-[A-Za-z]++)++:[^\n\\]*+|[A-Za-z0-9+/=]{16,}+(?![^\s\\])"
+                r"|(?<=\n)(?=[A-Za-z+/]*+[0-9=])[A-Za-z0-9+/]++={0,2}+(?=[ \t\r]*+(?:\n|\z))))*+)"),
     Rule("signed", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("login", r"[a-z][a-z0-9+]{1,9}://[^\s/:@]{1,64}:[^\s/:@]{4,64}@"),
+    Rule("login", r"[a-z][a-z0-9+]{1,9}://[^\s/:@]*:[^\s/:@]{4,}@"),
 )
 RULES = BASE_RULES + MORE_RULES
 #: To be raised with every change of the rules; the ledger then scans all blobs anew.
-RULES_VERSION = "1"
+RULES_VERSION = "3"
 SPAN = "struct<start:int,rank:int,kind:string,stop:int>"
 
 
