@@ -34,7 +34,7 @@ BLOCK = 8
 SHINGLE, LEAST_OVERLAP = 5, 0.8
 #: Bytes of item text that one index holds; a larger benchmark is searched index by index.
 INDEX_BYTES = 8 << 20
-#: Items longer than this are indexed as parts of this many words.
+#: Items longer than this are searched by near-equal parts of at most this many words, and confirmed as a whole.
 LONGEST = 512
 SLICE = 4 << 20
 
@@ -57,13 +57,17 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]]):
         self.items = []
+        self.around: list[tuple[int, int]] = []  # by part: words of the item ahead of it and behind it
         for item_id, text in sorted(items):
             question, answer = question_and_answer(text)
             own = question + answer
-            for at in range(0, len(own), LONGEST):
-                part = own[at:at + LONGEST]
-                split = min(max(len(question) - at, 0), len(part))
-                self.items.append((item_id, part, shingles(part[:split]), shingles(part[split:])))
+            asked, answered = shingles(question), shingles(answer)
+            parts = -(-len(own) // LONGEST)
+            for k in range(parts):
+                at, end = k * len(own) // parts, (k + 1) * len(own) // parts
+                self.items.append((item_id, own[at:end], asked, answered))
+                # As much again as a part, for words that a copy has more.
+                self.around.append((at + LONGEST, len(own) - end + LONGEST) if parts > 1 else (0, 0))
         n = len(self.items)
         self.longest = max((len(p) for _, p, _, _ in self.items), default=0)
         mean = sum(len(p) for _, p, _, _ in self.items) / max(n, 1)
@@ -142,7 +146,8 @@ class Index:
             if score < THRESHOLD - 1e-9:
                 continue
             item_id, _, question, answer = self.items[i]
-            text = b" " + b" ".join(passage) + b" "
+            before, after = self.around[i]
+            text = b" " + b" ".join(texts[r][max(0, first - before):first + 2 * stride + after]) + b" "
             held = [sum((b" " + s + b" ") in text for s in part) for part in (question, answer)]
             q, a = [h / len(part) if part else 1.0 for h, part in zip(held, (question, answer))]
             if min(q, a) >= LEAST_OVERLAP or sum(held) >= LEAST_OVERLAP * max(1, len(question) + len(answer)):

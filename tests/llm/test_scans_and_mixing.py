@@ -307,3 +307,30 @@ def test_pipeline_by_brute_force(spark):
                 want += left[r["doc_id"]][at:s] + "[secret]"
             at = end = max(end, e)
         assert r["text"] == want + left[r["doc_id"]][at:]
+
+
+def test_secrets_are_matched_whole_and_prose_is_not(spark):
+    key = "\n".join("MIIEpAIBAAKCAQEA%044d" % i for i in range(20)) + "\nab12=="
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    prose = "\nplain prose, well-known and long"
+    cases = [
+        (f"{begin}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123\n\n{key}\n{end}", prose),
+        (f"{begin}\n{key}", prose),
+        (f"{begin}\nProc-Type: 4,ENCRYPTED\n\n{key}", prose + f"\n{begin.replace('PRIVATE', 'PUBLIC')}"),
+        ("https://bob:github_pat_" + "a" * 82 + "@", "host"),
+        ("redis://:pass@", "host"),
+    ]
+    df = spark.createDataFrame([("x " + a + b,) for a, b in cases], "text string")
+    found = secrets.new_findings(df, None).join(df.withColumn("blob", secrets.blob_of(df["text"])), "blob")
+    got = {r[0]: r[1] for r in found.select("text", secrets.redacted(found["text"], found["spans"])).collect()}
+    assert [got["x " + a + b] for a, b in cases] == ["x [secret]" + b for _, b in cases]
+
+
+def test_long_items_are_confirmed_as_a_whole(spark):
+    item = [f"w{i}" for i in range(1100)]
+    for n in (decontamination.LONGEST + 1, 1100):
+        bench = spark.createDataFrame([(1, " ".join(item[:n]))], "item_id long, text string")
+        whole = "before " * 700 + " ".join(item[:n]) + " after" * 700
+        docs = spark.createDataFrame([(1, f"x {item[n - 1]} y"), (2, " ".join(item[:n // 2])), (3, whole)], "doc_id long, text string")
+        assert [r["doc_id"] for r in decontamination.leaks(docs, bench).collect()] == [3]
+        assert sorted(r["doc_id"] for r in decontamination.decontaminated(docs, bench).collect()) == [1, 2]
