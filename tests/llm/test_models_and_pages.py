@@ -293,3 +293,16 @@ def test_training_reads_every_token(spark, monkeypatch):
     assert np.frombuffer(summed["weights"][0]) == pytest.approx(sum(np.frombuffer(r["weights"]) for r in rows))
     before = lm.Network.initial(counts).packed()
     assert lm.fit(df, counts).packed() not in (before, lm.fit(df.where("doc_id < 1500"), counts).packed())
+
+
+def test_all_notices_of_one_line():
+    ready = [licenses.Wording(*w) for w in licenses.WORDINGS]
+    short = [(n, t) for n, t in licenses.WORDINGS if len(t.split()) < 16]
+    line = " and a part of the whole ".join(t for _, t in short)
+    assert [n[0] for n in licenses.notices(line, ready)] == [n for n, _ in short]
+    legal = "the license software permission work copies terms notice rights granted under public any use version".split()
+    rng = np.random.default_rng(3)
+    for notice, name in (("Released under the MIT License.", "MIT"), ("Licensed under CC0 1.0.", "CC0-1.0")):
+        for _ in range(20):
+            around = [" ".join(rng.choice(legal, 80)) for _ in range(2)]
+            assert [n[0] for n in licenses.notices(f"{around[0]} {notice} {around[1]}", ready)] == [name]
