@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import decontamination, licenses, lm, mixing, pages, quality, secrets, simhash, topk, toxicity
+from larder.llm import conversations, decontamination, licenses, lm, mixing, pages, quality, secrets, simhash, topk, toxicity
 from larder.llm.common import remainder
 from larder.session import scratch_path
 
@@ -94,3 +94,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The curriculum of all documents."""
     return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and repair of all conversations, damaged by their keys first."""
+    return conversations.repair(conversations.damaged(table(spark, sf_dir, "conversations")))
