@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import conversations, decontamination, licenses, lm, mixing, pages, quality, secrets, simhash, spelling, topk, toxicity
+from larder.llm import conversations, decontamination, licenses, lm, mixing, pages, quality, repeats, secrets, simhash, spelling, topk, toxicity
 from larder.llm.common import remainder
 from larder.session import scratch_path
 
@@ -96,6 +96,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What all documents keep once strings of 50 bytes that an earlier document holds are taken out."""
+    return repeats.digests(repeats.repeats(table(spark, sf_dir, "documents")))
+
+
 @query
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near words, forms and roots of the words of all documents."""
