@@ -1,8 +1,7 @@
 """Ingredient names against a user's items: by containment, by similarity, and what a cooked recipe uses up.
 
 No operator here turns all (ingredient, item) pairs of a user into rows.
-Containment becomes an equi join on the substrings whose lengths occur on the
-other side. Similarity compares packed lists of names and returns one result
+Containment is resolved on the two vocabularies by sorted suffixes. Similarity compares packed lists of names and returns one result
 per ingredient and list, so a hot user becomes many independent rows.
 """
 
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 from larder.functions.similarity import best_in_block, match_counts_in_block
 from larder.functions.text import array_missing, has_name, norm_text
 from larder.functions.units import parse_ingredient
+from larder.operators.containment import contained, keyword_hits
 from larder.operators.stock import deduct, deduction_amount
 from larder.session import settled, task_count
 
@@ -136,28 +136,12 @@ def matching_items(
     )
 
 
-def _parts(names: DataFrame, col: str, lengths: Column, part: str) -> DataFrame:
-    """Distinct substrings of a text column, of the lengths in an array; one length at a time, so arrays stay as long as the text."""
-    text, n = F.col(col), F.col("_n")
-    starts = F.sequence(F.lit(1), F.length(text) - n + 1)
-    return (
-        names.withColumn("_lengths", lengths).withColumn("_n", F.explode("_lengths")).filter(n <= F.length(text))
-        .withColumn(part, F.explode(F.array_distinct(F.transform(starts, lambda p: F.substring(text, p, n)))))
-        .drop("_lengths", "_n")
-    )
-
-
 def _contained(containers: DataFrame, parts: DataFrame) -> DataFrame:
-    """Which names of one table each distinct name of another contains, as (_name, _part).
+    """Which names of one table each distinct name of another contains, as (_name, _part), on the two vocabularies without users.
 
-    Works on the two vocabularies, without users: a name is cut into substrings
-    of the lengths that occur among the parts, and these are joined on equality.
     A name has few parts, so joining the result to users multiplies little.
     """
-    inside = parts.select(F.col("_name").alias("_part")).distinct()
-    lengths = inside.agg(F.collect_set(F.length("_part"))).scalar()
-    parts_of = _parts(containers.select("_name").distinct(), "_name", lengths, "_part")
-    return parts_of.join(inside, "_part").select("_name", "_part")
+    return contained(containers.select("_name").distinct(), parts.select(F.col("_name").alias("_part")).distinct())
 
 
 def containing_item(ingredients: DataFrame, inventory: DataFrame, keep=()) -> DataFrame:
@@ -225,27 +209,15 @@ def missing_requested(requests: DataFrame) -> DataFrame:
     )
 
 
-def rule_hits(ingredients: DataFrame, rules: DataFrame, max_keyword: int = 100) -> DataFrame:
+def rule_hits(ingredients: DataFrame, rules: DataFrame) -> DataFrame:
     """First keyword (lowest ``ord``) per (ingredient row, rule class) that the ingredient contains.
 
-    ``rules`` is (class, keyword, ord) and may be large: ingredients are cut into
-    substrings of the keyword lengths and joined on equality. A keyword longer
-    than ``max_keyword`` is joined on its first characters and then compared whole.
+    ``rules`` has columns class, keyword, ord and may be large; every distinct
+    ingredient is read once per shard of the rules.
     """
-    cols = ingredients.columns
-    text = F.col("ingredient")
-    names = ingredients.select(text).distinct()
-    head = F.substring(F.col("keyword"), 1, max_keyword)
-    keyed = rules.filter(F.length("keyword") > 0).withColumn("_head", head)
-    lengths = keyed.agg(F.collect_set(F.length("_head"))).scalar()
-
-    first = (
-        _parts(names, "ingredient", lengths, "_head").join(keyed, "_head")
-        .filter(F.contains(text, F.col("keyword")))
-        .groupBy("ingredient", "class")
-        .agg(F.min_by("keyword", "ord").alias("keyword"))
-    )
-    return ingredients.join(first, "ingredient").select(*cols, "class", "keyword")
+    texts = ingredients.select(F.col("ingredient").alias("text")).where(F.length("text") > 0).distinct()
+    first = keyword_hits(texts, rules).withColumnRenamed("text", "ingredient")
+    return ingredients.join(first, "ingredient").select(*ingredients.columns, "class", "keyword")
 
 
 def compatible_items(items: DataFrame, personas: list) -> DataFrame:
