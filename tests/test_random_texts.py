@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from larder.functions import diet, text, units
 from larder.functions.json_recovery import _first_object
-from larder.functions.similarity import NameBlock, best_of, match_counts, np, ratio
+from larder.functions.similarity import Pairs, Remembered, best_of_lists, counts_of_lists, ratio
 
 
 def texts(pieces, n=600, most=10, seed=5):
@@ -160,28 +160,47 @@ def test_first_object(raw, strings):
     assert _first_object(raw, strings) == object_of(raw, strings)
 
 
+def first_best(items, name):
+    scores = [ratio(i, name) for i in items]
+    top = max(scores, default=0.0)
+    return {"at": scores.index(top), "score": top} if top >= 0.45 and top > 0 else None
+
+
+ROWS = st.lists(st.tuples(st.lists(st.text("abc ", max_size=8), max_size=6), st.lists(st.text("abc ", min_size=1, max_size=8), max_size=6)), max_size=5)
+
+
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.text("abc ", max_size=8), max_size=6), st.lists(st.text("abc ", min_size=1, max_size=8), max_size=6))
-def test_best_of_is_the_first_highest_score(names, items):
-    for name, found in zip(names, best_of(names, items, 0.45)):
-        scores = [ratio(i, name) for i in items]
-        top = max(scores, default=0.0)
-        assert found == ({"at": scores.index(top), "score": top} if top >= 0.45 and top > 0 else None)
+@given(ROWS)
+def test_best_of_is_the_first_highest_score(rows):
+    got = best_of_lists([r[0] for r in rows], [r[1] for r in rows], 0.45, Remembered())
+    assert got == [[first_best(items, n) for n in names] for names, items in rows]
 
 
 NAMES = st.lists(st.one_of(st.text("abc ", min_size=1, max_size=12), st.text("ab é", min_size=55, max_size=75)), min_size=1, max_size=5)
 
 
 @settings(max_examples=300, deadline=None)
-@given(NAMES, NAMES)
-def test_bounds_and_counts(names, items):
-    block = NameBlock(items)
-    for name, count in zip(names, match_counts(names, items, 0.45)):
-        scores = [ratio(i, name) for i in items]
-        assert all(b >= s for b, s in zip(block.common_letters(name), scores))
-        if len(name) <= block.WORD:
-            assert all(b >= s for b, s in zip(block.common_subsequence(name, np.arange(len(items))), scores))
-        assert count == sum(1 for i, s in zip(items, scores) if s >= 0.45 or set(i.split()) & set(name.split()))
-    for name, found in zip(names, best_of(names, items, 0.45)):
-        scores = [ratio(i, name) for i in items]
-        assert found == ({"at": scores.index(max(scores)), "score": max(scores)} if max(scores) >= 0.45 else None)
+@given(NAMES, NAMES, NAMES)
+def test_bounds_and_counts(names, items, others):
+    rows = [(names, items), (others, items), (names, others)]
+    lefts, rights = [r[0] for r in rows], [r[1] for r in rows]
+    pairs = Pairs(lefts, rights, Remembered())
+    for a, b, bound in zip(pairs.a, pairs.b, pairs.bounds(0.0)):
+        assert bound >= ratio(pairs.right.names[b], pairs.left.names[a])
+    assert counts_of_lists(lefts, rights, 0.45, Remembered()) == [
+        [sum(1 for i in right if ratio(i, n) >= 0.45 or set(i.split()) & set(n.split())) for n in left] for left, right in rows]
+    assert best_of_lists(lefts, rights, 0.45, Remembered()) == [[first_best(right, n) for n in left] for left, right in rows]
+
+
+def test_a_pair_is_scored_once_however_many_users_have_it(monkeypatch):
+    memory, asked = Remembered(), []
+    whole = memory.scores
+
+    def scores(pairs):
+        asked.extend(pairs)
+        return whole(pairs)
+
+    monkeypatch.setattr(memory, "scores", scores)
+    lists = [(["red onion", "rice"], ["onion red", "brown rice", "egg"])] * 50
+    best_of_lists([a for a, _ in lists], [b for _, b in lists], 0.45, memory)
+    assert len(asked) == len(set(asked)) <= 6
