@@ -9,6 +9,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from larder.functions.text import is_blank
 from larder.operators.ordering import latest_run
 from larder.schemas import REQUEST_LOG
+from larder.sources.split_files import csv_records, json_array_records, parsed_csv
 
 CORRUPT = "_corrupt"
 #: What an empty cell reads as before it becomes null: no text of a file.
@@ -31,13 +32,15 @@ def read_csv(spark: SparkSession, path, schema, date_cols=(), quoted_breaks: boo
     """CSV with a header and a fixed schema; unreadable dates become null.
 
     A quote inside quotes is doubled; a quoted empty text stays empty, an empty
-    cell is null. Quoted line breaks belong to their value, for which a file is
-    read in one task; ``quoted_breaks=False`` splits large files that have none.
+    cell is null. Quoted line breaks belong to their value, and large files are
+    still read in parallel, which takes a first pass over the quotes;
+    ``quoted_breaks=False`` spares it where there are no such breaks.
     """
-    df = (
-        spark.read.schema(schema).option("header", True).option("multiLine", quoted_breaks).option("escape", '"')
-        .option("nullValue", ABSENT).option("emptyValue", "").csv(path)
-    )
+    options = {"escape": '"', "nullValue": ABSENT, "emptyValue": ""}
+    if quoted_breaks:
+        df = parsed_csv(csv_records(spark, path), schema, options, ~F.col("first"))
+    else:
+        df = spark.read.schema(schema).option("header", True).options(**options).csv(path)
     return df.withColumns({c: F.try_to_date(F.col(c), "yyyy-M-d") for c in date_cols}) if date_cols else df
 
 
@@ -69,8 +72,9 @@ def _absent(c: Column, data_type) -> Column:
 
 
 def read_json_array(spark: SparkSession, path, schema) -> DataFrame:
-    """A file that is one JSON array. Such a file is one task; use JSON lines for large data."""
-    return spark.read.option("multiLine", True).schema(schema).json(path)
+    """Files that are one JSON array of objects each, or one object; large files are read in parallel, after a first pass over their braces."""
+    ddl = schema if isinstance(schema, str) else schema.toDDL()
+    return json_array_records(spark, path).select(F.from_json("value", ddl).alias("_r")).select("_r.*")
 
 
 def flatten_examples(df: DataFrame) -> DataFrame:
