@@ -124,9 +124,9 @@ SELECT 'dislike_streak' AS kind, user_id, id, 'User ' || user_id || ': the last
 FROM r WHERE k = 3 AND streak"""
 
 
-def _alerts(spark, stream):
+def _alerts(spark, stream, **how):
     base = scratch_path(spark, "stream")
-    streaks = streams.stream_streak_alerts(as_history(stream), 3)
+    streaks = streams.stream_streak_alerts(as_history(stream), 3, **how)
     text = F.format_string("User %s: the last %s recipes were disliked", "user_id", "n_ratings")
     sinks.finish(
         streaks.writeStream.foreachBatch(sinks.write_alerts(f"{base}/alerts", "dislike_streak", text)).outputMode("update")
@@ -142,10 +142,48 @@ def stream_alerts(spark, d):
     return _alerts(spark, events_stream(spark, d))
 
 
-@query("stream_alerts_files", ALERTS)
-def stream_alerts_files(spark, d):
-    """The same from files in the order of time, cut at fifths of the time that the events span."""
+def in_time_order(spark, d):
+    """The events as files in the order of time, cut at fifths of the time that they span."""
     ends = table(spark, d, "events").agg(F.min("ts").alias("low"), F.max("ts").alias("high")).first()
     low, high = F.unix_micros(F.lit(ends["low"]).cast("timestamp")), F.unix_micros(F.lit(ends["high"]).cast("timestamp"))
     at = F.unix_micros(F.col("ts").cast("timestamp"))
-    return _alerts(spark, files_stream(spark, d, F.least(F.floor(5 * (at - low) / (high - low + 1)), F.lit(4))))
+    return files_stream(spark, d, F.least(F.floor(5 * (at - low) / (high - low + 1)), F.lit(4)))
+
+
+@query("stream_alerts_files", ALERTS)
+def stream_alerts_files(spark, d):
+    """The same from files in the order of time."""
+    return _alerts(spark, in_time_order(spark, d))
+
+
+@query("stream_alerts_expiring", ALERTS.replace("SELECT *, count(*) OVER last3", """SELECT *, created_at - lag(created_at, 1) OVER own <= INTERVAL '2 days'
+  AND lag(created_at, 1) OVER own - lag(created_at, 2) OVER own <= INTERVAL '2 days' AS near, count(*) OVER last3""").replace(
+    "  WINDOW last3", "  WINDOW own AS (PARTITION BY user_id ORDER BY created_at, id), last3") + " AND near")
+def stream_alerts_expiring(spark, d):
+    """Ratings more than two days apart belong to no common streak; the state of users silent for as long is dropped."""
+    return _alerts(spark, in_time_order(spark, d), retention="2 days", lateness="0 seconds")
+
+
+CUT = "(SELECT min(created_at) + (max(created_at) - min(created_at)) / 2 FROM history)"
+
+
+@query("stream_alerts_seeded", f"{ALERTS} AND created_at >= {CUT}")
+def stream_alerts_seeded(spark, d):
+    """A stream of the later half of the events that begins with what the earlier half left."""
+    history, path = as_history(table(spark, d, "events")), scratch_path(spark, "seed")
+    cut = history.agg(F.expr("min(created_at) + (max(created_at) - min(created_at)) / 2")).first()[0]
+    seed = streams.last_ratings(history.where(F.col("created_at") < F.lit(cut)), 3)
+    seed.coalesce(1).write.parquet(path)
+    later = events_stream(spark, d).where(F.col("ts") >= F.lit(cut))
+    return _alerts(spark, later, seed=streams.read_stream(spark, path, seed.schema))
+
+
+@query("stream_compacted_counts", DAILY)
+def stream_compacted_counts(spark, d):
+    """Parts of the batches that the stream has committed, merged twice: half of them first, then base and rest."""
+    base = scratch_path(spark, "stream")
+    sinks.finish(sinks.write_parts(as_history(scattered(spark, d)), streams.daily_parts, f"{base}/parts", f"{base}/checkpoint"))
+    last = sinks.committed(spark, f"{base}/checkpoint")
+    for upto in (last // 2, last):
+        sinks.compact(spark, f"{base}/parts", upto, streams.daily_counts)
+    return streams.daily_counts(sinks.all_parts(spark, f"{base}/parts"))

@@ -13,7 +13,7 @@ from __future__ import annotations
 from bisect import bisect
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -68,45 +68,92 @@ def request_stats(parts: DataFrame) -> DataFrame:
     return parts.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in parts.columns if c not in keys])
 
 
+RATING = "user_id bigint, ts timestamp, at bigint, id bigint, score int"
+KEPT = "at array<bigint>, id array<bigint>, score array<int>"
+
+
 def _newest(rows: list, n: int) -> list:
     """The last ``n`` (time, id, score) rows, newest first."""
     return sorted(rows, reverse=True)[:n]
 
 
-def stream_user_streaks(events: DataFrame, n: int = 5) -> DataFrame:
+def _ratings(events: DataFrame) -> DataFrame:
+    at = F.col("created_at").cast("timestamp")
+    return rated(events).select(
+        F.col("user_id").cast("bigint").alias("user_id"), at.alias("ts"), F.unix_micros(at).alias("at"), F.col("id").cast("bigint").alias("id"),
+        F.col("feedback_score").cast("int").alias("score"),
+    )
+
+
+def last_ratings(history: DataFrame, n: int = 5) -> DataFrame:
+    """The last ``n`` ratings of every user of a table: what a stream of later ratings starts from, as ``seed``."""
+    newest = Window.partitionBy("user_id").orderBy(F.desc("at"), F.desc("id"))
+    return _ratings(history).withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") <= n).drop("_rank")
+
+
+def _micros(interval: str) -> int:
+    return round(pd.Timedelta(interval).total_seconds() * 1_000_000)
+
+
+def _per_user(ratings: DataFrame, update, out: str, retention: str | None, lateness: str) -> DataFrame:
+    """``update`` per user; with a retention the state of a user ends when the stream's time has passed the last rating by as much."""
+    timeout = GroupStateTimeout.NoTimeout
+    if retention is not None:
+        ratings, timeout = ratings.withWatermark("ts", lateness), GroupStateTimeout.EventTimeTimeout
+    return ratings.groupBy("user_id").applyInPandasWithState(update, out, KEPT, "update", timeout)
+
+
+def _keep(state: GroupState, kept: list, span: int | None) -> None:
+    """Store the ratings; with a retention, until it has passed since the last of them."""
+    state.update(tuple(list(c) for c in zip(*kept)))
+    if span is not None:
+        state.setTimeoutTimestamp((max(kept)[0] + span) // 1000 + 1)
+
+
+def stream_user_streaks(
+    events: DataFrame, n: int = 5, retention: str | None = None, lateness: str = "1 hour", seed: DataFrame | None = None,
+) -> DataFrame:
     """Per user and batch with ratings: whether the last ``n`` ratings are all dislikes by the end of the batch.
 
     The state is the last ``n`` ratings by time, so a late rating takes its
-    place among them, and one older than all of them changes nothing.
+    place among them, and one older than all of them changes nothing. For
+    ``retention``, ``lateness`` and ``seed`` see ``stream_streak_alerts``.
     """
-    ratings = rated(events).select(
-        "user_id", F.unix_micros(F.col("created_at").cast("timestamp")).alias("at"), "id",
-        F.col("feedback_score").cast("int").alias("score"),
-    )
+    span = None if retention is None else _micros(retention)
 
     def shrink(batches):
         for pdf in batches:
             yield pdf.sort_values(["at", "id"], ascending=False).groupby("user_id", sort=False).head(n)
 
     def update(key, chunks, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         kept = list(zip(*state.get)) if state.exists else []
         for pdf in chunks:
             new = zip(pdf["at"].tolist(), pdf["id"].tolist(), pdf["score"].tolist())
             kept = _newest([*kept, *new], n)
-        state.update(tuple(list(c) for c in zip(*kept)))
-        streak = len(kept) == n and all(score == 1 for _, _, score in kept)
+        _keep(state, kept, span)
+        streak = len(kept) == n and all(score == 1 for _, _, score in kept) and _unbroken([a for a, _, _ in reversed(kept)], span)
         yield pd.DataFrame({
             "user_id": [key[0]], "n_ratings": [len(kept)], "streak": [streak], "last_at": [kept[0][0]],
         })
 
-    small = ratings.mapInPandas(shrink, ratings.schema)
-    return small.groupBy("user_id").applyInPandasWithState(
-        update, "user_id bigint, n_ratings int, streak boolean, last_at bigint",
-        "at array<bigint>, id array<bigint>, score array<int>", "update", GroupStateTimeout.NoTimeout,
+    ratings = _ratings(events)
+    ratings = ratings if seed is None else ratings.unionByName(seed.select(ratings.columns))
+    return _per_user(
+        ratings.mapInPandas(shrink, RATING), update, "user_id bigint, n_ratings int, streak boolean, last_at bigint", retention, lateness,
     ).withColumn("last_rating_at", F.timestamp_micros("last_at").cast("timestamp_ntz")).drop("last_at")
 
 
-def stream_streak_alerts(events: DataFrame, n: int = 5) -> DataFrame:
+def _unbroken(times: list, span: int | None) -> bool:
+    """Whether times in order lie no further apart than the retention."""
+    return span is None or all(b - a <= span for a, b in zip(times, times[1:]))
+
+
+def stream_streak_alerts(
+    events: DataFrame, n: int = 5, retention: str | None = None, lateness: str = "1 hour", seed: DataFrame | None = None,
+) -> DataFrame:
     """One row per dislike whose last ``n`` ratings of its user are all dislikes: user_id, id, n_ratings, rated_at.
 
     The rows are the same for any number of files per batch as long as later
@@ -114,31 +161,41 @@ def stream_streak_alerts(events: DataFrame, n: int = 5) -> DataFrame:
     its place among the last ``n`` and is judged there; ratings that were judged
     before are not judged again, and one older than all of them says nothing.
     A user's ratings of a batch are ordered in one task, ``n`` are kept as state.
+
+    With ``retention``, ratings further apart than it belong to no common streak,
+    so the state of a user who has been silent for as long is dropped and nothing
+    is lost by it; a rating more than ``lateness`` behind the newest one read
+    before is left out. ``seed``, a stream of ``last_ratings`` of an earlier table
+    that arrives with the first batch, is what users begin with; its ratings are
+    not judged.
     """
-    ratings = rated(events).select(
-        "user_id", F.unix_micros(F.col("created_at").cast("timestamp")).alias("at"), "id",
-        F.col("feedback_score").cast("int").alias("score"),
-    )
+    span = None if retention is None else _micros(retention)
 
     def update(key, chunks, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         kept = sorted(zip(*state.get)) if state.exists else []
-        new = sorted(r for pdf in chunks for r in zip(pdf["at"].tolist(), pdf["id"].tolist(), pdf["score"].tolist()))
+        new = sorted(r for pdf in chunks for r in zip(pdf["at"].tolist(), pdf["id"].tolist(), pdf["score"].tolist(), pdf["seeded"].tolist()))
         found = []
-        for rating in new:
+        for *rating, seeded in new:
+            rating = tuple(rating)
             if len(kept) == n and rating < kept[0]:
                 continue
             at = bisect(kept, rating)
             kept.insert(at, rating)
             last = kept[max(0, at + 1 - n):at + 1]
-            if len(last) == n and all(score == 1 for _, _, score in last):
+            if not seeded and len(last) == n and all(score == 1 for _, _, score in last) and _unbroken([a for a, _, _ in last], span):
                 found.append((key[0], rating[1], n, rating[0]))
             del kept[:-n]
-        state.update(tuple(list(c) for c in zip(*kept)))
+        _keep(state, kept, span)
         yield pd.DataFrame(found, columns=["user_id", "id", "n_ratings", "at"])
 
-    return ratings.groupBy("user_id").applyInPandasWithState(
-        update, "user_id bigint, id bigint, n_ratings int, at bigint",
-        "at array<bigint>, id array<bigint>, score array<int>", "update", GroupStateTimeout.NoTimeout,
+    ratings = _ratings(events).withColumn("seeded", F.lit(False))
+    if seed is not None:
+        ratings = ratings.unionByName(seed.withColumn("seeded", F.lit(True)).select(ratings.columns))
+    return _per_user(
+        ratings, update, "user_id bigint, id bigint, n_ratings int, at bigint", retention, lateness,
     ).withColumn("rated_at", F.timestamp_micros("at").cast("timestamp_ntz")).drop("at")
 
 

@@ -114,6 +114,114 @@ def test_request_log_stream(spark, tmp_path, rows):
     assert rows(got.select("path", "n", "le_0_05", "le_0_1", "le_10", F.round("sum_s", 6))) == [("/u/:id", 10, 2, 3, 10, 1.8)]
 
 
+def sums(spark, path):
+    return sorted(tuple(r) for r in sinks.all_parts(spark, path).groupBy("k").agg(F.sum("n")).collect())
+
+
+def folders(path):
+    return sorted(p.name for p in path.iterdir() if not p.name.startswith((".", "_aside")))
+
+
+def test_compaction_keeps_what_is_read(spark, tmp_path):
+    path = str(tmp_path)
+    for b in range(12):
+        spark.createDataFrame([(k, b + k) for k in range(3)], "k int, n long").write.parquet(f"{path}/batch={b}")
+    before = sums(spark, path)
+
+    def merge(rows):
+        return rows.groupBy("k").agg(F.sum("n").alias("n"))
+
+    def broken(rows):
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        sinks.compact(spark, path, 7, broken)
+    assert sums(spark, path) == before and len(folders(tmp_path)) == 12
+    assert sinks.compact(spark, path, 7, merge) == 7
+    assert sums(spark, path) == before and folders(tmp_path) == sorted(["_bases", *(f"batch={b}" for b in range(8, 12))])
+    # Broken off between the rename and the removal: what the base holds lies there again.
+    spark.createDataFrame([(0, 99)], "k int, n long").write.parquet(f"{path}/batch=3")
+    assert sums(spark, path) == before
+    assert sinks.compact(spark, path, 7, merge) == 7 and "batch=3" not in folders(tmp_path)
+    assert sinks.compact(spark, path, 100, merge) == 11
+    assert sums(spark, path) == before and folders(tmp_path) == ["_bases"] and folders(tmp_path / "_bases") == ["upto=11"]
+    spark.createDataFrame([(0, 5)], "k int, n long").write.parquet(f"{path}/batch=12")
+    assert sums(spark, path) == [(0, before[0][1] + 5), *before[1:]]
+
+
+def test_compacted_updates(spark, tmp_path):
+    path = str(tmp_path)
+    for b in range(4):
+        spark.createDataFrame([(k, f"{b}") for k in range(b, 6)], "k int, v string").write.parquet(f"{path}/batch={b}")
+
+    def read():
+        return sorted(tuple(r) for r in sinks.latest_updates(spark, path, ["k"]).collect())
+
+    before = read()
+    sinks.compact(spark, path, 2, lambda rows: sinks.newest_rows(rows, ["k"]))
+    assert read() == before == [(0, "0"), (1, "1"), (2, "2"), (3, "3"), (4, "3"), (5, "3")]
+    sinks.compact(spark, path, 3, lambda rows: sinks.newest_rows(rows, ["k"]))
+    assert read() == before
+
+
+def test_committed_batches(spark, events, tmp_path):
+    assert sinks.committed(spark, str(tmp_path / "none")) is None
+    path = scratch_path(spark, "events")
+    events.repartition(3).write.parquet(path)
+    stream = streams.read_stream(spark, path, events.schema, files_per_batch=1)
+    sinks.finish(sinks.write_parts(stream, streams.daily_parts, str(tmp_path / "parts"), str(tmp_path / "check")))
+    assert sinks.committed(spark, str(tmp_path / "check")) == 2
+
+
+def gap_alerts(rows, n, span):
+    users = {}
+    for r in sorted(rows, key=lambda r: (r.created_at, r.id)):
+        users.setdefault(r.user_id, []).append(r)
+    out = []
+    for user, own in users.items():
+        for i in range(n - 1, len(own)):
+            last = own[i + 1 - n:i + 1]
+            near = all(b.created_at - a.created_at <= span for a, b in zip(last, last[1:]))
+            if near and all(r.feedback_score == 1 for r in last):
+                out.append((user, own[i].id))
+    return sorted(out)
+
+
+def test_state_of_silent_users_is_dropped(spark):
+    # Fifty users rate for a day each, one after the other, and the first comes back at the end.
+    rows = [(1000 * u + i, u, 1, START + timedelta(days=u, hours=i), "A", False) for u in range(50) for i in range(4)]
+    rows += [(90_000 + i, 0, 1, START + timedelta(days=50, hours=i), "A", False) for i in range(3)]
+    path = scratch_path(spark, "events")
+    for n in range(10):
+        spark.createDataFrame([r for r in rows if (r[3] - START).days // 5 == n or n == 9 and (r[3] - START).days >= 50], SCHEMA).coalesce(1).write.parquet(f"{path}/{n}")
+    stream = streams.read_stream(spark, f"{path}/*", SCHEMA, files_per_batch=1)
+    base = scratch_path(spark, "run")
+    alerts = streams.stream_streak_alerts(stream, 3, retention="2 days", lateness="0 seconds")
+    query = sinks.finish(sinks.write_updates(alerts, f"{base}/rows", f"{base}/checkpoint"))
+    events = spark.createDataFrame(rows, SCHEMA).collect()
+    got = sorted((r.user_id, r.id) for r in spark.read.parquet(f"{base}/rows").collect())
+    assert got == gap_alerts(events, 3, timedelta(days=2)) and (0, 90_002) in got and (0, 90_000) not in got
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert max(held) <= 15
+
+
+def test_a_stream_begins_with_what_a_table_left(spark, events):
+    rated = [r for r in events.collect() if r.feedback_score in (1, 2)]
+    cut = START + timedelta(days=3)
+    path, seeds, base = (scratch_path(spark, x) for x in ("events", "seed", "run"))
+    later = events.where(F.col("created_at") >= F.lit(cut))
+    later.coalesce(1).write.parquet(path)
+    seed = streams.last_ratings(events.where(F.col("created_at") < F.lit(cut)), 3)
+    seed.coalesce(1).write.parquet(seeds)
+    alerts = streams.stream_streak_alerts(
+        streams.read_stream(spark, path, events.schema), 3, seed=streams.read_stream(spark, seeds, seed.schema))
+    sinks.finish(sinks.write_updates(alerts, f"{base}/rows", f"{base}/checkpoint"))
+    whole = gap_alerts(rated, 3, timedelta(days=99))
+    ids = {r.id for r in rated if r.created_at >= cut}
+    want = [x for x in whole if x[1] in ids]
+    assert sorted((r.user_id, r.id) for r in spark.read.parquet(f"{base}/rows").collect()) == want and 0 < len(want) < len(whole)
+
+
 def test_alert_rows_are_written_once_per_batch(spark, tmp_path):
     write = sinks.write_alerts(str(tmp_path), "streak", F.concat(F.lit("u"), F.col("user_id").cast("string")))
     batch = spark.createDataFrame([(1,), (2,)], "user_id bigint")
