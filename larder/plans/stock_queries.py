@@ -11,7 +11,8 @@ from larder.plans.bindings import (
     CLEANED, INVENTORY, OWNED, PURCHASES, STOCK_AS_OF, inventory, owned_items, purchases, table,
 )
 from larder.plans.registry import query, rounded
-from larder.sources import changes
+from larder.session import scratch_path
+from larder.sources import bucketed, changes
 
 FLAGGED = "WITH " + CLEANED
 
@@ -423,6 +424,49 @@ def upsert_items(spark, d):
     return changes.upsert(_stocked(spark, d), new, "item_id")
 
 
+STOCK_SCHEMA = "item_id bigint, user_id int, item_name string, quantity double, unit string, category string"
+
+
+def _bucketed(spark, d, new, change, keys="item_id"):
+    """The stock kept in buckets, after a change that rewrites only those it touches."""
+    path = scratch_path(spark, "stock")
+    stock = _stocked(spark, d).select(*[F.col(f.split()[0]).cast(f.split()[1]) for f in STOCK_SCHEMA.split(", ")])
+    bucketed.write_bucketed(stock, path, keys, buckets=32)
+    bucketed.change_bucketed(spark, path, STOCK_SCHEMA, keys, new, change, buckets=32)
+    return bucketed.read_bucketed(spark, path, STOCK_SCHEMA)
+
+
+@query("bucketed_update", f"""WITH {STOCKED}, ch AS (
+  SELECT l_partkey AS item_id, max(l_quantity) AS q FROM lineitem WHERE l_partkey % 97 = 3 GROUP BY l_partkey)
+SELECT item_id, coalesce(q, quantity) AS quantity, unit, category FROM stocked LEFT JOIN ch USING (item_id)""")
+def bucketed_update(spark, d):
+    """Order lines of a hundredth of the parts change the quantity in stock."""
+    new = table(spark, d, "lineitem").where(F.col("l_partkey") % 97 == 3).groupBy(F.col("l_partkey").alias("item_id")).agg(
+        F.max("l_quantity").alias("quantity"))
+    done = _bucketed(spark, d, new, lambda held, given: changes.update_items(held, given, ["item_id"]))
+    return done.select("item_id", "quantity", "unit", "category")
+
+
+@query("bucketed_upsert", f"""WITH {STOCKED}, src AS (
+  SELECT s_suppkey * 3 AS item_id, s_nationkey AS user_id, s_name AS item_name, s_acctbal AS quantity, 'g' AS unit,
+         'pantry' AS category FROM supplier)
+SELECT * FROM src UNION ALL SELECT * FROM stocked WHERE item_id NOT IN (SELECT item_id FROM src)""")
+def bucketed_upsert(spark, d):
+    new = table(spark, d, "supplier").select(
+        (F.col("s_suppkey") * 3).alias("item_id"), F.col("s_nationkey").alias("user_id"),
+        F.col("s_name").alias("item_name"), F.col("s_acctbal").alias("quantity"), F.lit("g").alias("unit"), F.lit("pantry").alias("category"),
+    )
+    return _bucketed(spark, d, new, lambda held, given: changes.upsert(held, given, "item_id"))
+
+
+@query("bucketed_delete", f"""WITH {STOCKED}
+SELECT item_id, user_id FROM stocked WHERE (item_id, user_id) NOT IN (SELECT (l_partkey, l_linenumber) FROM lineitem)""")
+def bucketed_delete(spark, d):
+    gone = table(spark, d, "lineitem").select(
+        F.col("l_partkey").alias("item_id"), F.col("l_linenumber").alias("user_id"))
+    return _bucketed(spark, d, gone, changes.delete_items).select("item_id", "user_id")
+
+
 @query("sorted_summary", "WITH " + PURCHASES + """
 SELECT category, unit, count(*) AS n FROM purchases GROUP BY ALL ORDER BY category, unit""")
 def summary_in_order(spark, d):
