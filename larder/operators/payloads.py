@@ -124,3 +124,15 @@ def variant_json(prefs: DataFrame) -> DataFrame:
         return F.coalesce(F.col(f"{c}_raw"), F.to_json(F.col(c)))
 
     return prefs.withColumns({"variant_a_raw": as_text("variant_a"), "variant_b_raw": as_text("variant_b")})
+
+
+def answer_recipes(answers: DataFrame, text_col: str = "answer") -> DataFrame:
+    """One row per candidate of a model answer that is a JSON array: its place, from 1, and its JSON text as ``recipe``.
+
+    Any other answer, an unreadable one among them, has no candidates.
+    """
+    value = F.try_parse_json(F.col(text_col))
+    listed = F.when(F.startswith(F.schema_of_variant(value), F.lit("ARRAY")), F.try_variant_get(value, "$", "array<variant>"))
+    others = [c for c in answers.columns if c != text_col]
+    rows = answers.select(*others, F.posexplode(F.transform(listed, F.to_json)).alias("_at", "recipe"))
+    return rows.select(*others, (F.col("_at") + 1).alias("place"), "recipe")

@@ -111,6 +111,34 @@ def route_pairs(judged: DataFrame, degenerate: bool = False) -> DataFrame:
     )
 
 
+def user_pairs(prefs: DataFrame, null_skipped: str = "drop") -> DataFrame:
+    """(user_id, id, created_at, prompt, chosen, rejected): what every user's training reads, in the order of creation within a user.
+
+    Pairs that lack a variant or the rejected letter are left out; variants are JSON texts.
+    """
+    there = is_filled(F.col("variant_a_raw")) & is_filled(F.col("variant_b_raw")) & is_filled(F.col("rejected_variant"))
+    return (
+        resolve_pair(usable_prefs(prefs, null_skipped).where(there & is_filled(F.col("chosen_variant"))))
+        .select("user_id", "id", "created_at", *PAIR).sortWithinPartitions("user_id", "created_at", "id")
+    )
+
+
+def user_pair_status(prefs: DataFrame, users: DataFrame, min_n: int = 50, null_skipped: str = "drop") -> DataFrame:
+    """(user_id, username, preference_count, n_pairs, status) of users with usable preferences.
+
+    ``pending`` once the preferences reach ``min_n``, ``collecting`` before; ``n_pairs``
+    is what the export holds. Preferences of unknown users are left out.
+    """
+    counted = usable_counts(prefs, null_skipped).withColumnRenamed("n", "preference_count")
+    pairs = user_pairs(prefs, null_skipped).groupBy("user_id").agg(F.count(F.lit(1)).alias("n_pairs"))
+    return (
+        counted.join(users.select(F.col("id").alias("user_id"), "username"), "user_id").join(pairs, "user_id", "left")
+        .select(
+            "user_id", "username", "preference_count", F.coalesce("n_pairs", F.lit(0)).alias("n_pairs"),
+            F.when(F.col("preference_count") >= min_n, "pending").otherwise("collecting").alias("status"))
+    )
+
+
 def label_pass_rate(routed: DataFrame) -> DataFrame:
     accepted = F.count_if(F.col("route") == "accepted")
     return routed.agg(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.functions.text import hash_bucket
@@ -61,3 +61,9 @@ def score_and_pick(candidates: DataFrame, weights, key: str = "request_id", cand
     """The best candidate per request; the lowest id among equal scores."""
     scored = candidates.select(key, candidate, dot(F.col("features"), weights).alias("score"))
     return arg_max_first(scored, [key], "score", [candidate])
+
+
+def ordered_by_score(scored: DataFrame, key: str = "request_id", place: str = "place") -> DataFrame:
+    """Candidates with their ``position`` by falling score; equal scores keep the order of their places, null scores come last."""
+    after = Window.partitionBy(key).orderBy(F.desc_nulls_last("score"), place)
+    return scored.withColumn("position", F.row_number().over(after))

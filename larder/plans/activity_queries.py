@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from larder.operators import activity, ordering, preferences as prefs_ops, requests as req
+from larder.plans import jobs
 from larder.plans.bindings import (
     AS_OF, HISTORY, PREFERENCES, REQUESTS, USERS, history, preferences, requests, table, users,
 )
 from larder.plans.registry import query, rounded
+from larder.session import scratch_path
 from larder.sources.readers import parse_access_log
 
 W_USERS, W_HISTORY, W_PREFS, W_REQUESTS = ("WITH " + t for t in (USERS, HISTORY, PREFERENCES, REQUESTS))
@@ -219,6 +221,30 @@ def users_ready(spark, d):
     return activity.attach_users(ready, users(spark, d))
 
 
+WHOLE_PAIR = "coalesce(variant_a_raw, '') <> '' AND coalesce(variant_b_raw, '') <> '' AND coalesce(rejected_variant, '') <> '' AND chosen_variant <> ''"
+
+
+@query("user_pair_status", f"""{W_USERS}, {PREFERENCES}, c AS (
+  SELECT user_id, count(*) AS preference_count, count(*) FILTER ({WHOLE_PAIR}) AS n_pairs FROM prefs
+  WHERE skipped = false AND chosen_variant IS NOT NULL GROUP BY user_id)
+SELECT user_id, username, preference_count, n_pairs, CASE WHEN preference_count >= 15 THEN 'pending' ELSE 'collecting' END AS status
+FROM c JOIN users ON users.id = c.user_id""")
+def user_pair_status(spark, d):
+    return prefs_ops.user_pair_status(preferences(spark, d), users(spark, d), 15)
+
+
+@query("user_pairs_run", f"""{W_USERS}, {PREFERENCES}, r AS (
+  SELECT user_id FROM prefs WHERE skipped = false AND chosen_variant IS NOT NULL GROUP BY user_id HAVING count(*) >= 15)
+SELECT user_id, prompt, CASE chosen_variant WHEN 'A' THEN variant_a_raw ELSE variant_b_raw END AS chosen,
+  CASE chosen_variant WHEN 'A' THEN variant_b_raw ELSE variant_a_raw END AS rejected
+FROM prefs WHERE skipped = false AND chosen_variant IS NOT NULL AND {WHOLE_PAIR}
+  AND user_id IN (SELECT user_id FROM r JOIN users ON users.id = r.user_id)""")
+def user_pairs_run(spark, d):
+    """The pairs that the export of every ready user holds, read back from its files."""
+    tables = jobs.export_user_pairs_job(preferences(spark, d), users(spark, d), scratch_path(spark, "run"), 15)
+    return tables["pairs"].select("user_id", "prompt", "chosen", "rejected")
+
+
 @query("threshold_events", f"""{W_PREFS}, r AS (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at, id) AS preference_count FROM prefs WHERE {USABLE})
 SELECT id, user_id, preference_count FROM r WHERE preference_count = 30""")

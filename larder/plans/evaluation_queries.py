@@ -9,7 +9,7 @@ from larder.functions.json_recovery import error_recipe, recover_json
 from larder.functions.prompts import CUISINE_REQUESTS, INGREDIENT_REQUESTS, PLAIN_REQUESTS, PREFERENCE_REQUESTS
 from larder.functions.text import WHITESPACE, split_steps, token_count
 from larder.operators import evaluation as ev
-from larder.operators import quality, ranking, training
+from larder.operators import margin, payloads, quality, ranking, training
 from larder.plans.bindings import choose, sql_choose, table
 from larder.plans.registry import query, rounded
 
@@ -35,14 +35,14 @@ def model_outputs(spark, d):
         .when(form == 5, F.concat(body, F.lit(' and {"x": 1}')))
         .otherwise(F.col("text"))
     )
-    first_words = F.slice(F.split(F.lower("text"), " "), 1, 2)
+    all_words = F.array_distinct(F.split(F.lower("text"), " "))
     return docs.select(
         F.col("doc_id").alias("example_id"), output.alias("output"),
         F.when(F.col("doc_id") % 2 == 0, "base").otherwise("lora").alias("model"),
         F.when(F.col("doc_id") % 3 == 0, F.upper("lang")).when(F.col("doc_id") % 3 == 1, "vegan").otherwise("").alias("preference"),
         F.when(F.col("doc_id") % 4 == 0, F.col("source")).when(F.col("doc_id") % 4 == 1, "other").alias("cuisine"),
         F.when(F.col("doc_id") % 5 == 0, F.array().cast("array<string>"))
-        .otherwise(F.concat(F.array(F.lit("RICE"), F.lit("zzqqzz")), first_words)).alias("user_inventory"),
+        .otherwise(F.concat(F.array(F.lit("RICE"), F.lit("zzqqzz")), all_words)).alias("user_inventory"),
     )
 
 
@@ -52,7 +52,7 @@ OUTPUTS = """outputs AS (SELECT doc_id AS example_id, doc_id % 7 AS form, CASE W
   CASE doc_id % 3 WHEN 0 THEN upper(lang) WHEN 1 THEN 'vegan' ELSE '' END AS preference,
   CASE doc_id % 4 WHEN 0 THEN source WHEN 1 THEN 'other' END AS cuisine, source, lang,
   lower('rice ' || source || ' ' || text || CASE WHEN doc_id % 7 = 4 THEN ' mix } and stir' ELSE '' END) AS said,
-  CASE WHEN doc_id % 5 = 0 THEN [] ELSE list_concat(['rice', 'zzqqzz'], string_split(lower(text), ' ')[1:2]) END AS inv
+  CASE WHEN doc_id % 5 = 0 THEN [] ELSE list_concat(['rice', 'zzqqzz'], list_distinct(string_split(lower(text), ' '))) END AS inv
   FROM documents),
 examples AS (SELECT *, form IN (0, 1, 2, 5) AS json_valid,
   CASE WHEN form IN (0, 1, 2, 5) AND preference <> '' THEN lower(lang) = lower(preference) END AS diet_match,
@@ -541,3 +541,30 @@ def fitted_ranker(spark, d):
 def fitted_ranker_floor(spark, d):
     """Whether the fitted ranker orders more than half of its pairs rightly."""
     return fitted_ranker(spark, d).select("n_pairs", (F.col("accuracy") > 0.5).alias("better"))
+
+
+@query("margin_ranker_floor", f"WITH {EMB_PAIRS} SELECT count(*) AS n_pairs, true AS better FROM pairs")
+def margin_ranker_floor(spark, d):
+    """Whether the ranker with a margin orders more than half of its pairs rightly."""
+    pairs = embedding_pairs(spark, d)
+    network, _ = margin.fit_margin_ranker(pairs, steps=8)
+    return ranking.pair_accuracy(margin.score_with(pairs, network)).select("n_pairs", (F.col("accuracy") > 0.5).alias("better"))
+
+
+@query("ranked_answers", """WITH a AS (SELECT doc_id, n_chars, source, lang FROM documents WHERE doc_id % 4 <> 3),
+c AS (SELECT doc_id, unnest([1, 2, 3]) AS place, unnest([n_chars % 7, n_chars % 5, n_chars % 7]) AS score, unnest([source, lang, 'plain']) AS recipe_name FROM a)
+SELECT doc_id AS request_id, place, recipe_name, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, place)::INT AS position FROM c""")
+def ranked_answers(spark, d):
+    """Answers that are a JSON array of three candidates, scored and put in order; every fourth answer is no array."""
+    def candidate(name, score):
+        return F.struct(name.alias("name"), score.alias("score"))
+
+    n = F.col("n_chars")
+    listed = F.to_json(F.array(candidate(F.col("source"), n % 7), candidate(F.col("lang"), n % 5), candidate(F.lit("plain"), n % 7)))
+    odd = F.when(F.col("doc_id") % 8 == 3, F.lit('{"name": "single"}')).otherwise(F.lit("[ no JSON"))
+    answers = table(spark, d, "documents").select(
+        F.col("doc_id").alias("request_id"), F.when(F.col("doc_id") % 4 == 3, odd).otherwise(listed).alias("answer"))
+    rows = payloads.answer_recipes(answers)
+    value = F.parse_json("recipe")
+    scored = rows.withColumns({"recipe_name": F.variant_get(value, "$.name", "string"), "score": F.variant_get(value, "$.score", "long")})
+    return ranking.ordered_by_score(scored).select("request_id", "place", "recipe_name", "position")

@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions.clock import at
-from larder.operators import activity, evaluation, preferences, quality, stock
-from larder.sources.writers import append_log, write_jsonl, write_snapshot
+from larder.operators import activity, evaluation, matching, preferences, quality, stock
+from larder.operators.payloads import with_ingredient_texts
+from larder.sources.writers import append_log, write_by_persona, write_jsonl, write_snapshot
 
 SLICES = ["category", "unit"]
 
@@ -58,6 +59,30 @@ def export_pairs_job(prefs: DataFrame, out: str) -> dict:
     return {"pairs": usable, "preferences": marked}
 
 
+def cook_job(history: DataFrame, inventory: DataFrame, cooked_ids: DataFrame, out: str) -> dict:
+    """Stored recipes marked as cooked, and the stock after what they take; ``history`` has ``recipe_json`` as text, ``cooked_ids`` ids of its rows.
+
+    An id that is given twice, or was cooked before, is taken from the stock as often as the caller runs the
+    job, once a run. Recipes without readable ingredients take nothing.
+    """
+    once = cooked_ids.select("id").distinct()
+    rows = _kept(history.join(once, "id").withColumn("_recipe", F.try_parse_json("recipe_json")), f"{out}/cooked")
+    texts = with_ingredient_texts(rows, "_recipe").where(F.col("main_ingredients").isNotNull()).select("id", "user_id", "main_ingredients", "servings")
+    left = _kept(matching.apply_cooked(texts, inventory), f"{out}/inventory")
+    done = once.withColumn("_cooked", F.lit(True))
+    marked = history.join(done, "id", "left").withColumn("is_cooked", F.coalesce("_cooked", "is_cooked")).select(*history.columns)
+    return {"inventory": left, "history": _kept(marked, f"{out}/history")}
+
+
+def export_user_pairs_job(prefs: DataFrame, users: DataFrame, out: str, min_n: int = 50) -> dict:
+    """The pairs of every user who has enough of them, a folder of JSON lines each, and the status of all."""
+    status = _kept(preferences.user_pair_status(prefs, users, min_n), f"{out}/status")
+    ready = status.where("status = 'pending'").select("user_id")
+    pairs = preferences.user_pairs(prefs).join(ready, "user_id", "left_semi")
+    write_by_persona(pairs.drop("id", "created_at"), f"{out}/pairs", "user_id")
+    return {"status": status, "pairs": prefs.sparkSession.read.schema("prompt string, chosen string, rejected string, user_id long").json(f"{out}/pairs")}
+
+
 def evaluation_job(outputs: DataFrame, out: str, run_ts: str) -> dict:
     """Scores per example, per model, per slice and their gates; runs lie side by side as ``run_ts`` folders."""
     def run(name: str) -> str:

@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from larder.functions import similarity as sim
 from larder.operators import matching
+from larder.plans import jobs
 from larder.plans.bindings import (
     OWNED, RECIPE_INGREDIENTS, choose, owned_items, recipe_ingredients, sql_choose, table,
 )
 from larder.plans.registry import query, rounded
 from larder.plans.text_queries import NORM_SQL
+from larder.session import scratch_path
 
 BOTH = f"WITH {OWNED}, {RECIPE_INGREDIENTS}"
 # The longest block that x and y share, the earliest in x and then in y of equals, as one number:
@@ -209,3 +211,16 @@ def cooked_stock_reworded(spark, d):
     """Half of the ingredients have no equal name in stock and are matched by similarity."""
     left = matching.apply_cooked(cooked_recipes(spark, d, reworded=True), owned_items(spark, d))
     return rounded(left.select("user_id", "item_id", "quantity"), "quantity")
+
+
+@query("cooked_from_history", f"WITH {OWNED}, {COOKED} {LEFT_OVER}")
+def cooked_from_history(spark, d):
+    """The same from stored recipes as JSON, every other one below a key of its own, their ingredients texts or objects."""
+    rows = cooked_recipes(spark, d)
+    text = F.get("main_ingredients", F.lit(0))
+    objects = F.to_json(F.struct(F.array(F.struct(text.alias("name"), F.lit(1).alias("n"))).alias("main_ingredients")))
+    nested = F.to_json(F.struct(F.struct(F.array(text, F.lit("")).alias("main_ingredients")).alias("recipe")))
+    history = rows.select("id", "user_id", "servings", F.lit(False).alias("is_cooked"), F.when(
+        F.col("servings") == 1, nested).otherwise(objects).alias("recipe_json"))
+    done = jobs.cook_job(history, owned_items(spark, d), history.select("id"), scratch_path(spark, "cook"))
+    return rounded(done["inventory"].select("user_id", "item_id", "quantity"), "quantity")
