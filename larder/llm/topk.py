@@ -32,18 +32,16 @@ SLACK = 1e-9
 
 
 def whole_vectors(vectors: DataFrame, column: str = "embedding") -> DataFrame:
-    """(vec_id, v, norm): components times SCALE, rounded down; one row per vec_id.
+    """(row, vec_id, v, norm): components times SCALE, rounded down; ``row`` numbers the rows, once they are written.
 
     Vectors that are null or hold a null or non-finite component, and rows
-    without an id, take no part. Of several rows with an id the least vector
-    counts.
+    without an id, take no part.
     """
     x = table_of(vectors, "vec_id", column)
     bad = F.exists(column, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     v = F.transform(column, lambda c: F.floor(F.lit(float(SCALE)) * c.cast("double")))
     whole = x.where(F.col("vec_id").isNotNull() & F.col(column).isNotNull() & ~bad).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
-    one = whole.groupBy("vec_id").agg(F.min("v").alias("v"))
-    return one.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double"))))
+    return whole.withColumn("row", F.monotonically_increasing_id()).withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double"))))
 
 
 def matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -75,19 +73,20 @@ def rotation(whole: DataFrame, width: int) -> np.ndarray:
 
 
 def blocks(whole: DataFrame, width: int) -> DataFrame:
-    """(block, most, ids, rows): candidates by falling norm, BLOCK to a row, as packed 64-bit numbers; most is the largest norm."""
+    """(block, most, ids, numbers, rows): candidates by falling norm, BLOCK to a row, as packed 64-bit numbers; most is the largest norm."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(at, BLOCK)
-                ids = part.column("vec_id").to_numpy()
+                ids, numbers = part.column("vec_id").to_numpy(), part.column("row").to_numpy()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(ids[0])]), pa.array([float(part.column("norm")[0].as_py())]), pa.array([ids.tobytes()]), pa.array([matrix(part.column("v"), width).tobytes()])],
-                    ["block", "most", "ids", "rows"])
+                    [pa.array([int(numbers[0])]), pa.array([float(part.column("norm")[0].as_py())]), pa.array([ids.tobytes()]), pa.array([numbers.tobytes()]),
+                     pa.array([matrix(part.column("v"), width).tobytes()])],
+                    ["block", "most", "ids", "numbers", "rows"])
 
-    sorted_rows = whole.repartitionByRange(F.desc("norm"), "vec_id").sortWithinPartitions(F.desc("norm"), "vec_id")
-    return sorted_rows.mapInArrow(of, "block long, most double, ids binary, rows binary")
+    order = [F.desc("norm"), "vec_id", "row"]
+    return whole.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(of, "block long, most double, ids binary, numbers binary, rows binary")
 
 
 def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -98,8 +97,10 @@ def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", q, x)
 
 
-def best(q: np.ndarray, q_ids: np.ndarray, least: np.ndarray, x: np.ndarray, x_ids: np.ndarray, turn: np.ndarray, k: int) -> dict[int, list[tuple[int, int]]]:
-    """Query number -> its k best (score, vec_id) of the rows of x, which fall by norm, as far as they reach ``least``."""
+def best(
+    q: np.ndarray, q_rows: np.ndarray, least: np.ndarray, x: np.ndarray, x_ids: np.ndarray, x_rows: np.ndarray, turn: np.ndarray, k: int,
+) -> dict[int, list[tuple[int, int]]]:
+    """Query number -> its k best (score, vec_id) of the rows of x but its own, which fall by norm, as far as they reach ``least``."""
     qr, xr = q @ turn, x @ turn
     q_norm, x_norm = np.sqrt((qr * qr).sum(axis=1)), np.sqrt((xr * xr).sum(axis=1))
     q_rest, x_rest = (np.sqrt((r[:, FIRST:] ** 2).sum(axis=1)) for r in (qr, xr))
@@ -114,7 +115,7 @@ def best(q: np.ndarray, q_ids: np.ndarray, least: np.ndarray, x: np.ndarray, x_i
                 break
             continue
         bound = qr[live][:, :FIRST] @ xr[rows, :FIRST].T + np.outer(q_rest[live], x_rest[rows]) + slack[live, None]
-        i, j = np.nonzero((bound >= least[live, None]) & (q_ids[live][:, None] != x_ids[rows][None, :]))
+        i, j = np.nonzero((bound >= least[live, None]) & (q_rows[live][:, None] != x_rows[rows][None, :]))
         i, j = live[i], j + at
         scores = exact(q[i], x[j])
         for n, start, end in zip(*_runs(i)):
@@ -133,41 +134,45 @@ def _runs(i: np.ndarray) -> tuple[list, list, list]:
 
 
 def scored(pairs: DataFrame, turn: np.ndarray, k: int) -> DataFrame:
-    """(query_id, vec_id, score) from rows of (ids, rows) and (q: list of query_id, v, least)."""
+    """(query_id, vec_id, score) from rows of (ids, numbers, rows) and (q: list of query_id, row, v, least)."""
     width = turn.shape[0]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for n in range(batch.num_rows):
                 x_ids = np.frombuffer(batch.column("ids")[n].as_py(), np.int64)
+                x_rows = np.frombuffer(batch.column("numbers")[n].as_py(), np.int64)
                 x = np.frombuffer(batch.column("rows")[n].as_py(), np.int64).reshape(len(x_ids), width)
                 own = batch.column("q")[n].values
-                q_ids = own.field("vec_id").to_numpy(zero_copy_only=False)
+                q_ids, q_rows = (own.field(c).to_numpy(zero_copy_only=False) for c in ("vec_id", "row"))
                 least = own.field("least").to_numpy(zero_copy_only=False)
-                kept = best(matrix(own.field("v"), width), q_ids, np.where(np.isnan(least), -np.inf, least), x, x_ids, turn, k)
+                kept = best(matrix(own.field("v"), width), q_rows, np.where(np.isnan(least), -np.inf, least), x, x_ids, x_rows, turn, k)
                 out = [(int(q_ids[a]), i, s) for a, found in sorted(kept.items()) for s, i in found]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["query_id", "vec_id", "score"])
 
-    return pairs.select("ids", "rows", "q").mapInArrow(of, "query_id long, vec_id long, score long")
+    return pairs.select("ids", "numbers", "rows", "q").mapInArrow(of, "query_id long, vec_id long, score long")
 
 
 def top_k(vectors: DataFrame, is_query, k: int = 10, column: str = "embedding") -> DataFrame:
     """The k best candidates of each query row: query_id, rank, vec_id, score.
 
     ``is_query`` is a condition on vec_id; candidates are all rows but the
-    query's own. Ties go to the smaller vec_id; a query with fewer candidates
-    than k returns all. Shorter vectors end in zeros. No vector gives no row.
+    query's own. Several rows may have one vec_id: each is a candidate, and the
+    one with the least vector asks. Ties go to the smaller vec_id; a query with
+    fewer candidates than k returns all. Shorter vectors end in zeros. No vector
+    gives no row.
     """
     whole = settled(whole_vectors(vectors, column), "vectors")
+    asking = whole.where(is_query).groupBy("vec_id").agg(F.min(F.struct("v", "row", "norm")).alias("q")).select("vec_id", "q.*")
     seen = whole.agg(F.max(F.size("v")).alias("width"), F.count(F.when(is_query, 1)).alias("n")).first()
     width, parts = max(seen["width"] or 1, 1), max(1, math.ceil(seen["n"] / QUERIES))
     turn = rotation(whole, width)
     packed = settled(blocks(whole, width), "blocks")
-    asked = whole.where(is_query).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int"))
+    asked = asking.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int"))
 
     def in_parts(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("part").agg(F.collect_list(F.struct("vec_id", "v", "least")).alias("q"), F.min("least").alias("lowest"), F.max("norm").alias("longest"))
+        return rows.groupBy("part").agg(F.collect_list(F.struct("vec_id", "row", "v", "least")).alias("q"), F.min("least").alias("lowest"), F.max("norm").alias("longest"))
 
     everyone = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
     head = packed.orderBy(F.desc("most"), "block").limit(1).withColumn("part", everyone)
@@ -178,7 +183,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, column: str = "embedding")
     others = packed.where(F.col("block") != (head_block[0]["block"] if head_block else 0))
     pairs = others.select("block", "most", everyone.alias("part")).join(queries.select("part", "lowest", "longest"), "part").where(
         F.col("most") * F.col("longest") * (1 + SLACK) + SLACK >= F.col("lowest")).select("block", "part")
-    met = pairs.join(queries.select("part", "q"), "part").join(others.select("block", "ids", "rows"), "block")
+    met = pairs.join(queries.select("part", "q"), "part").join(others.select("block", "ids", "numbers", "rows"), "block")
     found = first.union(scored(met.repartition("block", "part"), turn, k))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

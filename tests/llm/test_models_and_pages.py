@@ -44,6 +44,20 @@ def test_top_k_of_odd_vectors(spark, monkeypatch):
     assert topk.top_k(df.where("vec_id < 0"), F.col("vec_id") % 7 == 0).count() == 0
 
 
+def test_every_row_of_a_repeated_id_is_a_candidate(spark):
+    """A third of the rows share the id of a query, another third that of a candidate."""
+    rng = np.random.default_rng(7)
+    rows = [(i if i % 3 == 0 else 7 if i % 3 == 1 else 1, [float(x) for x in rng.normal(size=3)]) for i in range(300)] + [(1, [0.5, 0.0, 0.0]), (1, [0.9, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    whole = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows]
+    want = []
+    for q in sorted({i for i, _ in whole if i % 7 == 0}):
+        asks = min((v, n) for n, (i, v) in enumerate(whole) if i == q)
+        best = sorted((-sum(a * b for a, b in zip(asks[0], v)), i) for n, (i, v) in enumerate(whole) if n != asks[1])[:4]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 7 == 0, 4).collect()) == want
+
+
 def test_top_k_prunes_nothing_that_counts():
     rng = np.random.default_rng(3)
     x = rng.integers(-2000, 2000, (3000, 40)) * rng.lognormal(size=(3000, 1))
@@ -52,7 +66,8 @@ def test_top_k_prunes_nothing_that_counts():
     ids = rng.permutation(3000)
     turn = np.linalg.eigh(x.T.astype(float) @ x)[1][:, ::-1]
     q = x[::300]
-    kept = topk.best(q, ids[::300], np.full(len(q), -np.inf), x, ids, turn, 10)
+    numbers = np.arange(3000)
+    kept = topk.best(q, numbers[::300], np.full(len(q), -np.inf), x, ids, numbers, turn, 10)
     for n in range(len(q)):
         s = x @ q[n]
         assert kept[n] == [(int(s[i]), int(ids[i])) for i in np.lexsort((ids, -s)) if ids[i] != ids[::300][n]][:10]
