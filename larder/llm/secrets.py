@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.llm.common import table_of
@@ -46,6 +46,7 @@ RULES = BASE_RULES + MORE_RULES
 #: To be raised with every change of the rules; the ledger then scans all blobs anew.
 RULES_VERSION = "3"
 SPAN = "struct<start:int,rank:int,kind:string,stop:int>"
+LEDGER = f"blob string, rules_version string, spans array<{SPAN}>"
 
 
 def spans_of(text: Column, rule: Rule, rank: int) -> Column:
@@ -101,13 +102,23 @@ def scan(versions: DataFrame, ledger_path: str, rules: tuple = RULES, rules_vers
     """
     spark = versions.sparkSession
     versions = table_of(versions, "doc_id", "text")
-    old = spark.read.parquet(ledger_path) if _exists(versions, ledger_path) else None
+    old = spark.read.schema(LEDGER).parquet(ledger_path) if _exists(versions, ledger_path) else None
     new_findings(versions, old, rules, rules_version).write.mode("append").parquet(ledger_path)
-    ledger = spark.read.parquet(ledger_path).where(F.col("rules_version") == rules_version).select("blob", "spans")
+    ledger = findings(spark, ledger_path, rules_version)
     paths = versions.select("doc_id", blob_of(F.col("text")).alias("blob"))
     return paths.join(ledger, "blob", "left").select("doc_id", "blob", "spans")
 
 
+def findings(spark: SparkSession, ledger_path: str, rules_version: str = RULES_VERSION) -> DataFrame:
+    """(blob, spans) of a ledger, one row per blob.
+
+    Two writers that scan a blob at a time, or an append that is run again, leave
+    equal rows, of which one counts; a write that died leaves nothing to be read.
+    """
+    rows = spark.read.schema(LEDGER).parquet(ledger_path).where(F.col("rules_version") == rules_version)
+    return rows.select("blob", "spans").dropDuplicates(["blob"])
+
+
 def _exists(df: DataFrame, path: str) -> bool:
     """Whether the folder is there, asked of the store that Spark itself uses."""
     jvm = df.sparkSession.sparkContext._jvm

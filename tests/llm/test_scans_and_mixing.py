@@ -54,6 +54,19 @@ def test_secrets_by_brute_force(spark):
         assert set(text_of(want).split(",")) <= set(r["spans"].split(","))
 
 
+def test_a_ledger_told_twice_and_one_that_died(spark, tmp_path):
+    docs, path = frame(spark), str(tmp_path / "ledger")
+    want = sorted((str(r[0]), text_of(base_spans(r[1]))) for r in ODD)
+    # A first write that died leaves a folder without rows.
+    (tmp_path / "ledger" / "_temporary" / "0").mkdir(parents=True)
+    assert sorted((str(r["doc_id"]), r["spans"]) for r in shown(secrets.scan(docs, path)).collect()) == want
+    # Another writer that saw no ledger, and an append that was run again.
+    for _ in range(2):
+        secrets.new_findings(docs.select("doc_id", "text"), None).write.mode("append").parquet(path)
+    assert sorted((str(r["doc_id"]), r["spans"]) for r in shown(secrets.scan(docs, path)).collect()) == want
+    assert secrets.findings(spark, path).count() == len({r[1] or "" for r in ODD})
+
+
 def test_secrets_of_odd_rows(spark, tmp_path):
     got = shown(secrets.scan(frame(spark), str(tmp_path / "ledger"))).collect()
     want = sorted((str(r[0]), text_of(base_spans(r[1]))) for r in ODD)
