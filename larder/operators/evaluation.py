@@ -20,10 +20,16 @@ def attach_examples(outputs: DataFrame, examples: DataFrame) -> DataFrame:
 
 
 def coverage(inventory: Column, text: Column) -> Column:
-    """Share of the items that the text mentions; null without items. Both in lower case."""
+    """Share of the items that the text mentions; null without items. Both in lower case.
+
+    Items that are words of the text are found by hash; only what is left is searched for, in a text of any length.
+    """
     n = F.size(inventory)
-    hits = F.size(F.filter(inventory, lambda i: F.contains(text, i)))
-    return F.when(n > 0, hits / n)
+    missing = F.filter(F.array_except(inventory, F.split(text, " ")), lambda i: ~F.coalesce(F.contains(text, i), F.lit(False)))
+    # Of an item that is listed several times each counts.
+    listed = F.filter(inventory, lambda i: F.exists(missing, lambda m: m.eqNullSafe(i)))
+    lacking = F.when(F.size(missing) == 0, 0).when(F.size(F.array_distinct(inventory)) == n, F.size(missing)).otherwise(F.size(listed))
+    return F.when(n > 0, (n - lacking) / n)
 
 
 def example_metrics(df: DataFrame, policy: str = "eval") -> DataFrame:

@@ -134,5 +134,5 @@ def answer_recipes(answers: DataFrame, text_col: str = "answer") -> DataFrame:
     value = F.try_parse_json(F.col(text_col))
     listed = F.when(F.startswith(F.schema_of_variant(value), F.lit("ARRAY")), F.try_variant_get(value, "$", "array<variant>"))
     others = [c for c in answers.columns if c != text_col]
-    rows = answers.select(*others, F.posexplode(F.transform(listed, F.to_json)).alias("_at", "recipe"))
+    rows = answers.select(*others, F.posexplode(F.transform(listed, lambda e: F.to_json(e))).alias("_at", "recipe"))
     return rows.select(*others, (F.col("_at") + 1).alias("place"), "recipe")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from larder.functions.text import hash_bucket
 from larder.functions.units import canonical_qty, canonical_unit, convert_unit, price_per_unit
+from larder.session import settled
 
 
 def items_of(inventory: DataFrame, user_id) -> DataFrame:
@@ -26,9 +27,10 @@ def in_stock_by_user(inventory: DataFrame, part_size: int = 1000) -> DataFrame:
     A user with more than ``part_size`` items gets several rows (``part`` 0, 1,
     ..., by the hash of the item id, whatever the ids have in common), so that no
     list grows with the hottest user; all parts together are the whole list.
-    Only the users above the size are joined to their number of parts.
+    Only the users above the size are joined to their number of parts. The stock
+    is written once, for the counts and for the lists.
     """
-    stock = in_stock(inventory)
+    stock = settled(in_stock(inventory).select("user_id", "item_id", "item_name", "quantity", "unit"), "stock")
     sizes = stock.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > part_size).select(
         "user_id", F.ceil(F.col("_n") / F.lit(part_size)).cast("int").alias("_parts")
     )

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from larder.operators import activity, evaluation, preferences, quality, stock, training
+from larder.operators import activity, evaluation, payloads, preferences, quality, ranking, stock, training
 from larder.operators.payloads import receipt_items
 from larder.plans import jobs
 from larder.operators.requests import histogram_rows, latency_histogram
@@ -290,3 +290,51 @@ def test_dashboard(spark):
     assert got["recipes"] == [(5, 5, 3, 2, 1, 0, 60.0, 0.0, 66.7)] and got["comparisons"] == [(2, 1, 1, 50.0)]
     assert got["categories"] == [("Uncategorized", 1), ("dairy", 1)] and got["top_users"] == [(1, "ann", 5)]
     assert len(got["growth"]) == len(got["recipes_by_day"]) == 7
+
+
+def test_coverage_counts_items_that_are_words_or_parts_of_words(spark):
+    rows = [
+        (["rice", "egg"], "fried rice"), (["rice", "rice", "egg", "egg"], "fried rice"), (["ric"], "rice"), ([], "rice"), (None, "rice"),
+        (["rice", None], "rice"), (["two words", "words two"], "two words here"), ([""], "x"), (["zz", "zz", None, None], "rice"),
+        ([f"w{i}" for i in range(3000)], " ".join(f"w{i}" for i in range(1500, 6000))),
+    ]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, inventory array<string>, text string")
+    got = [r[1] for r in sorted(df.select("i", evaluation.coverage(F.col("inventory"), F.col("text"))).collect())]
+    want = [None if not inv else sum(x is not None and x in text for x in inv) / len(inv) for inv, text in rows]
+    assert got == want
+
+
+def test_cooking_from_stored_recipes(spark, tmp_path, rows):
+    recipes = [
+        (1, 1, '{"recipe": {"main_ingredients": ["1 kg rice", {"name": "2 lb chicken breast"}, "", 7]}}', 2, False),
+        (2, 1, '{"main_ingredients": ["1 kg rice"]}', None, False), (3, 1, "no JSON", 1, False), (4, 1, None, 1, True), (5, 2, '{"main_ingredients": "rice"}', 1, None),
+    ]
+    history = spark.createDataFrame(recipes, "id int, user_id int, recipe_json string, servings int, is_cooked boolean")
+    inventory = spark.createDataFrame(
+        [(1, 1, "Chicken Breast", 5.0, "lb"), (1, 2, "Rice", 3.5, "kg"), (2, 1, "Rice", 9.0, "kg")],
+        "user_id int, item_id int, item_name string, quantity double, unit string")
+    done = jobs.cook_job(history, inventory, spark.createDataFrame([(1,), (1,), (3,), (5,), (99,)], "id int"), str(tmp_path))
+    assert rows(done["inventory"].select("user_id", "item_id", "quantity")) == [(1, 1, 1.0), (1, 2, 1.5), (2, 1, 9.0)]
+    assert rows(done["history"].select("id", "is_cooked")) == [(1, True), (2, False), (3, True), (4, True), (5, True)]
+
+
+def test_pairs_of_users_who_have_enough(spark, tmp_path, rows):
+    data = [
+        (1, 7, "p1", '{"a": 1}', '{"b": 1}', "A", "B", False), (2, 7, "p2", '{"a": 2}', '{"b": 2}', "B", "A", False), (3, 7, "p3", "", '{"b": 3}', "A", "B", False),
+        (4, 7, "p4", "x", "y", "A", "B", None), (5, 8, "p5", "x", "y", "A", "B", False), (6, 9, "p6", "x", "y", "A", "B", False), (7, 8, "p7", "x", "y", None, None, False),
+    ]
+    prefs = spark.createDataFrame(
+        [(*r, AS_OF) for r in data],
+        "id int, user_id long, prompt string, variant_a_raw string, variant_b_raw string, chosen_variant string, rejected_variant string, skipped boolean, created_at timestamp_ntz")
+    users = spark.createDataFrame([(7, "ann"), (8, "bo")], "id long, username string")
+    done = jobs.export_user_pairs_job(prefs, users, str(tmp_path), min_n=3)
+    assert rows(done["status"]) == [(7, "ann", 3, 2, "pending"), (8, "bo", 1, 1, "collecting")]
+    assert rows(done["pairs"].select("user_id", "prompt", "chosen", "rejected")) == [(7, "p1", '{"a": 1}', '{"b": 1}'), (7, "p2", '{"b": 2}', '{"a": 2}')]
+
+
+def test_answers_with_several_candidates(spark, rows):
+    answers = [(1, '[{"name": "a"}, "text", 3, null]'), (2, '{"name": "a"}'), (3, "[ broken"), (4, None), (5, "[]")]
+    got = payloads.answer_recipes(spark.createDataFrame(answers, "request_id int, answer string"))
+    assert rows(got) == [(1, 1, '{"name":"a"}'), (1, 2, '"text"'), (1, 3, "3"), (1, 4, "null")]
+    scored = spark.createDataFrame([(1, 1, 0.5), (1, 2, None), (1, 3, 0.9), (1, 4, 0.5)], "request_id int, place int, score double")
+    assert rows(ranking.ordered_by_score(scored).select("place", "position")) == [(1, 2), (2, 4), (3, 1), (4, 3)]
