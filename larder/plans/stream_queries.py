@@ -31,18 +31,25 @@ def _counted(spark, stream, part, whole):
     return whole(sinks.all_parts(spark, f"{base}/parts"))
 
 
-def files_stream(spark, d, number, files=5):
-    """The events as files that arrive one after the other, a batch each; ``number`` tells the file of an event."""
+def arrivals(spark, d, number, loads=5):
+    """Events that arrive load by load, as a folder of files each; ``number`` tells the load of an event.
+
+    Yields the same stream after every arrival: run to its end from its checkpoint, it
+    reads the load as one batch, into however many files a large load is written.
+    """
     path = scratch_path(spark, "files")
-    table(spark, d, "events").withColumn("file", number).write.partitionBy("file").parquet(f"{path}/all")
-    for k in range(files):
-        spark.read.parquet(f"{path}/all").where(F.col("file") == k).drop("file").write.parquet(f"{path}/one/{k}")
-    return streams.read_stream(spark, f"{path}/one/*", EVENTS, files_per_batch=1)
+    table(spark, d, "events").withColumn("load", number).write.partitionBy("load").parquet(f"{path}/all")
+    for k in range(loads):
+        spark.read.parquet(f"{path}/all").where(F.col("load") == k).drop("load").write.parquet(f"{path}/one/{k}")
+        yield streams.read_stream(spark, f"{path}/one/*", EVENTS, files_per_batch=1 << 30)
 
 
 def scattered(spark, d):
-    """Events dealt to files by their number, so that every file but the first is late in every day."""
-    return files_stream(spark, d, F.col("event_id") % 5)
+    """Events dealt to files by their number, so that every file but the first is late in every day; every file is a batch."""
+    path = scratch_path(spark, "files")
+    for k in range(5):
+        table(spark, d, "events").where(F.col("event_id") % 5 == k).write.parquet(f"{path}/one/{k}")
+    return streams.read_stream(spark, f"{path}/one/*", EVENTS, files_per_batch=1)
 
 
 DAILY = "SELECT ts::DATE AS day, count(*) AS n FROM events GROUP BY ALL"
@@ -124,14 +131,16 @@ SELECT 'dislike_streak' AS kind, user_id, id, 'User ' || user_id || ': the last
 FROM r WHERE k = 3 AND streak"""
 
 
-def _alerts(spark, stream, **how):
+def _alerts(spark, runs, **how):
+    """The alerts of a stream that is run once per element of ``runs``, always from the same checkpoint."""
     base = scratch_path(spark, "stream")
-    streaks = streams.stream_streak_alerts(as_history(stream), 3, **how)
     text = F.format_string("User %s: the last %s recipes were disliked", "user_id", "n_ratings")
-    sinks.finish(
-        streaks.writeStream.foreachBatch(sinks.write_alerts(f"{base}/alerts", "dislike_streak", text)).outputMode("update")
-        .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
-    )
+    for stream in runs:
+        streaks = streams.stream_streak_alerts(as_history(stream), 3, **how)
+        sinks.finish(
+            streaks.writeStream.foreachBatch(sinks.write_alerts(f"{base}/alerts", "dislike_streak", text)).outputMode("update")
+            .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+        )
     rows = spark.read.schema("kind string, user_id bigint, id bigint, message string").json(f"{base}/alerts/*/*/")
     return rows.select("kind", "user_id", "id", "message")
 
@@ -139,20 +148,20 @@ def _alerts(spark, stream, **how):
 @query("stream_alerts", ALERTS)
 def stream_alerts(spark, d):
     """An alert for every dislike that completes or goes on with a streak."""
-    return _alerts(spark, events_stream(spark, d))
+    return _alerts(spark, [events_stream(spark, d)])
 
 
 def in_time_order(spark, d):
-    """The events as files in the order of time, cut at fifths of the time that they span."""
+    """The events as loads in the order of time, cut at fifths of the time that they span."""
     ends = table(spark, d, "events").agg(F.min("ts").alias("low"), F.max("ts").alias("high")).first()
     low, high = F.unix_micros(F.lit(ends["low"]).cast("timestamp")), F.unix_micros(F.lit(ends["high"]).cast("timestamp"))
     at = F.unix_micros(F.col("ts").cast("timestamp"))
-    return files_stream(spark, d, F.least(F.floor(5 * (at - low) / (high - low + 1)), F.lit(4)))
+    return arrivals(spark, d, F.least(F.floor(5 * (at - low) / (high - low + 1)), F.lit(4)))
 
 
 @query("stream_alerts_files", ALERTS)
 def stream_alerts_files(spark, d):
-    """The same from files in the order of time."""
+    """The same from loads in the order of time."""
     return _alerts(spark, in_time_order(spark, d))
 
 
@@ -175,7 +184,7 @@ def stream_alerts_seeded(spark, d):
     seed = streams.last_ratings(history.where(F.col("created_at") < F.lit(cut)), 3)
     seed.coalesce(1).write.parquet(path)
     later = events_stream(spark, d).where(F.col("ts") >= F.lit(cut))
-    return _alerts(spark, later, seed=streams.read_stream(spark, path, seed.schema))
+    return _alerts(spark, [later], seed=streams.read_stream(spark, path, seed.schema))
 
 
 @query("stream_compacted_counts", DAILY)

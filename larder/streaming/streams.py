@@ -104,10 +104,18 @@ def _per_user(ratings: DataFrame, update, out: str, retention: str | None, laten
 
 
 def _keep(state: GroupState, kept: list, span: int | None) -> None:
-    """Store the ratings; with a retention, until it has passed since the last of them."""
+    """Store the ratings; with a retention, until it has passed since the last of them.
+
+    A batch may hold ratings as far behind the stream's time that it has passed already: no rating still to come is near enough.
+    """
+    end = None if span is None else (max(kept)[0] + span) // 1000 + 1
+    if end is not None and end <= state.getCurrentWatermarkMs():
+        if state.exists:
+            state.remove()
+        return
     state.update(tuple(list(c) for c in zip(*kept)))
-    if span is not None:
-        state.setTimeoutTimestamp((max(kept)[0] + span) // 1000 + 1)
+    if end is not None:
+        state.setTimeoutTimestamp(end)
 
 
 def stream_user_streaks(

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from larder.operators.activity import user_streaks
 from larder.operators.preferences import usable_counts
+from larder.plans import stream_queries
+from larder.plans.bindings import as_history
 from larder.sources.readers import read_request_log
 from larder.session import scratch_path, shared_folder
 from larder.streaming import sinks, streams
@@ -205,6 +207,35 @@ def test_state_of_silent_users_is_dropped(spark):
     assert max(held) <= 15
 
 
+def test_ratings_behind_a_retention_that_has_passed(spark):
+    """The second file's ratings are not late for Spark, which asks the time before the batch, but their retention has passed."""
+    days = [(0, 0), (1, 12), (0, 1), (0, 1), (0, 1), (2, 13), (2, 13), (2, 13), (2, 14)]
+    files = [days[:2], days[2:5], days[5:]]
+    rows = [(10 * n + i, user, 1, START + timedelta(days=day, minutes=i), "A", False) for n, f in enumerate(files) for i, (user, day) in enumerate(f)]
+    path, base = scratch_path(spark, "events"), scratch_path(spark, "run")
+    for n in range(3):
+        spark.createDataFrame([r for r in rows if r[0] // 10 == n], SCHEMA).coalesce(1).write.parquet(f"{path}/{n}")
+    alerts = streams.stream_streak_alerts(
+        streams.read_stream(spark, f"{path}/*", SCHEMA, files_per_batch=1), 3, retention="2 days", lateness="0 seconds")
+    sinks.finish(sinks.write_updates(alerts, f"{base}/rows", f"{base}/checkpoint"))
+    got = sorted((r.user_id, r.id) for r in spark.read.parquet(f"{base}/rows").collect())
+    assert got == gap_alerts(spark.createDataFrame(rows, SCHEMA).collect(), 3, timedelta(days=2)) and (0, 11) in got and (2, 23) in got
+
+
+def test_alerts_of_loads_in_many_files(spark, tmp_path):
+    """A table in many files makes loads of many files, each of which spans the whole time of its load."""
+    at = F.expr("timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(0, 0, int(id * 7 % 4000) * 10)")
+    events = spark.range(0, 4000, 1, 16).select(
+        F.col("id").alias("event_id"), at.alias("ts"), F.pmod(F.xxhash64("id"), F.lit(50)).alias("user_id"),
+        F.when(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(4)) == 0, "purchase").otherwise("error").alias("event_type"),
+        F.lit(1.0).alias("value"), F.lit('{"k": 1}').alias("props"))
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    rated = as_history(spark.read.parquet(f"{tmp_path}/events.parquet")).collect()
+    got = sorted((r.user_id, r.id) for r in stream_queries.stream_alerts_expiring(spark, str(tmp_path)).collect())
+    want = gap_alerts(rated, 3, timedelta(days=2))
+    assert got == want and len(want) < len(gap_alerts(rated, 3, timedelta(days=99)))
+
+
 def test_a_stream_begins_with_what_a_table_left(spark, events):
     rated = [r for r in events.collect() if r.feedback_score in (1, 2)]
     cut = START + timedelta(days=3)
