@@ -1,4 +1,5 @@
-from datetime import date, datetime
+import json
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import Observation
@@ -338,3 +339,21 @@ def test_answers_with_several_candidates(spark, rows):
     assert rows(got) == [(1, 1, '{"name":"a"}'), (1, 2, '"text"'), (1, 3, "3"), (1, 4, "null")]
     scored = spark.createDataFrame([(1, 1, 0.5), (1, 2, None), (1, 3, 0.9), (1, 4, 0.5)], "request_id int, place int, score double")
     assert rows(ranking.ordered_by_score(scored).select("place", "position")) == [(1, 2), (2, 4), (3, 1), (4, 3)]
+
+
+def test_a_user_has_one_file_of_pairs(spark, tmp_path):
+    """Rows of a user come from many tasks; the files hold them in order, one for every user with few pairs, several for a hot one."""
+    schema = "id long, user_id long, created_at timestamp_ntz, prompt string, variant_a_raw string, variant_b_raw string, chosen_variant string, rejected_variant string, skipped boolean"
+    start = datetime(2024, 1, 1)
+    owners = [1 if i % 2 else i % 9 for i in range(400)]
+    prefs = spark.createDataFrame(
+        [(i, u, start + timedelta(minutes=i * 37 % 400), f"{i * 37 % 400:03d}", "a", "b", "A", "B", False) for i, u in enumerate(owners)], schema).repartition(8)
+    users = spark.createDataFrame([(u, f"u{u}") for u in range(9)], "id long, username string")
+    for name, how, most in (("whole", {}, 400), ("split", {"most": 100}, 100)):
+        done = jobs.export_user_pairs_job(prefs, users, f"{tmp_path}/{name}", min_n=3, **how)
+        assert sorted((r.user_id, r.prompt) for r in done["pairs"].collect()) == sorted((u, f"{i * 37 % 400:03d}") for i, u in enumerate(owners))
+        for u in set(owners):
+            files = list((tmp_path / name / "pairs" / f"user_id={u}").glob("*.json"))
+            own = [[json.loads(line)["prompt"] for line in f.read_text().splitlines()] for f in files]
+            assert len(files) == 1 if owners.count(u) <= most else len(files) > 1
+            assert all(rows == sorted(rows) and len(rows) <= most for rows in own)
