@@ -1,10 +1,12 @@
 import json
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from larder.functions import diet, text
-from larder.functions.json_recovery import recover_json, recover_text
+from larder.functions.json_recovery import recover_json, recover_text, recover_texts
 from larder.functions.rates import pct, whole_pct
 
 
@@ -134,3 +136,18 @@ def test_diet_messages(spark):
     assert by_word[0] == [] and by_word[1] == ["VEGAN: peanut butter (dairy: butter)"]
     documented = [r[0] for r in df.select(diet.diet_violations(F.col("tags"), F.col("items"), "documented")).collect()]
     assert documented[5] == ["GLUTEN-FREE: bread (contains: bread)"]
+
+
+def test_recovery_holds_a_slice_of_a_batch():
+    """What a batch of texts costs in Python objects doesn't grow with the batch."""
+    text = json.dumps({"status": "ok", "recipe": {"steps": "é stir " * 350}}, ensure_ascii=False)
+    peaks = []
+    for n in (2_000, 20_000):
+        batch = pa.array([text, None, "", "no object"] * (n // 4))
+        tracemalloc.start()
+        found = [(p.field("valid").true_count, len(p)) for p in recover_texts(iter([batch]), "service")]
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert [sum(c) for c in zip(*found)] == [n // 4, n]
+    assert peaks[1] < 2 * peaks[0]
+    assert sum(len(p) for p in recover_texts(iter([pa.array([], pa.string()), pa.array([text])]), "service")) == 1
