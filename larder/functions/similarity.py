@@ -94,6 +94,15 @@ class Names:
         return out
 
 
+def _numbered(keys: np.ndarray, space: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys below ``space`` in order, and the number of each key among them; marked in a table unless the keys are few for it."""
+    if space > 8 * len(keys):
+        return np.unique(keys, return_inverse=True)
+    there = np.zeros(space, dtype=bool)
+    there[keys] = True
+    return np.flatnonzero(there), (np.cumsum(there, dtype=np.int64) - 1)[keys]
+
+
 class Pairs:
     """The distinct pairs of (ingredient, item) names of a batch of lists, each bounded and scored once."""
 
@@ -112,7 +121,7 @@ class Pairs:
         self.segment = np.repeat(np.arange(sum(a for a, _ in sizes)), np.repeat([b for _, b in sizes], [a for a, _ in sizes]).astype(np.int64))
         self.at = np.concatenate([np.tile(np.arange(b), a) for a, b in sizes] or [np.zeros(0, dtype=np.int64)]).astype(np.int64)
         every = np.concatenate([np.repeat(a, len(b)) * len(right_of) + np.tile(b, len(a)) for a, b in zip(a_ids, b_ids)] or [np.zeros(0, dtype=np.int64)])
-        keys, self.pair = np.unique(every, return_inverse=True)
+        keys, self.pair = _numbered(every, len(left_of) * len(right_of))
         self.a, self.b = keys // max(len(right_of), 1), keys % max(len(right_of), 1)
 
     def bounds(self, min_score: float) -> np.ndarray:

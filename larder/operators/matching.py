@@ -83,16 +83,17 @@ def best_item_match(
     """The one item of the user with the highest similarity per ingredient name.
 
     Ties go to the lowest item id; names without a match of ``min_score`` give
-    no row. Equal names are joined directly, the rest is compared in lists.
+    no row. Equal names are joined directly, the rest is compared in lists; which
+    names are equal is written once for both.
     """
     wanted = settled(_names(ingredients.select("user_id", "ingredient").distinct(), "ingredient"), "wanted")
-    names = wanted.select("user_id", "_name").distinct()
     items = settled(_item_names(inventory), "items")
     short = F.length("_name") < EXACT_LENGTH
-    equal = names.filter(short).join(items, ["user_id", "_name"]).select(
-        "user_id", "_name", "item_id", F.lit(1.0).alias("score")
-    )
-    rest = names.join(equal.select("user_id", "_name"), ["user_id", "_name"], "left_anti")
+    names = settled(
+        wanted.select("user_id", "_name").distinct()
+        .join(items.filter(short).withColumn("_equal", F.lit(True)), ["user_id", "_name"], "left"), "names")
+    equal = names.filter("_equal").select("user_id", "_name", "item_id", F.lit(1.0).alias("score"))
+    rest = names.filter(F.col("_equal").isNull()).select("user_id", "_name")
     found = best_in_block(F.col("names"), F.transform("items", lambda i: i["_name"]), min_score)
     scored = (
         _block_pairs(rest, items, block)
@@ -119,7 +120,7 @@ def matching_items(
 ) -> DataFrame:
     """Per ingredient name how many item names of the user match it (shared word or similarity)."""
     wanted = settled(_names(ingredients.select("user_id", "ingredient").distinct(), "ingredient"), "wanted")
-    names = wanted.select("user_id", "_name").distinct()
+    names = settled(wanted.select("user_id", "_name").distinct(), "names")
     items = settled(_item_names(inventory), "items")
     counts = match_counts_in_block(F.col("names"), F.transform("items", lambda i: i["_name"]), min_score)
     found = (
@@ -151,7 +152,7 @@ def containing_item(ingredients: DataFrame, inventory: DataFrame, keep=()) -> Da
     id per (user, name) ahead of the last one.
     """
     wanted = settled(_names(ingredients.select("user_id", "ingredient").distinct(), "ingredient", collapse=True), "wanted")
-    names = wanted.select("user_id", "_name").distinct()
+    names = settled(wanted.select("user_id", "_name").distinct(), "names")
     items = settled(_item_names(inventory, collapse=True, keep=keep), "items")
     inside_item = (
         items.join(_contained(items, names), "_name")
@@ -172,10 +173,10 @@ def containing_item(ingredients: DataFrame, inventory: DataFrame, keep=()) -> Da
 
 def ingredient_availability(ingredients: DataFrame, inventory: DataFrame, low: float = 0.1) -> DataFrame:
     """Per (user, recipe, ingredient) the item it is taken from, and whether it is missing or low."""
-    first = containing_item(ingredients, inventory, keep=("quantity",))
+    rows = settled(ingredients.select("user_id", "recipe_id", "ingredient"), "ingredients")
+    first = containing_item(rows, inventory, keep=("quantity",))
     return (
-        ingredients.select("user_id", "recipe_id", "ingredient")
-        .join(first, ["user_id", "ingredient"], "left")
+        rows.join(first, ["user_id", "ingredient"], "left")
         .select(
             "user_id", "recipe_id", "ingredient", "item_id",
             F.col("item_id").isNull().alias("missing"),
@@ -262,6 +263,7 @@ def cook_deductions(cooked: DataFrame, inventory: DataFrame, min_score: float =
 
 
 def apply_cooked(cooked: DataFrame, inventory: DataFrame, event_id: str = "id", min_score: float = 0.45) -> DataFrame:
-    """The inventory after a set of cook events, each event counted once."""
+    """The inventory after a set of cook events, each event counted once; the inventory is written once for all that read it."""
+    inventory = settled(inventory, "inventory")
     once = cooked.dropDuplicates([event_id])
     return deduct(inventory, cook_deductions(once, inventory, min_score))

@@ -2,6 +2,7 @@ import random
 from difflib import SequenceMatcher
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,3 +149,11 @@ def test_cooked_recipe(spark):
     pieces = spark.createDataFrame([(1, 1, ["3 pcs rice"], 0)], "id int, user_id int, main_ingredients array<string>, servings int")
     left = {(r.user_id, r.item_id): r.quantity for r in matching.apply_cooked(pieces, inventory).collect()}
     assert left[1, 2] == 0.5
+
+
+def test_keys_are_numbered_alike_by_table_and_by_sorting():
+    keys = np.array([7, 3, 3, 9, 0, 7], dtype=np.int64)
+    for space in (10, 1000):
+        found, at = sim._numbered(keys, space)
+        assert found.tolist() == [0, 3, 7, 9] and found[at].tolist() == keys.tolist()
+    assert [len(x) for x in sim._numbered(keys[:0], 0)] == [0, 0]
