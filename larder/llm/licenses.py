@@ -1,10 +1,11 @@
 """License notices found by conditional compression.
 
 Candidate blocks are the lines and paragraphs with a license's cue words. Around
-each cue every wording has a window of its own length. Wordings that share enough
-words with their window are confirmed by their exact differences, and the window
-is compressed with zstandard, once alone and once with the wording as raw
-dictionary: what that saves tells how much of the window is the wording.
+each cue every wording has a window of its own length, which is compressed with
+zstandard, once alone and once with the wording as raw dictionary. Wordings that
+save a share of what they save on themselves are ranked by the bytes saved and
+confirmed by their exact differences in words; of those that lie over each other
+the one that saves most is the notice.
 """
 
 from __future__ import annotations
@@ -23,10 +24,11 @@ from larder.llm.common import chunks_of, table_of
 
 #: Share of a wording's words that may differ.
 MOST_DIFFERENCES = 0.2
-#: Share of its size that a block must save with the dictionary.
+#: Share of the bytes that a wording saves on itself that a window must save with it.
 LEAST_SAVED = 0.2
 SLICE = 4 << 20
-LEVEL = 3
+#: The level that finds matches of three bytes: notices are short.
+LEVEL = 19
 
 # License names and wordings of their notices.
 WORDINGS = (
@@ -62,7 +64,7 @@ WORDINGS = (
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
 )
-CUES = re.compile(r"licen[cs]e|permission (?:is hereby|to use)|redistribut|public domain", re.I)
+CUES = re.compile(r"licen[cs]e|permission\s+(?:is\s+hereby|to\s+use)|redistribut|public\s+domain", re.I)
 
 PART = re.compile(r"\S+")
 
@@ -71,6 +73,11 @@ def bare(word: str) -> str:
     return word.strip(".,;:()\"'").lower()
 
 
+def packed(block: list[str]) -> bytes:
+    """Words as they are compressed: line breaks and punctuation between them make no difference."""
+    return " ".join(block).encode("utf-8", "replace")
+
+
 class Wording:
     """A wording, ready to be compared with blocks."""
 
@@ -81,12 +88,14 @@ class Wording:
         self.radius = len(self.words) + int(MOST_DIFFERENCES * len(self.words)) + 1
         # Versions and short names tell licenses apart; a block must have them all.
         self.needed = {bare(w) for w in text.split() if re.search(r"\d", w) or bare(w).upper() == w.strip(".,;:()\"'") and len(bare(w)) > 1}
-        raw = zstandard.ZstdCompressionDict(text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        own = packed(self.words)
+        raw = zstandard.ZstdCompressionDict(own, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=raw)
+        self.floor = LEAST_SAVED * self.saved(own, len(zstandard.ZstdCompressor(level=LEVEL).compress(own)))
 
-    def saved(self, block: bytes, plain: int) -> float:
-        """The share of the block's compressed size that knowing the wording saves."""
-        return 1 - len(self.compressor.compress(block)) / plain
+    def saved(self, block: bytes, plain: int) -> int:
+        """The bytes of the block's compressed size that knowing the wording saves."""
+        return plain - len(self.compressor.compress(block))
 
     def possible(self, block: list[str]) -> bool:
         """Whether a block has the needed words and so many of the wording's that no more than MOST_DIFFERENCES can differ."""
@@ -117,28 +126,36 @@ def blocks_of(text: str) -> list[tuple[int, int]]:
     return sorted(set(out))
 
 
+def ranked(words: list[str], cue: int, wordings: list[Wording], alone: zstandard.ZstdCompressor) -> list[tuple[int, float, int, list[str], Wording]]:
+    """(bytes saved, their share, window's first word, window, wording) around a cue, what saves most first; wordings below their floor are left out."""
+    out, windows = [], {}
+    for w in wordings:
+        if w.radius not in windows:
+            low = max(0, cue - w.radius)
+            window = words[low:cue + w.radius + 1]
+            block = packed(window)
+            windows[w.radius] = low, window, block, len(alone.compress(block))
+        low, window, block, plain = windows[w.radius]
+        saved = w.saved(block, plain)
+        if saved >= w.floor:
+            out.append((saved, saved / plain, low, window, w))
+    return sorted(out, key=lambda r: -r[0])
+
+
 def notices(text: str, wordings: list[Wording]) -> list[tuple[str, int, int, float, int]]:
-    """(license, start, end, saved, differences) of a text, places in code points; one for each place, the best."""
+    """(license, start, end, saved, differences) of a text, places in code points; one for each place, the one that saves most."""
     found = set()
     alone = zstandard.ZstdCompressor(level=LEVEL)
     for start, end in blocks_of(text):
         words = list(PART.finditer(text, start, end))
         starts, all_bare = [w.start() for w in words], [bare(w.group()) for w in words]
         for cue in sorted({bisect_right(starts, m.start()) - 1 for m in CUES.finditer(text, start, end)}):
-            for w in wordings:
-                low = max(0, cue - w.radius)
-                own = all_bare[low:cue + w.radius + 1]
-                if not w.possible(own):
-                    continue
-                d = w.differences(own)
+            for saved, share, low, window, w in ranked(all_bare, cue, wordings, alone):
+                d = w.differences(window) if w.possible(window) else None
                 if d and d[2] <= MOST_DIFFERENCES * len(w.words):
-                    window = words[low:cue + w.radius + 1]
-                    block = text[window[0].start():window[-1].end()].lower().encode("utf-8", "replace")
-                    saved = w.saved(block, len(alone.compress(block)))
-                    if saved >= LEAST_SAVED or d[1] - d[0] < len(own):
-                        found.add((w.name, window[d[0]].start(), window[d[1] - 1].end(), saved, d[2], len(w.words)))
+                    found.add((w.name, words[low + d[0]].start(), words[low + d[1] - 1].end(), share, d[2], len(w.words), saved))
     best: list[tuple] = []
-    for f in sorted(found, key=lambda f: (f[4], -f[5], -f[3], f[1], f[0])):
+    for f in sorted(found, key=lambda f: (-f[6], f[4], -f[5], -f[3], f[1], f[0])):
         if all(f[2] <= b[1] or f[1] >= b[2] for b in best):
             best.append(f)
     return sorted((f[:5] for f in best), key=lambda f: f[1])

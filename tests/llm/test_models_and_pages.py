@@ -212,6 +212,37 @@ def test_license_wordings(text, want):
     assert [n[0] for n in licenses.notices(text, [licenses.Wording(*w) for w in licenses.WORDINGS])] == want
 
 
+LONG_APACHE = next(t for n, t in licenses.WORDINGS if n == "Apache-2.0" and "obtain" in t).replace("this file", "that file")
+
+
+def test_license_that_saves_most_is_the_notice():
+    # The short wording is there word by word, the long one with a word changed: it explains more of the text.
+    text = f"Some words ahead. {LONG_APACHE} an address."
+    assert [(n[0], text[n[1]:n[2]]) for n in licenses.notices(text, [licenses.Wording(*w) for w in licenses.WORDINGS])] == [("Apache-2.0", LONG_APACHE)]
+
+
+def test_license_wordings_are_ranked_by_bytes_saved():
+    ready = [licenses.Wording(*w) for w in licenses.WORDINGS]
+    alone = licenses.zstandard.ZstdCompressor(level=licenses.LEVEL)
+    found = licenses.ranked([licenses.bare(w) for w in LONG_APACHE.split()], 0, ready, alone)
+    assert found[0][-1].text == LONG_APACHE.replace("that file", "this file")
+    assert [f[0] for f in found] == sorted((f[0] for f in found), reverse=True) and all(f[0] >= f[-1].floor for f in found)
+    assert not licenses.ranked("a licence of the driver was lost on monday".split(), 1, ready, alone)
+
+
+def test_license_without_savings_is_none(monkeypatch):
+    ready = [licenses.Wording(*w) for w in licenses.WORDINGS]
+    assert len(licenses.notices(f"ahead {LONG_APACHE} behind", ready)) == 1
+    monkeypatch.setattr(licenses.Wording, "saved", lambda self, block, plain: 0)
+    assert licenses.notices(f"ahead {LONG_APACHE} behind", ready) == []
+
+
+def test_license_with_a_word_to_a_line():
+    ready = [licenses.Wording(*w) for w in licenses.WORDINGS]
+    for name, text in licenses.WORDINGS:
+        assert [n[0] for n in licenses.notices("\n".join(f"ahead {text} behind".split()), ready)] == [name]
+
+
 def test_licenses_of_odd_rows(spark):
     df = spark.createDataFrame(ODD + [(None, "Licensed under CC0 1.0.", 0, "w", 0)], DOCS)
     assert [(r["doc_id"], r["license"], r["start"], r["stop"]) for r in licenses.licensed(df).collect()] == [(None, "CC0-1.0", 0, 23)]
