@@ -148,91 +148,137 @@ class Network:
             at += v.size
         return Network(out)
 
-    def states(self, gates: np.ndarray, keep: np.ndarray, h: np.ndarray, trace: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(step, lane, STATE) states after each step, and the last one."""
-        u = self.w["state"]
-        out = np.empty((*gates.shape[:2], STATE), np.float32)
-        for t in range(len(gates)):
-            h = h * keep[t, :, None]
-            a, b = gates[t], h @ u
-            zr = 1 / (1 + np.exp(-(a[:, :2 * STATE] + b[:, :2 * STATE])))
-            z, r = zr[:, :STATE], zr[:, STATE:]
-            n = np.tanh(a[:, 2 * STATE:] + r * b[:, 2 * STATE:])
-            if trace is not None:
-                trace.append((h, z, r, n, b[:, 2 * STATE:]))
-            h = n + z * (h - n)
-            out[t] = h
-        return out, h
+    def gates(self, x: np.ndarray) -> np.ndarray:
+        """(step, lane, 3 * STATE) what embedded inputs give the gates, in memory with the lanes side by side."""
+        out = self.w["input"].T @ x.transpose(0, 2, 1)
+        out += self.w["offset"][:, None]
+        return out.transpose(0, 2, 1)
+
+    def states(self, gates: np.ndarray, keep: np.ndarray, h: np.ndarray, trace: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(step, lane, STATE) states after each step, and the last one; ``trace`` gets (step, STATE, lane) parts for the gradients."""
+        gates = np.ascontiguousarray(gates.transpose(0, 2, 1))
+        u = np.ascontiguousarray(self.w["state"].T)
+        steps, _, width = gates.shape
+        kept = steps if trace is not None else 1
+        before, n = (np.empty((kept, STATE, width), gates.dtype) for _ in range(2))
+        zr, b = np.empty((kept, 2 * STATE, width), gates.dtype), np.empty((kept, 3 * STATE, width), gates.dtype)
+        out = np.empty((steps, STATE, width), gates.dtype)
+        h = h.T
+        for t in range(steps):
+            k = t % kept
+            np.multiply(h, keep[t], out=before[k])
+            np.matmul(u, before[k], out=b[k])
+            # The sigmoid and the state's update, in place.
+            np.add(gates[t, :2 * STATE], b[k, :2 * STATE], out=zr[k])
+            np.negative(zr[k], out=zr[k])
+            np.exp(zr[k], out=zr[k])
+            zr[k] += 1
+            np.reciprocal(zr[k], out=zr[k])
+            np.multiply(zr[k, STATE:], b[k, 2 * STATE:], out=n[k])
+            n[k] += gates[t, 2 * STATE:]
+            np.tanh(n[k], out=n[k])
+            h = np.subtract(before[k], n[k], out=out[t])
+            h *= zr[k, :STATE]
+            h += n[k]
+        if trace is not None:
+            trace.update(before=before, z=zr[:, :STATE], r=zr[:, STATE:], n=n, candidate=b[:, 2 * STATE:])
+        return out.transpose(0, 2, 1), h.T.copy()
 
     def log_probabilities(self, h: np.ndarray, target: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural logarithms for rows of states and targets; with ``grads``, adds the loss's gradients and returns that of the states."""
-        cls, rows = target // MEMBERS, np.arange(len(target))
-        logits = h @ self.w["class"] + self.w["class_offset"]
-        logits -= logits.max(axis=1, keepdims=True)
-        p = np.exp(logits)
-        total = p.sum(axis=1, keepdims=True)
-        out = logits[rows, cls] - np.log(total[:, 0])
+        # Small whole numbers are sorted in linear time; a class is one slice of the sorted rows.
+        order = np.argsort((target // MEMBERS).astype(np.uint16), kind="stable")
+        h, target = h[order], target[order]
+        cls, member = target // MEMBERS, target % MEMBERS
+        edges = np.searchsorted(cls, np.arange(CLASSES + 1))
+        logits = h @ self.w["class"]
+        logits += self.w["class_offset"]
+        logs, total = softmax_of(logits, cls)
         back = None
         if grads is not None:
-            d = p / total
-            d[rows, cls] -= 1
+            d = residual(logits, total, cls)
             grads["class"] += h.T @ d
             grads["class_offset"] += d.sum(axis=0)
             back = d @ self.w["class"].T
-        order = np.argsort(cls, kind="stable")
-        edges = np.searchsorted(cls[order], np.arange(CLASSES + 1))
         for c in range(CLASSES):
-            mine = order[edges[c]:edges[c + 1]]
-            if not len(mine):
+            mine = slice(edges[c], edges[c + 1])
+            x, own = h[mine], member[mine]
+            if not len(x):
                 continue
-            x, member = h[mine], target[mine] % MEMBERS
-            logits = x @ self.w["member"][c] + self.w["member_offset"][c]
-            logits -= logits.max(axis=1, keepdims=True)
-            p = np.exp(logits)
-            total = p.sum(axis=1, keepdims=True)
-            each = np.arange(len(mine))
-            out[mine] += logits[each, member] - np.log(total[:, 0])
+            logits = x @ self.w["member"][c]
+            logits += self.w["member_offset"][c]
+            part, total = softmax_of(logits, own)
+            logs[mine] += part
             if grads is not None:
-                d = p / total
-                d[each, member] -= 1
+                d = residual(logits, total, own)
                 grads["member"][c] += x.T @ d
                 grads["member_offset"][c] += d.sum(axis=0)
                 back[mine] += d @ self.w["member"][c].T
-        return out, back
+        return unsorted(logs, order), back if back is None else unsorted(back, order)
 
     def window(self, inputs: np.ndarray, targets: np.ndarray, keep: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray]:
         """Gradients of the mean loss of a window, and the last state; nothing flows back past the window's start."""
         grads = {k: np.zeros_like(v) for k, v in self.w.items()}
         x = self.w["embed"][inputs]
-        gates = x @ self.w["input"] + self.w["offset"]
-        trace: list = []
-        states, last = self.states(gates, keep, h, trace)
+        trace: dict = {}
+        states, last = self.states(self.gates(x), keep, h, trace)
         valid = targets >= 0
         _, back = self.log_probabilities(states[valid], targets[valid], grads)
-        d_states = np.zeros_like(states)
-        d_states[valid] = back
-        d_gates = np.zeros_like(gates)
-        d_h = np.zeros_like(h)
+        before, z, r, n = (trace[k] for k in ("before", "z", "r", "n"))
+        # (step, STATE, lane) what a state's gradient is multiplied by on its way to each gate.
+        to_z, to_r, to_n = (before - n) * z * (1 - z), trace["candidate"] * r * (1 - r), (1 - z) * (1 - n * n)
+        d_states = np.zeros_like(before)
+        d_states.transpose(0, 2, 1)[valid] = back
+        d_gates, d_b = (np.empty((len(inputs), 3 * STATE, inputs.shape[1]), before.dtype) for _ in range(2))
+        d_h = np.zeros_like(before[0])
         for t in range(len(inputs) - 1, -1, -1):
-            before, z, r, n, bn = trace[t]
-            d_h = d_h + d_states[t]
-            d_n = d_h * (1 - z) * (1 - n * n)
-            d_z = d_h * (before - n) * z * (1 - z)
-            d_r = d_n * bn * r * (1 - r)
-            d_b = np.concatenate([d_z, d_r, d_n * r], axis=1)
-            d_gates[t] = np.concatenate([d_z, d_r, d_n], axis=1)
-            grads["state"] += before.T @ d_b
-            d_h = (d_h * z + d_b @ self.w["state"].T) * keep[t, :, None]
-        flat = d_gates.reshape(-1, 3 * STATE)
-        grads["input"] += x.reshape(-1, EMBEDDED).T @ flat
-        grads["offset"] += flat.sum(axis=0)
-        order = np.argsort(inputs.ravel(), kind="stable")
-        used, first = np.unique(inputs.ravel()[order], return_index=True)
-        grads["embed"][used] += np.add.reduceat((flat @ self.w["input"].T)[order], first, axis=0)
+            g, e = d_gates[t], d_b[t]
+            d_h += d_states[t]
+            np.multiply(d_h, to_z[t], out=g[:STATE])
+            np.multiply(d_h, to_n[t], out=g[2 * STATE:])
+            np.multiply(g[2 * STATE:], to_r[t], out=g[STATE:2 * STATE])
+            e[:2 * STATE] = g[:2 * STATE]
+            np.multiply(g[2 * STATE:], r[t], out=e[2 * STATE:])
+            d_h *= z[t]
+            d_h += self.w["state"] @ e
+            d_h *= keep[t]
+        d_lanes = d_gates.transpose(0, 2, 1)
+        grads["state"] += (before @ d_b.transpose(0, 2, 1)).sum(axis=0)
+        grads["input"] += (x.transpose(0, 2, 1) @ d_lanes).sum(axis=0)
+        grads["offset"] += d_gates.sum(axis=(0, 2))
+        used = inputs.ravel()
+        order = np.argsort(used.astype(np.uint16), kind="stable")
+        used = used[order]
+        first = np.flatnonzero(np.append(True, used[1:] != used[:-1]))
+        grads["embed"][used[first]] += np.add.reduceat((d_lanes @ self.w["input"].T).reshape(-1, EMBEDDED)[order], first, axis=0)
         n = max(int(valid.sum()), 1)
         return {k: v / n for k, v in grads.items()}, last
 
 
+def softmax_of(logits: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Natural logarithms of the softmax at each row's ``own`` column, and the rows' sums; the logits become their exponentials."""
+    # Without an exponential out of range there is nothing to shift by the largest.
+    if len(logits) and not (logits.max() < 80 and logits.min() > -80):
+        logits -= logits.max(axis=1, keepdims=True)
+    picked = logits[np.arange(len(own)), own]
+    np.exp(logits, out=logits)
+    total = logits @ np.ones(logits.shape[1], logits.dtype)
+    return picked - np.log(total), total
+
+
+def residual(p: np.ndarray, total: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The gradient of the loss by the logits, from what ``softmax_of`` leaves; in place."""
+    p *= (1 / total)[:, None]
+    p[np.arange(len(own)), own] -= 1
+    return p
+
+
+def unsorted(values: np.ndarray, order: np.ndarray) -> np.ndarray:
+    out = np.empty_like(values)
+    out[order] = values
+    return out
+
+
 def lanes(texts: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(step, lane) inputs, targets (-1: none), whether the state goes on, and text numbers: whole texts one after the other, the longest first into the emptiest lane."""
     own: list[list[int]] = [[] for _ in range(width)]
@@ -358,11 +404,10 @@ def log_likelihoods(net: Network, texts: list[np.ndarray]) -> np.ndarray:
     longest = max(map(len, texts)) + 1
     width = max(1, min(MOST_LANES, sum(len(t) + 1 for t in texts) // longest))
     inputs, targets, keep, text = lanes(texts, width)
-    gates = (net.w["embed"] @ net.w["input"] + net.w["offset"]).astype(np.float32)
     h = np.zeros((width, STATE), np.float32)
     for at in range(0, len(inputs), LONG_STEPS):
         part = slice(at, at + LONG_STEPS)
-        states, h = net.states(gates[inputs[part]], keep[part], h)
+        states, h = net.states(net.gates(net.w["embed"][inputs[part]]), keep[part], h)
         valid = targets[part] >= 0
         logs, _ = net.log_probabilities(states[valid], targets[part][valid])
         out += np.bincount(text[part][valid], weights=logs, minlength=len(texts))

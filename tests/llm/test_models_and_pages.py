@@ -133,6 +133,36 @@ def test_gradients_of_the_network():
         assert abs((sides[0] - sides[1]) / 2e-2 - g[at]) < 0.03 * abs(g[at]) + 1e-5, k
 
 
+def test_network_word_by_word():
+    """States and probabilities of several lanes against the formulas for one word at a time, also where exponentials leave their range."""
+    rng = np.random.default_rng(4)
+    net = lm.Network.initial(lm.Counts(1000, 50, 20, [b"w%d" % i for i in range(40)], np.arange(40, 0, -1)))
+    net.w = {k: v.astype(np.float64) for k, v in net.w.items()}
+    net.w["member_offset"][0, :5] = 900
+    inputs, targets, keep = rng.integers(0, 40, (6, 3)), rng.integers(0, lm.OTHER + 1, (6, 3)), np.ones((6, 3))
+    keep[0] = keep[4, 1] = 0
+    start, w = rng.normal(size=(3, lm.STATE)), net.w
+    got, last = net.states(net.gates(w["embed"][inputs]), keep, start)
+    logs = net.log_probabilities(got.reshape(-1, lm.STATE), targets.ravel())[0].reshape(6, 3)
+    for k in range(3):
+        h = start[k]
+        for t in range(6):
+            h = h * keep[t, k]
+            a, b = w["embed"][inputs[t, k]] @ w["input"] + w["offset"], h @ w["state"]
+            z, r = np.split(1 / (1 + np.exp(-(a + b)[:2 * lm.STATE])), 2)
+            n = np.tanh(a[2 * lm.STATE:] + r * b[2 * lm.STATE:])
+            h = (1 - z) * n + z * h
+            c, m = divmod(int(targets[t, k]), lm.MEMBERS)
+            log = (x := h @ w["class"] + w["class_offset"])[c] - np.logaddexp.reduce(x)
+            if c < lm.CLASSES:
+                log += (x := h @ w["member"][c] + w["member_offset"][c])[m] - np.logaddexp.reduce(x)
+            assert np.allclose(got[t, k], h) and math.isclose(logs[t, k], log, rel_tol=1e-9)
+        assert np.allclose(last[k], h)
+    ordinary, far = rng.normal(size=(4, 7)), rng.normal(size=(4, 7)) * 500
+    for logits in (ordinary, far):
+        assert np.allclose(lm.softmax_of(logits.copy(), np.arange(4))[0], [x[i] - np.logaddexp.reduce(x) for i, x in enumerate(logits)])
+
+
 def test_state_goes_on_over_windows():
     counts = lm.Counts(1000, 50, 20, [b"w%d" % i for i in range(40)], np.arange(40, 0, -1))
     net = lm.Network.initial(counts)
