@@ -199,14 +199,14 @@ PURCHASE_CHECKS = "WITH " + PURCHASES + """, t AS (
 def _dated_inventory(spark, d):
     # Some dates in another format, as a check has to find them.
     day = F.col("expiry_date")
-    text = F.when(F.col("item_id") % 50 == 0, F.date_format(day, "yyyyMMdd")).otherwise(F.date_format(day, "yyyy-MM-dd"))
+    text = F.when(F.col("item_id") % 50 == 0, F.date_format(day, "yyyyMMdd")).otherwise(day.cast("string"))
     return inventory(spark, d).withColumn("expiry_date", text)
 
 
 def _dated_purchases(spark, d):
     day = F.col("expected_depletion_date")
     return purchases(spark, d).withColumn("purchase_date", day).withColumn(
-        "expected_depletion_date", F.date_format(day, "yyyy-MM-dd")
+        "expected_depletion_date", day.cast("date").cast("string")
     )
 
 
