@@ -15,7 +15,7 @@ from larder.functions.text import array_missing, has_name, norm_text
 from larder.functions.units import parse_ingredient
 from larder.operators.containment import contained, keyword_hits
 from larder.operators.stock import deduct, deduction_amount
-from larder.session import settled, task_count
+from larder.session import passing, settled, task_count
 
 BLOCK = 512
 # The similarity of equal names is 1 below this length; beyond it frequent letters are ignored.
@@ -55,7 +55,7 @@ def _blocks(names: DataFrame, packed: Column, size: int) -> DataFrame:
     )
 
 
-def _block_pairs(left: DataFrame, items: DataFrame, size: int) -> DataFrame:
+def _block_pairs(left: DataFrame, items: DataFrame, size: int, keep=()) -> DataFrame:
     """Lists of ingredient names beside lists of items of the same user.
 
     Rows are lists, not names. Every ingredient list is addressed to each item
@@ -71,12 +71,33 @@ def _block_pairs(left: DataFrame, items: DataFrame, size: int) -> DataFrame:
             F.sequence(F.lit(0).cast("long"), F.coalesce("_blocks", F.lit(1)) - 1)).alias("_right"))
     )
     # Items sorted by id: the first of equal scores is the lowest id.
-    lists = _blocks(items, F.struct("item_id", "_name"), size).select(
+    lists = _blocks(items, F.struct("item_id", "_name", *keep), size).select(
         "user_id", F.col("_block").alias("_right"), F.col("_packed").alias("items")
     )
     return names.repartition(n, *spread).join(lists.repartition(n, *spread), list(spread))
 
 
+def _closest(names: DataFrame, items: DataFrame, min_score: float, block: int, keep=()) -> DataFrame:
+    """Per (user, name) the item of the highest similarity from ``min_score`` on, with the ``keep`` columns of ``items``; of equals the lowest id."""
+    found = best_in_block(F.col("names"), F.transform("items", lambda i: i["_name"]), min_score)
+    scored = (
+        _block_pairs(names, items, block, keep)
+        .withColumn("best", found)
+        .withColumn("_found", F.explode(F.arrays_zip("names", "best")))
+        .filter(F.col("_found.best").isNotNull())
+        .select("user_id", F.col("_found.names").alias("_name"), F.col("_found.best.score").alias("score"),
+                F.get("items", F.col("_found.best.at")).alias("_item"))
+    )
+    best = scored.groupBy("user_id", "_name").agg(
+        F.min(F.struct((-F.col("score")).alias("_neg"), *[F.col(f"_item.{c}").alias(c) for c in ("item_id", *keep)])).alias("_best"))
+    return best.select("user_id", "_name", *[F.col(f"_best.{c}").alias(c) for c in ("item_id", *keep)], (-F.col("_best._neg")).alias("score"))
+
+
+def _equal_items(items: DataFrame) -> DataFrame:
+    """Items whose equal name needs no comparison, marked as ``_equal``."""
+    return items.filter(F.length("_name") < EXACT_LENGTH).withColumn("_equal", F.lit(True))
+
+
 def best_item_match(
     ingredients: DataFrame, inventory: DataFrame, min_score: float = 0.45, block: int = BLOCK
 ) -> DataFrame:
@@ -88,27 +109,9 @@ def best_item_match(
     """
     wanted = settled(_names(ingredients.select("user_id", "ingredient").distinct(), "ingredient"), "wanted")
     items = settled(_item_names(inventory), "items")
-    short = F.length("_name") < EXACT_LENGTH
-    names = settled(
-        wanted.select("user_id", "_name").distinct()
-        .join(items.filter(short).withColumn("_equal", F.lit(True)), ["user_id", "_name"], "left"), "names")
+    names = settled(wanted.select("user_id", "_name").distinct().join(_equal_items(items), ["user_id", "_name"], "left"), "names")
     equal = names.filter("_equal").select("user_id", "_name", "item_id", F.lit(1.0).alias("score"))
-    rest = names.filter(F.col("_equal").isNull()).select("user_id", "_name")
-    found = best_in_block(F.col("names"), F.transform("items", lambda i: i["_name"]), min_score)
-    scored = (
-        _block_pairs(rest, items, block)
-        .withColumn("best", found)
-        .withColumn("_found", F.explode(F.arrays_zip("names", "best")))
-        .filter(F.col("_found.best").isNotNull())
-        .select(
-            "user_id", F.col("_found.names").alias("_name"),
-            F.get("items", F.col("_found.best.at"))["item_id"].alias("item_id"),
-            F.col("_found.best.score").alias("score"),
-        )
-    )
-    best = scored.groupBy("user_id", "_name").agg(
-        F.min(F.struct((-F.col("score")).alias("_neg"), "item_id")).alias("_best")
-    ).select("user_id", "_name", F.col("_best.item_id").alias("item_id"), (-F.col("_best._neg")).alias("score"))
+    best = _closest(names.filter(F.col("_equal").isNull()).select("user_id", "_name"), items, min_score, block)
     return (
         wanted.join(equal.unionByName(best), ["user_id", "_name"])
         .select("user_id", "ingredient", "item_id", "score")
@@ -248,22 +251,37 @@ def parsed_ingredients(recipes: DataFrame, items: str = "main_ingredients") -> D
     )
 
 
-def cook_deductions(cooked: DataFrame, inventory: DataFrame, min_score: float = 0.45) -> DataFrame:
-    """What cooked recipes take from which item: (user_id, item_id, amount) per ingredient."""
-    used = settled(parsed_ingredients(cooked), "used")
-    matches = best_item_match(used, inventory, min_score)
-    units = inventory.select("user_id", "item_id", F.col("unit").alias("item_unit"))
-    return (
-        used.join(matches, ["user_id", "ingredient"]).join(units, ["user_id", "item_id"])
-        .select(
-            "user_id", "item_id", "ingredient_text",
-            deduction_amount(F.col("qty"), F.col("unit"), F.col("item_unit"), F.col("servings")).alias("amount"),
-        )
-    )
+def cook_deductions(cooked: DataFrame, inventory: DataFrame, min_score: float = 0.45, keep=("ingredient_text",)) -> DataFrame:
+    """What cooked recipes take from which item: (user_id, item_id, amount) per ingredient, with the ``keep`` columns of its row.
+
+    ``inventory`` has one row per (user, item). An ingredient meets the item of its name in one join, which is all that
+    most of them need; only names that no item has are gathered and compared in lists, as in ``best_item_match``.
+    """
+    taken = ("user_id", "item_id", *keep, deduction_amount(F.col("qty"), F.col("unit"), F.col("item_unit"), F.col("servings")).alias("amount"))
+    asked = ("_name", "qty", "unit", "servings")
+    used = _names(parsed_ingredients(cooked), "ingredient").select("user_id", *asked, *keep)
+    with passing(cooked.sparkSession):
+        items = settled(_item_names(inventory, keep=("unit",)).withColumnRenamed("unit", "item_unit"), "items")
+        rows = used.join(_equal_items(items), ["user_id", "_name"], "left")
+        # What is settled for a row is its amount, for the others what they ask for.
+        met = settled(rows.select(*taken, "_equal", *[F.when(F.col("_equal").isNull(), F.col(c)).alias(c) for c in asked]), "met", lasting=True)
+        rest = met.filter(F.col("_equal").isNull()).select("user_id", *asked, *keep)
+        names = settled(rest.select("user_id", "_name").distinct(), "names")
+        best = settled(_closest(names, items, min_score, BLOCK, keep=("item_unit",)), "best", lasting=True)
+    equal = met.filter("_equal").select("user_id", "item_id", *keep, "amount")
+    return equal.unionByName(rest.join(best, ["user_id", "_name"]).select(*taken))
+
+
+def _once(rows: DataFrame, key: str) -> DataFrame:
+    """One row per key; only rows that share the hash of their key with another row are moved, the others stay where they are."""
+    marked = rows.withColumn("_hash", F.xxhash64(key))
+    several = settled(marked.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_hash"), "several")
+    alone = marked.join(several, "_hash", "left_anti")
+    shared = marked.join(several, "_hash", "left_semi").dropDuplicates([key])
+    return alone.unionByName(shared).select(*rows.columns)
 
 
 def apply_cooked(cooked: DataFrame, inventory: DataFrame, event_id: str = "id", min_score: float = 0.45) -> DataFrame:
     """The inventory after a set of cook events, each event counted once; the inventory is written once for all that read it."""
     inventory = settled(inventory, "inventory")
-    once = cooked.dropDuplicates([event_id])
-    return deduct(inventory, cook_deductions(once, inventory, min_score))
+    return deduct(inventory, cook_deductions(_once(cooked, event_id), inventory, min_score, keep=()))
