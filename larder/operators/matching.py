@@ -242,9 +242,11 @@ def compatible_items(items: DataFrame, personas: list) -> DataFrame:
 
 def parsed_ingredients(recipes: DataFrame, items: str = "main_ingredients") -> DataFrame:
     """One row per ingredient text of a recipe, parsed; empty texts are left out."""
+    # A filter of the list, not of the rows: Spark would repeat what the list is made of in filters ahead of the explode.
     rows = recipes.select(
-        *[c for c in recipes.columns if c != items], F.explode(items).alias("ingredient_text")
-    ).filter(F.length("ingredient_text") > 0)
+        *[c for c in recipes.columns if c != items],
+        F.explode(F.filter(items, lambda t: F.length(t) > 0)).alias("ingredient_text"),
+    )
     return rows.withColumn("_p", parse_ingredient(F.col("ingredient_text"))).select(
         *rows.columns, F.col("_p.qty").alias("qty"), F.col("_p.unit").alias("unit"),
         F.col("_p.name").alias("ingredient"),
@@ -259,13 +261,14 @@ def cook_deductions(cooked: DataFrame, inventory: DataFrame, min_score: float =
     """
     taken = ("user_id", "item_id", *keep, deduction_amount(F.col("qty"), F.col("unit"), F.col("item_unit"), F.col("servings")).alias("amount"))
     asked = ("_name", "qty", "unit", "servings")
-    used = _names(parsed_ingredients(cooked), "ingredient").select("user_id", *asked, *keep)
+    # No filter on the name ahead of the join: it would parse the texts once more.
+    used = parsed_ingredients(cooked).withColumn("_name", norm_text(F.col("ingredient"))).select("user_id", *asked, *keep)
     with passing(cooked.sparkSession):
         items = settled(_item_names(inventory, keep=("unit",)).withColumnRenamed("unit", "item_unit"), "items")
         rows = used.join(_equal_items(items), ["user_id", "_name"], "left")
         # What is settled for a row is its amount, for the others what they ask for.
         met = settled(rows.select(*taken, "_equal", *[F.when(F.col("_equal").isNull(), F.col(c)).alias(c) for c in asked]), "met", lasting=True)
-        rest = met.filter(F.col("_equal").isNull()).select("user_id", *asked, *keep)
+        rest = met.filter(F.col("_equal").isNull() & (F.length("_name") > 0)).select("user_id", *asked, *keep)
         names = settled(rest.select("user_id", "_name").distinct(), "names")
         best = settled(_closest(names, items, min_score, BLOCK, keep=("item_unit",)), "best", lasting=True)
     equal = met.filter("_equal").select("user_id", "item_id", *keep, "amount")
