@@ -270,7 +270,9 @@ def cook_deductions(cooked: DataFrame, inventory: DataFrame, min_score: float =
         met = settled(rows.select(*taken, "_equal", *[F.when(F.col("_equal").isNull(), F.col(c)).alias(c) for c in asked]), "met", lasting=True)
         rest = met.filter(F.col("_equal").isNull() & (F.length("_name") > 0)).select("user_id", *asked, *keep)
         names = settled(rest.select("user_id", "_name").distinct(), "names")
-        best = settled(_closest(names, items, min_score, BLOCK, keep=("item_unit",)), "best", lasting=True)
+        # Only the items of users who have such a name.
+        near = items.join(names.select("user_id").distinct(), "user_id", "left_semi")
+        best = settled(_closest(names, near, min_score, BLOCK, keep=("item_unit",)), "best", lasting=True)
     equal = met.filter("_equal").select("user_id", "item_id", *keep, "amount")
     return equal.unionByName(rest.join(best, ["user_id", "_name"]).select(*taken))
 

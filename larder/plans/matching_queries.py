@@ -12,7 +12,7 @@ from larder.plans.bindings import (
 )
 from larder.plans.registry import query, rounded
 from larder.plans.text_queries import NORM_SQL
-from larder.session import passing, scratch_path, settled
+from larder.session import scratch_path, settled
 
 BOTH = f"WITH {OWNED}, {RECIPE_INGREDIENTS}"
 # The longest block that x and y share, the earliest in x and then in y of equals, as one number:
@@ -222,7 +222,5 @@ def cooked_from_history(spark, d):
     nested = F.to_json(F.struct(F.struct(F.array(text, F.lit("")).alias("main_ingredients")).alias("recipe")))
     history = rows.select("id", "user_id", "servings", F.lit(False).alias("is_cooked"), F.when(
         F.col("servings") == 1, nested).otherwise(objects).alias("recipe_json"))
-    with passing(spark):
-        history = settled(history, "history")
-        done = jobs.cook_job(history, owned_items(spark, d), history.select("id"), scratch_path(spark, "cook"))
+    done = jobs.cook_job(lambda: settled(history, "history"), owned_items(spark, d), lambda h: h.select("id"), scratch_path(spark, "cook"))
     return rounded(done["inventory"].select("user_id", "item_id", "quantity"), "quantity")

@@ -54,6 +54,17 @@ def test_a_cook_job_leaves_only_its_tables(spark, folder, tmp_path, rows):
     assert rows(spark.read.parquet(str(tmp_path / "out/cooked")).select("id")) == sorted([(i,) for i in range(100)], key=str)
 
 
+def test_a_settled_history_goes_before_the_stock_is_read(spark, folder, tmp_path, rows, monkeypatch):
+    recipes = [(1, 1, '{"main_ingredients": ["1 kg rice"]}', 1, False), (2, 1, '{"main_ingredients": ["2 kg rice"]}', 1, None)]
+    history = spark.createDataFrame(recipes, "id int, user_id int, recipe_json string, servings int, is_cooked boolean")
+    seen, apply = [], matching.apply_cooked
+    monkeypatch.setattr(matching, "apply_cooked", lambda *a: seen.append([p.name for p in folder.iterdir()]) or apply(*a))
+    done = jobs.cook_job(lambda: session.settled(history, "history"), spark.createDataFrame([(1, 1, "Rice", 9.0, "kg")], INVENTORY),
+                         lambda h: h.where("id = 2").select("id"), str(tmp_path / "out"))
+    assert seen == [[]] and rows(done["inventory"].select("quantity")) == [(7.0,)]
+    assert rows(done["history"].select("id", "is_cooked")) == [(1, False), (2, True)]
+
+
 def test_tables_go_with_their_block(spark, folder):
     before = spark.conf.get(session.RELEASE)
     with session.passing(spark):
